@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FORMATS = ("org", "latex", "markdown", "rst", "plaintext")
@@ -26,6 +26,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed right there and once.
+
+    Projections are merged, and what they compute is copied into filters and into arguments of Python functions, which
+    cannot hold lambdas; a generator of one row is where merging stops.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def unicode_trim(c: Column) -> Column:
     """Without white space (of any kind) at both ends; ``trim`` takes off U+0020 only."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
@@ -161,7 +170,7 @@ def is_ignored(path: Column, patterns: Column) -> Column:
     """Whether any glob matches the whole path or the file's name; null and unusable globs match nothing."""
     name = F.substring_index(path, "/", -1)
     usable = F.filter(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: p.isNotNull() & ~p.rlike(r"\[[^\]]*\z"))
-    return F.exists(usable, lambda p: path.rlike(glob_regex(p)) | name.rlike(glob_regex(p)))
+    return F.exists(usable, lambda p: F.rlike(path, glob_regex(p)) | F.rlike(name, glob_regex(p)))
 
 
 def per_format_of(struct: str, format: Column, field: str) -> Column:

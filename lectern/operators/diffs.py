@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 from lectern.functions import text as tx
 from lectern.operators.formatting import with_regions, with_sentences
@@ -46,7 +47,7 @@ def unified(old: str, new: str, old_name: str, new_name: str, context: int = 3)
     return "\n".join(out).replace("\0", "") + "\n"
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def unified_diff(old: pa.Array, new: pa.Array, old_name: pa.Array, new_name: pa.Array) -> pa.Array:
     """Null if either text is null, empty if they are equal."""
     rows = zip(*(x.to_pylist() for x in (old, new, old_name, new_name)))
@@ -67,7 +68,7 @@ def document_sentences(regions: Column, sentences_of: Column) -> Column:
 def with_document_sentences(df: DataFrame, text: str, format: str, out: str) -> DataFrame:
     """Adds the flat list of a text (line ends as they are, English abbreviations)."""
     read = with_sentences(with_regions(df, text, format, "_r"), "_r", None, None, "_s")
-    return read.withColumn(out, document_sentences(F.col("_r"), F.col("_s"))).drop("_r", "_s")
+    return tx.computed(read, out, document_sentences(F.col("_r"), F.col("_s"))).drop("_r", "_s")
 
 
 def changed_versions(old: DataFrame, new: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -10,18 +10,18 @@ width is no limit; null lists of abbreviations are empty.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lectern.functions import text as tx
 from lectern.operators.parsers import PROSE, STRUCTURE, regions_of
 from lectern.operators.sentences import sentences, split_text
 
-REGIONS = "array<struct<kind:string,text:string>>"
+REGIONS = ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType())]))
 _REGIONS = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
 
 
@@ -111,7 +111,7 @@ def wrapped(text: str, width: int) -> str:
     return "\n".join(out)
 
 
-@arrow_udf("array<array<string>>")
+@arrow_udf(ArrayType(ArrayType(StringType())))
 def _wrap_all(groups: pa.Array, widths: pa.Array) -> pa.Array:
     out = []
     for group, width in zip(groups.to_pylist(), widths.to_pylist()):
@@ -122,7 +122,7 @@ def _wrap_all(groups: pa.Array, widths: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.list_(pa.string())))
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def wrap(texts: pa.Array, widths: pa.Array) -> pa.Array:
     """Each text wrapped at its width."""
     return pa.array([t if t is None or not w or w <= 0 else wrapped(t, w) for t, w in zip(texts.to_pylist(), widths.to_pylist())], pa.string())
@@ -149,7 +149,7 @@ def with_sentences(df: DataFrame, regions: str = "regions", lang: Column | str |
     """Adds ``array<array<string>>``: the sentences of each region, none for regions that are not prose."""
     none = F.array().cast("array<string>")
     split = F.transform(regions, lambda r: F.when(r["kind"] == PROSE, sentences(r["text"], lang, extras)).otherwise(none))
-    return df.withColumn(out, split)
+    return tx.computed(df, out, split)
 
 
 def format_df(
@@ -161,7 +161,7 @@ def format_df(
     if isinstance(width, Column) or width > 0:
         read = read.withColumn("_sentences", _wrap_all(F.col("_sentences"), F.lit(width) if isinstance(width, int) else width))
     joined = reflowed(F.col("_regions"), F.col("_sentences"))
-    return read.withColumn(out, tx.let(joined, lambda j: tx.restored(F.col(text), j))).drop("_regions", "_sentences")
+    return tx.computed(read, out, tx.let(joined, lambda j: tx.restored(F.col(text), j))).drop("_regions", "_sentences")
 
 
 def format_range_df(
@@ -208,8 +208,3 @@ def format_text(text: str | None, format: str | None = None, width: int = 0, lan
     else:
         out = out.rstrip("\n")
     return out.replace("\n", "\r\n") if "\r\n" in text else out
-
-
-def documents_of(rows: Iterator[tuple[str, str]]) -> list[str | None]:
-    """Texts of ``(text, format)`` pairs, formatted one after another."""
-    return [format_text(t, f) for t, f in rows]

@@ -1,11 +1,464 @@
-"""All queries over the reference tables, by name."""
+"""All queries over the reference tables, by name, and the SQL that their results can be held against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lectern.functions import text as tx
+from lectern.operators import checks, diffs, formatting, plain_regions, reports
+from lectern.operators.sentences import TOKENS, sentences
+from lectern.plans import config
+from lectern.runtime import table
+from lectern.sources import files
+from lectern.streaming.debounce import debounced
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _calls(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Calls to format, each once. Redelivered rows repeat a call's content, so any row of a call will do."""
+    return table(spark, d, "format_requests").select("call_id", *columns).where(F.col("call_id").isNotNull()).dropDuplicates(["call_id"])
+
+
+def _configured(spark: SparkSession, d: str) -> DataFrame:
+    """Calls with what holds for them: ``call_id, text, format, width, lang, abbreviations``."""
+    calls = table(spark, d, "format_requests").select("call_id", "project_id", "text", "format", "max_width", "extra_abbreviations")
+    known = config.with_project(calls, table(spark, d, "project_configs")).withColumn("format", tx.format_of_spelling(F.col("format")))
+    lang = F.lower(F.substring("project.lang", 1, 2))
+    return known.select("call_id", "text", "format", *config.effective(F.col("format"), F.col("max_width"), F.col("extra_abbreviations")), lang.alias("lang"))
+
+
+# --- scans, functions ---------------------------------------------------------------------------------------------
+
+_LINES = r"string_split(regexp_replace({0}, '\r?\n\z', ''), chr(10))"
+
+
+@query(
+    rf"""SELECT call_id, CAST(CASE WHEN text = '' THEN 0 ELSE len({_LINES.format("text")}) END AS INT) AS n_lines
+    FROM (SELECT DISTINCT call_id, text FROM format_requests WHERE text IS NOT NULL)"""
+)
+def line_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each text."""
+    texts = _calls(spark, d, "text").where(F.col("text").isNotNull())
+    return texts.select("call_id", F.size(tx.lines(F.col("text"))).alias("n_lines"))
+
+
+_EXT_CASE = """CASE WHEN {0} = 'org' THEN 'org' WHEN {0} IN ('tex', 'latex', 'ltx', 'sty', 'cls') THEN 'latex'
+  WHEN {0} IN ('md', 'markdown', 'mkd', 'mdx') THEN 'markdown' WHEN {0} IN ('rst', 'rest') THEN 'rst' ELSE 'plaintext' END"""
+_EXT = r"regexp_extract(file, '(?:^|/)[^/]+\.([^./]*)$', 1)"
+
+
+@query(
+    f"""SELECT DISTINCT file, {_EXT_CASE.format(_EXT)} AS by_path, {_EXT_CASE.format("split_part(file, '.', -1)")} AS by_name,
+    CASE {_EXT} WHEN 'org' THEN 'org' WHEN 'tex' THEN 'latex' WHEN 'latex' THEN 'latex' WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown'
+      WHEN 'rst' THEN 'rst' WHEN 'rest' THEN 'rst' WHEN 'typ' THEN 'typst' WHEN 'adoc' THEN 'asciidoc' WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html'
+      WHEN 'docx' THEN 'docx' WHEN 'txt' THEN 'markdown' END AS reader FROM check_reports WHERE file IS NOT NULL"""
+)
+def file_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Formats by path, by name and for the external converter."""
+    paths = table(spark, d, "check_reports").where(F.col("file").isNotNull()).select("file").distinct()
+    path = F.col("file")
+    return paths.select("file", tx.format_of_path(path).alias("by_path"), tx.format_of_name(path).alias("by_name"), tx.reader_of_path(path).alias("reader"))
+
+
+@query(
+    rf"""WITH t AS (SELECT call_id, text, CASE WHEN text = '' THEN [] ELSE {_LINES.format("replace(text, chr(13) || chr(10), chr(10))")}[1:20] END AS first
+      FROM (SELECT DISTINCT call_id, text FROM format_requests WHERE text IS NOT NULL))
+    SELECT call_id, CASE
+      WHEN contains(text, '\begin{{') OR contains(text, '\section{{') OR contains(text, '\documentclass') THEN 'latex'
+      WHEN len(list_filter(first, lambda x: x LIKE '#+%' OR x LIKE '* %')) > 0
+        AND (contains(text, ':PROPERTIES:') OR contains(text, ':END:') OR contains(text, '#+begin_')) THEN 'org'
+      WHEN len(list_filter(first, lambda x: x LIKE '# %' OR x LIKE '## %')) > 0 THEN 'markdown'
+      WHEN contains(text, '.. ') OR len(list_filter(first, lambda x: strlen(x) > 3 AND regexp_full_match(x, '=+|-+'))) > 0 THEN 'rst'
+      ELSE 'plaintext' END AS guess FROM t"""
+)
+def content_formats(spark: SparkSession, d: str) -> DataFrame:
+    """The format guessed from the content of each text."""
+    return _calls(spark, d, "text").where(F.col("text").isNotNull()).select("call_id", tx.format_of_content(F.col("text")).alias("guess"))
+
+
+_MARKERS = ("{0}:off", "  # {0}:on  ", "% {0}:off", "<!-- {0}:on -->", "#{0}:off", "{0}: off")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'off' WHEN 1 THEN 'on' WHEN 2 THEN 'off' WHEN 3 THEN 'on' END AS state FROM documents"""
+)
+def pragma_states(spark: SparkSession, d: str) -> DataFrame:
+    """What a marker line in each comment style switches to; two of the six lines are none."""
+    n = F.col("doc_id") % 6
+    line = F.coalesce(*[F.when(n == i, F.lit(m.format("prose"))) for i, m in enumerate(_MARKERS)])
+    return table(spark, d, "documents").select("doc_id", tx.pragma(line).alias("state"))
+
+
+@query(
+    r"""SELECT report_id, CASE WHEN a >= 1 AND b >= 1 AND a <= b THEN a END AS first_line, CASE WHEN a >= 1 AND b >= 1 AND a <= b THEN b END AS last_line
+    FROM (SELECT DISTINCT report_id, CAST(original_lines AS BIGINT) AS a, CAST(formatted_lines AS BIGINT) AS b FROM check_reports)"""
+)
+def line_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """``start:end`` read back from text."""
+    spec = F.concat_ws(":", "original_lines", "formatted_lines")
+    found = table(spark, d, "check_reports").select("report_id", tx.line_range(spec).alias("r")).distinct()
+    return found.select("report_id", F.col("r.start").alias("first_line"), F.col("r.end").alias("last_line"))
+
+
+_LATEST = """latest AS (SELECT project_id, arg_max(struct_pack(lang, default_format, max_width, extra_abbreviations, ignore_patterns,
+  org, latex, markdown, rst, plaintext), (loaded_at, rc_path)) AS p FROM project_configs WHERE project_id IS NOT NULL GROUP BY project_id)"""
+_FORMAT = """CASE lower(trim(format)) WHEN 'txt' THEN 'plaintext' WHEN 'md' THEN 'markdown' WHEN 'mkd' THEN 'markdown' WHEN 'tex' THEN 'latex'
+  WHEN 'rest' THEN 'rst' ELSE coalesce(lower(trim(format)), 'plaintext') END"""
+_PER_FORMAT = "CASE f WHEN 'org' THEN p.org.{0} WHEN 'latex' THEN p.latex.{0} WHEN 'markdown' THEN p.markdown.{0} WHEN 'rst' THEN p.rst.{0} WHEN 'plaintext' THEN p.plaintext.{0} END"
+
+
+@query(
+    f"""WITH {_LATEST}, calls AS (SELECT DISTINCT call_id, project_id, {_FORMAT} AS f, max_width, extra_abbreviations FROM format_requests)
+    SELECT call_id, f AS format,
+      CAST(CASE WHEN max_width > 0 THEN max_width WHEN coalesce({_PER_FORMAT.format("max_width")}, p.max_width) > 0
+        THEN coalesce({_PER_FORMAT.format("max_width")}, p.max_width) ELSE 0 END AS INT) AS width,
+      array_to_string(list_concat(list_concat(coalesce(calls.extra_abbreviations, []), coalesce(p.extra_abbreviations, [])),
+        coalesce({_PER_FORMAT.format("extra_abbreviations")}, [])), ',') AS abbreviations
+    FROM calls LEFT JOIN latest USING (project_id)"""
+)
+def call_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Format, width and abbreviations that hold for each call."""
+    held = _configured(spark, d).select("call_id", "format", "width", F.array_join("abbreviations", ",").alias("abbreviations"))
+    return held.distinct()
+
+
+@query(
+    rf"""WITH {_LATEST}, g AS (SELECT project_id, list_transform(list_filter(coalesce(p.ignore_patterns, []), lambda x: x IS NOT NULL), lambda x:
+      '(?s)^' || replace(replace(regexp_replace(replace(replace(regexp_replace(x, '([.+^$(){{}}|\\])', '\\\1', 'g'), '[!', '[^'), '**/', chr(1)),
+      '\*+', '.*', 'g'), '?', '.'), chr(1), '(?:.*/)?') || '$') AS patterns FROM latest)
+    SELECT DISTINCT report_id, file, coalesce(len(list_filter(patterns, lambda x: regexp_matches(file, x) OR regexp_matches(split_part(file, '/', -1), x))) > 0, false) AS ignored
+    FROM check_reports LEFT JOIN g USING (project_id) WHERE file IS NOT NULL"""
+)
+def ignored_files(spark: SparkSession, d: str) -> DataFrame:
+    """Which reported files their project's globs leave out."""
+    seen = table(spark, d, "check_reports").where(F.col("file").isNotNull()).select("report_id", "file", "project_id").distinct()
+    known = config.with_project(seen, table(spark, d, "project_configs"))
+    return known.select("report_id", "file", tx.is_ignored(F.col("file"), F.col("project.ignore_patterns")).alias("ignored"))
+
+
+_S = r"[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0b"
+_TOKENS_SQL = "|".join(t.replace(r"\S", _S + "]").replace(r"[^.\s", _S + ".").replace("'", "''") for t in TOKENS)
+
+
+@query(
+    f"""SELECT call_id, CAST(len(t) AS INT) AS n_tokens, array_to_string(t, chr(2)) AS tokens
+    FROM (SELECT call_id, regexp_extract_all(text, '{_TOKENS_SQL}') AS t FROM (SELECT DISTINCT call_id, text FROM format_requests WHERE text IS NOT NULL)) WHERE len(t) > 0"""
+)
+def inline_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Links, formulas, code and the like that sentences are never cut inside."""
+    found = _calls(spark, d, "text").select("call_id", F.regexp_extract_all("text", F.lit("(?U)" + "|".join(TOKENS)), F.lit(0)).alias("t"))
+    return found.where(F.size("t") > 0).select("call_id", F.size("t").alias("n_tokens"), F.array_join("t", "\x02").alias("tokens"))
+
+
+@query(
+    """SELECT doc_id, 'lectern: ' || CASE lang WHEN 'en' THEN 'Org' WHEN 'de' THEN 'Latex' ELSE 'Plaintext' END || ' | width: '
+      || CASE WHEN n_files > 0 THEN CAST(n_files AS VARCHAR) ELSE 'unlimited' END AS title FROM documents"""
+)
+def lens_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that tell format and width."""
+    format = F.when(F.col("lang") == "en", "org").when(F.col("lang") == "de", "latex").otherwise("plaintext")
+    return table(spark, d, "documents").select("doc_id", tx.lens_title(format, F.col("n_files")).alias("title"))
+
+
+# --- regions, sentences, formatting ----------------------------------------------------------------------------------
+
+
+@query(
+    rf"""WITH texts AS (SELECT DISTINCT call_id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM split_requests WHERE text IS NOT NULL AND text <> ''),
+    l AS (SELECT call_id, unnest(list_zip(range(0, len(a)), a)) AS x FROM (SELECT call_id, {_LINES.format("text")} AS a FROM texts)),
+    m AS (SELECT call_id, x[1] AS n, x[2] AS line, regexp_extract(trim(x[2]), '^(?:[#%] )?\s*[a-z][a-z0-9_-]*:(on|off)$', 1) AS marker FROM l),
+    s AS (SELECT *, last_value(nullif(marker, '') IGNORE NULLS) OVER (PARTITION BY call_id ORDER BY n) AS state FROM m),
+    k AS (SELECT *, CASE WHEN marker <> '' OR coalesce(state = 'off', false) THEN 'structure'
+      WHEN regexp_full_match(line, '[\s\x0b\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]*') THEN 'blank' ELSE 'prose' END AS kind FROM s),
+    g AS (SELECT *, CASE WHEN kind = 'prose' AND lag(kind) OVER (PARTITION BY call_id ORDER BY n) = 'prose' THEN 0 ELSE 1 END AS opens FROM k),
+    r AS (SELECT *, sum(opens) OVER (PARTITION BY call_id ORDER BY n) - 1 AS region_no FROM g)
+    SELECT call_id, CAST(region_no AS INT) AS region_no, kind,
+      string_agg(CASE WHEN kind = 'prose' THEN regexp_replace(line, '^[\s\x0b\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x0b\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')
+        ELSE line || chr(10) END, ' ' ORDER BY n) AS text
+    FROM r GROUP BY call_id, region_no, kind"""
+)
+def plain_text_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Prose, structure and blank regions of plain text, by windows."""
+    calls = table(spark, d, "split_requests").select("call_id", "text").dropDuplicates(["call_id"])
+    return plain_regions.plain_regions(calls, "call_id")
+
+
+@query()
+def markup_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of all formats: ``(call_id, region_no, kind, text)``."""
+    calls = _calls(spark, d, "text", "format").where(F.col("text").isNotNull()).withColumn("format", tx.format_of_spelling(F.col("format")))
+    read = formatting.with_regions(calls).select("call_id", F.posexplode("regions").alias("region_no", "r"))
+    return read.select("call_id", "region_no", "r.kind", "r.text")
+
+
+@query(
+    """SELECT kind, CAST(sum(n) AS BIGINT) AS same FROM (SELECT 'calls' AS kind, count(DISTINCT call_id) AS n FROM format_requests WHERE text IS NOT NULL) GROUP BY kind"""
+)
+def regions_keep_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts whose regions hold all their letters and digits in order: all of them."""
+    calls = _calls(spark, d, "text", "format").where(F.col("text").isNotNull()).withColumn("format", tx.format_of_spelling(F.col("format")))
+    bare = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
+    read = formatting.with_regions(calls).where(bare(F.col("text")) == bare(F.array_join(F.transform("regions", lambda r: r["text"]), "")))
+    return read.agg(F.count(F.lit(1)).alias("same")).select(F.lit("calls").alias("kind"), "same")
+
+
+@query()
+def split_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of each call's text by the rules, with its declared abbreviations: ``(call_id, sentence_no, sentence)``."""
+    calls = table(spark, d, "split_requests").select("call_id", "text", "extra_abbreviations").dropDuplicates(["call_id"])
+    words = F.transform(F.filter("extra_abbreviations", lambda x: x.isNotNull()), lambda x: F.rtrim(F.trim(x), F.lit(".")))
+    found = calls.select("call_id", F.posexplode(sentences(F.col("text"), "en", words)).alias("sentence_no", "sentence"))
+    return found
+
+
+@query()
+def format_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Each call's text formatted with what holds for it: ``(call_id, formatted)``."""
+    calls = _configured(spark, d)
+    done = formatting.format_df(calls, "text", "format", F.col("width"), F.col("lang"), F.col("abbreviations"))
+    return done.select("call_id", "formatted").distinct()
+
+
+@query()
+def format_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus documents as plain text, one sentence to a line: ``(doc_id, formatted)``."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang").withColumn("format", F.lit("plaintext"))
+    return formatting.format_df(docs, "text", "format", 0, F.col("lang")).select("doc_id", "formatted")
+
+
+@query()
+def format_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Lines 2 to 4 of each text formatted, the rest as it is."""
+    calls = _calls(spark, d, "text", "format").withColumn("format", tx.format_of_spelling(F.col("format")))
+    return formatting.format_range_df(calls, F.lit(2), F.lit(4)).select("call_id", "formatted")
+
+
+@query(
+    r"""SELECT count(DISTINCT call_id) AS n_calls, CAST(0 AS BIGINT) AS n_changed FROM split_requests WHERE text IS NOT NULL"""
+)
+def formatting_keeps_lines_ended(spark: SparkSession, d: str) -> DataFrame:
+    """Formatting plain text again changes nothing: calls, and calls changed by the second time."""
+    calls = table(spark, d, "split_requests").where(F.col("text").isNotNull()).select("call_id", "text").dropDuplicates(["call_id"]).withColumn("format", F.lit("plaintext"))
+    once = formatting.format_df(calls, out="once")
+    twice = formatting.format_df(once, "once", "format", out="twice")
+    return twice.agg(F.count(F.lit(1)).alias("n_calls"), F.count(F.when(F.col("once") != F.col("twice"), 1)).alias("n_changed"))
+
+
+# --- checks -------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def changed_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that formatting would change, with the lines of both."""
+    calls = table(spark, d, "check_requests").select("call_id", "text", "format").dropDuplicates(["call_id"]).withColumn("format", tx.format_of_spelling(F.col("format")))
+    return checks.check_df(calls, "call_id")
+
+
+@query()
+def check_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Unified diffs of the texts that formatting would change."""
+    calls = table(spark, d, "check_requests").select("call_id", "text", "format").dropDuplicates(["call_id"]).withColumn("format", tx.format_of_spelling(F.col("format")))
+    done = formatting.format_df(calls).where(F.col("formatted") != F.col("text"))
+    name = F.col("call_id").cast("string")
+    return done.select("call_id", diffs.unified_diff(F.col("text"), F.col("formatted"), name, name).alias("diff"))
+
+
+@query()
+def line_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that hold several sentences."""
+    calls = table(spark, d, "check_requests").where(F.col("text").isNotNull()).select("call_id", "text").dropDuplicates(["call_id"])
+    found = calls.select("call_id", checks.violations(F.col("text")).alias("violations"))
+    return found.select("call_id", "violations", (F.size("violations") == 0).alias("passed"))
+
+
+@query(
+    rf"""WITH texts AS (SELECT DISTINCT call_id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM check_requests WHERE text IS NOT NULL AND text <> ''),
+    l AS (SELECT call_id, unnest(list_zip(range(0, len(a)), a)) AS x FROM (SELECT call_id, {_LINES.format("text")} AS a FROM texts)),
+    c AS (SELECT call_id, x[1] AS line, x[2] AS body, unnest(range(2, length(x[2]))) AS j FROM l WHERE length(x[2]) > 2)
+    SELECT call_id, CAST(line AS INT) AS line, CAST(j - 1 AS INT) AS start_col, CAST(j AS INT) AS end_col, 'hint' AS severity, 'lectern' AS source,
+      'Sentence boundary inside a line' AS message
+    FROM c WHERE body[j] = ' ' AND body[j - 1] IN ('.', '!', '?') AND regexp_matches(body[j + 1], '^\p{{Lu}}')"""
+)
+def diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence ends inside lines, with their places."""
+    calls = table(spark, d, "check_requests").select("call_id", "text").dropDuplicates(["call_id"])
+    return checks.diagnostics_df(calls, "call_id")
+
+
+@query(
+    rf"""WITH texts AS (SELECT DISTINCT call_id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM check_requests WHERE text IS NOT NULL AND text <> ''),
+    l AS (SELECT call_id, unnest(list_zip(range(0, len(a)), a)) AS x FROM (SELECT call_id, {_LINES.format("text")} AS a FROM texts))
+    SELECT call_id, CAST(x[1] AS INT) AS line, regexp_matches(x[2], '[.!?][ \t\n\x0b\f\r]+[A-Z]') AS several_sentences, length(x[2]) >= 120 AS long_line FROM l"""
+)
+def prose_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Two rules on each line: several sentences, too long."""
+    calls = table(spark, d, "check_requests").where(F.col("text").isNotNull()).select("call_id", "text").dropDuplicates(["call_id"])
+    rows = calls.select("call_id", F.posexplode(tx.lines(F.col("text"))).alias("line", "body"))
+    return rows.select("call_id", "line", checks.prose_rules(F.col("body")).alias("r")).select("call_id", "line", "r.several_sentences", "r.long_line")
+
+
+@query()
+def quick_fixes(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "check_requests").select("call_id", "text", "format").dropDuplicates(["call_id"]).withColumn("format", tx.format_of_spelling(F.col("format")))
+    return checks.quick_fixes(calls, "call_id")
+
+
+@query()
+def text_edits(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "check_requests").select("call_id", "text", "format").dropDuplicates(["call_id"]).withColumn("format", tx.format_of_spelling(F.col("format")))
+    return checks.text_edits(calls, "call_id")
+
+
+@query()
+def hover_previews(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "check_requests").select("call_id", "text", "format").dropDuplicates(["call_id"]).withColumn("format", tx.format_of_spelling(F.col("format")))
+    return checks.hover_df(calls, "call_id")
+
+
+# --- reports, aggregates ---------------------------------------------------------------------------------------------
+
+_REPORTS = "(SELECT DISTINCT run_id, report_id, project_id, file, original_lines, formatted_lines FROM check_reports WHERE run_id IS NOT NULL)"
+_ORDER = "ORDER BY coalesce(file, ''), coalesce(original_lines, -1), coalesce(formatted_lines, -1)"
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    cols = ("run_id", "report_id", "project_id", "file", "original_lines", "formatted_lines")
+    return table(spark, d, "check_reports").where(F.col("run_id").isNotNull()).select(*cols).distinct()
+
+
+@query(f"SELECT run_id, CAST(to_json(list(struct_pack(file, original_lines, formatted_lines) {_ORDER})) AS VARCHAR) AS report FROM {_REPORTS} GROUP BY run_id")
+def json_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON report of each run."""
+    return reports.json_report(_reports(spark, d), "run_id")
+
+
+@query(
+    f"""SELECT run_id, CAST(to_json(struct_pack("$schema" := '{reports.SARIF_SCHEMA}', version := '2.1.0', runs := [struct_pack(
+      tool := struct_pack(driver := struct_pack(name := 'lectern', informationUri := '', rules := [struct_pack(id := 'lectern/needs-reformat',
+        shortDescription := struct_pack(text := 'File needs semantic line break formatting'))])),
+      results := list(struct_pack(ruleId := 'lectern/needs-reformat', level := 'warning', message := struct_pack(text := 'File needs semantic line break formatting ('
+        || coalesce(CAST(original_lines AS VARCHAR), '0') || ' -> ' || coalesce(CAST(formatted_lines AS VARCHAR), '0') || ' lines)'),
+        locations := [struct_pack(physicalLocation := struct_pack(artifactLocation := struct_pack(uri := file)))]) {_ORDER}))])) AS VARCHAR) AS report
+    FROM {_REPORTS} GROUP BY run_id"""
+)
+def sarif_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The SARIF report of each run."""
+    return reports.sarif_report(_reports(spark, d), "run_id")
+
+
+@query(f"SELECT 'would reformat: ' || file AS line FROM {_REPORTS}")
+def text_reports(spark: SparkSession, d: str) -> DataFrame:
+    return reports.text_report(_reports(spark, d))
+
+
+@query(f"SELECT run_id, CAST(coalesce(max(CAST(original_lines <> formatted_lines AS INT)), 0) AS INT) AS exit_code FROM {_REPORTS} GROUP BY run_id")
+def exit_codes(spark: SparkSession, d: str) -> DataFrame:
+    """1 for runs with any file whose lines change."""
+    return reports.exit_codes(_reports(spark, d), "run_id", F.col("original_lines") != F.col("formatted_lines"))
+
+
+@query(
+    rf"""SELECT run_id, bool_or(coalesce(e = 'org', false)) AS has_org, bool_or(coalesce(e IN ('tex', 'latex'), false)) AS has_latex,
+      bool_or(coalesce(e IN ('md', 'markdown'), false)) AS has_markdown FROM (SELECT run_id, {_EXT} AS e FROM {_REPORTS}) GROUP BY run_id"""
+)
+def formats_in_use(spark: SparkSession, d: str) -> DataFrame:
+    """Which formats the files of a run have."""
+    e = F.coalesce(tx.extension(F.col("file")), F.lit(""))
+    each = _reports(spark, d).groupBy("run_id")
+    return each.agg(
+        F.bool_or(e == "org").alias("has_org"), F.bool_or(e.isin("tex", "latex")).alias("has_latex"), F.bool_or(e.isin("md", "markdown")).alias("has_markdown")
+    )
+
+
+@query(r"SELECT DISTINCT regexp_extract(file, '^(.*)/[^/]*$', 1) AS folder FROM check_reports WHERE contains(file, '/')")
+def watched_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The folders of all reported files."""
+    return files.parent_folders(table(spark, d, "check_reports"), "file")
+
+
+@query("SELECT DISTINCT report_id, file FROM check_reports WHERE " + _EXT + " IN ('org', 'tex', 'latex', 'ltx', 'sty', 'cls', 'md', 'markdown', 'mkd', 'mdx')")
+def prose_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the formats that sentence diffs look at."""
+    typed = table(spark, d, "check_reports").select("report_id", "file", tx.format_of_path(F.col("file")).alias("format"))
+    return files.prose_files(typed).select("report_id", "file").distinct()
+
+
+@query("SELECT call_id, max(received_at) AS received_at, count(*) AS n_rows FROM format_requests GROUP BY call_id")
+def latest_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The last delivery of each call."""
+    return table(spark, d, "format_requests").groupBy("call_id").agg(F.max("received_at").alias("received_at"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(
+    """SELECT user_id, to_timestamp(unnest(list_reduce(list_transform(times, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] >= 3600000000 THEN list_concat(a, x) ELSE a END)) / 1000000)::TIMESTAMP AS ts
+    FROM (SELECT user_id, list_sort(list(DISTINCT epoch_us(ts))) AS times FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id)"""
+)
+def debounced_events(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events at least an hour after the last one accepted."""
+    return debounced(table(spark, d, "events"), "user_id", "ts", 3_600_000, 24 * 3600)
+
+
+# --- versions -----------------------------------------------------------------------------------------------------------
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions of each text: as it is, and with one word changed everywhere."""
+    calls = _calls(spark, d, "text", "format").withColumn("format", tx.format_of_spelling(F.col("format")))
+    new = calls.select("call_id", F.replace("text", F.lit(" the "), F.lit(" THE ")).alias("text"))
+    return diffs.changed_versions(calls, new, "call_id").join(calls.select("call_id", "format"), "call_id")
+
+
+@query("SELECT DISTINCT call_id FROM format_requests WHERE contains(text, ' the ')")
+def changed_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose versions differ."""
+    return _versions(spark, d).select("call_id")
+
+
+@query()
+def sentence_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences added and removed between versions."""
+    return diffs.sentence_changes(_versions(spark, d), "call_id")
+
+
+@query()
+def sentence_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Unified diffs of the sentences of both versions."""
+    return diffs.sentence_diff_df(_versions(spark, d), "call_id", reference="HEAD")
+
+
+@query(
+    rf"""WITH t AS (SELECT DISTINCT call_id, replace(text, chr(13) || chr(10), chr(10)) AS a FROM format_requests WHERE contains(text, ' the ')),
+    x AS (SELECT call_id, unnest({_LINES.format("a")}) AS line, -1 AS n FROM t
+      UNION ALL SELECT call_id, unnest({_LINES.format("replace(a, ' the ', ' THE ')")}) AS line, 1 AS n FROM t)
+    SELECT call_id, CASE WHEN sum(n) > 0 THEN 'added' ELSE 'removed' END AS op, line, CAST(abs(sum(n)) AS BIGINT) AS n FROM x GROUP BY call_id, line HAVING sum(n) <> 0"""
+)
+def line_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines added and removed between versions, as a multiset."""
+    pairs = _versions(spark, d)
+    side = lambda c, n: F.transform(tx.lines(F.col(c)), lambda x: F.struct(x.alias("line"), F.lit(n).alias("n")))
+    net = pairs.select("call_id", F.explode(F.concat(side("old_text", -1), side("new_text", 1))).alias("x")).groupBy("call_id", F.col("x.line").alias("line")).agg(F.sum("x.n").alias("n"))
+    return net.where("n <> 0").select("call_id", F.when(F.col("n") > 0, "added").otherwise("removed").alias("op"), "line", F.abs("n").alias("n"))

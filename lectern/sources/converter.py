@@ -43,35 +43,36 @@ def inline_text(inlines: list[dict]) -> str:
 
 
 def block_regions(blocks: list[dict]) -> list[Region]:
+    """Regions of block elements, containers opened up. Headings and terms are lines of structure, tables a stand-in."""
     out: list[Region] = []
+
+    def line(text: str) -> None:
+        if text:
+            out.append((STRUCTURE, text + "\n"))
+
     for b in blocks:
         kind, c = b.get("t"), b.get("c")
         if kind in ("Para", "Plain"):
-            if text := inline_text(c):
+            if text := inline_text(c).strip():
                 out.append((PROSE, text))
         elif kind == "Header":
-            out += [(STRUCTURE, "#" * c[0] + " "), (PROSE, inline_text(c[2])), (STRUCTURE, "\n")]
+            line(inline_text(c[2]).strip())
         elif kind in ("CodeBlock", "RawBlock"):
-            out.append((STRUCTURE, c[1] + "\n"))
+            out.append((STRUCTURE, c[1]))
         elif kind in ("BulletList", "OrderedList"):
-            for n, item in enumerate(c if kind == "BulletList" else c[1]):
-                out.append((STRUCTURE, "- " if kind == "BulletList" else f"{n + 1}. "))
+            for item in c if kind == "BulletList" else c[1]:
                 out += block_regions(item)
         elif kind == "DefinitionList":
             for term, definitions in c:
-                out.append((PROSE, inline_text(term)))
+                line(inline_text(term).strip())
                 for d in definitions:
                     out += block_regions(d)
         elif kind == "LineBlock":
-            out += [(STRUCTURE, inline_text(line) + "\n") for line in c]
-        elif kind == "BlockQuote":
-            out += block_regions(c)
-        elif kind in ("Div", "Figure"):
-            out += block_regions(c[-1])
-        elif kind == "HorizontalRule":
-            out.append((STRUCTURE, "---\n"))
-        elif kind == "Table":
-            out.append((STRUCTURE, "[table]\n"))
+            out += [(STRUCTURE, inline_text(x) + "\n") for x in c]
+        elif kind in ("BlockQuote", "Div", "Figure"):
+            out += block_regions(c if kind == "BlockQuote" else c[-1])
+        elif kind in ("HorizontalRule", "Table"):
+            line("---" if kind == "HorizontalRule" else "[table]")
     return out
 
 
