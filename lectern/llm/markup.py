@@ -251,7 +251,7 @@ def clean(text: str, own: str = "plaintext") -> str:
             pass
         elif _DROP_LINE.match(line):
             pass
-        elif m := _HEADING.match(line):
+        elif (m := _HEADING.match(line)) and (m[3] != "*" or own == "org"):
             mark = m[1] or m[3] or m[5]
             out.append("#" * len(mark) + " " + (m[2] or m[4] or m[6] or ""))
         elif m := _ITEM.match(line):

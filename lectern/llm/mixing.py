@@ -68,7 +68,7 @@ def due(u, demand, lean, tilt: float):
     """The time at which the cumulative demand reaches ``u``: the root in 0..1 of a*t*t + (1 - a)*t = u / demand."""
     a, v = F.lit(tilt) * lean, F.least(u / demand, F.lit(1.0))
     b = F.lit(1.0) - a
-    return F.when(F.abs(a) < 1e-9, v).otherwise(2.0 * v / (b + F.sqrt(F.greatest(b * b + 4.0 * a * v, F.lit(0.0)))))
+    return F.when(F.abs(a) < 1e-9, v).otherwise(F.least(2.0 * v / (b + F.sqrt(F.greatest(b * b + 4.0 * a * v, F.lit(0.0)))), F.lit(1.0)))
 
 
 def mixture(sized: DataFrame, targets: DataFrame, tilt: float = TILT, blocks: int = BLOCKS) -> DataFrame:

@@ -104,7 +104,8 @@ def _encode_pieces(name: str, folder: str, chunk: int):
 def _encode(name: str, folder: str):
     def of_batch(batch: pa.RecordBatch) -> dict:
         enc = encoding(name, folder)
-        return {"doc_id": batch.column("doc_id"), "ids": _lists([enc.encode_ordinary(t or "") for t in batch.column("text").to_pylist()])}
+        keys = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+        return {**keys, "ids": _lists([enc.encode_ordinary(t or "") for t in batch.column("text").to_pylist()])}
 
     return of_batch
 
@@ -141,8 +142,8 @@ def _encode_long(docs: DataFrame, name: str, folder: str, chunk: int, overlap: i
     encoded = map_rows(parts, _encode_pieces(name, folder, chunk), "doc_id bigint, h string, k int, ids array<int>")
     joined = encoded.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     joined = joined.select("doc_id", "h", F.flatten("parts.ids").alias("ids"))
-    rest = each.join(whole_keys, is_whole, "left_semi").select("doc_id", "text")
-    whole = map_rows(rest, _encode(name, folder), "doc_id bigint, ids array<int>", rows=1).select("doc_id", F.lit(None).cast("string").alias("h"), "ids")
+    rest = each.join(whole_keys, is_whole, "left_semi").select("doc_id", "h", "text")
+    whole = map_rows(rest, _encode(name, folder), "doc_id bigint, h string, ids array<int>", rows=1)
     copies = docs.groupBy("doc_id", "h").count().where("count > 1")
     done = joined.unionByName(whole)
     again = done.alias("e").join(copies.alias("n"), [F.col("e.doc_id").eqNullSafe(F.col("n.doc_id")), F.col("e.h") == F.col("n.h")], "left")
