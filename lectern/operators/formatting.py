@@ -10,6 +10,7 @@ width is no limit; null lists of abbreviations are empty.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,11 +39,16 @@ def regions(text: Column, format: Column) -> Column:
     return _read_regions(text, F.coalesce(format, F.lit("plaintext")))
 
 
+@lru_cache(maxsize=65536)
+def _columns(c: str) -> int:
+    if unicodedata.combining(c) or unicodedata.category(c) in ("Cf", "Mn", "Me"):
+        return 0
+    return 2 if unicodedata.east_asian_width(c) in "WF" else 1
+
+
 def display_width(text: str) -> int:
     """Columns of a terminal: wide characters take two, combining and invisible ones none."""
-    if text.isascii():
-        return len(text)
-    return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Cf", "Mn", "Me") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+    return len(text) if text.isascii() else sum(map(_columns, text))
 
 
 def _chunks(text: str, width: int) -> list[tuple[str, str]]:
@@ -59,15 +65,15 @@ def _chunks(text: str, width: int) -> list[tuple[str, str]]:
         while k < n and text[k] == " ":
             k += 1
         word, space = text[i:j], text[j:k]
-        while display_width(word) > width:
-            cut, used = 0, 0
-            while cut < len(word) and (used == 0 or used + display_width(word[cut]) <= width):
-                used += display_width(word[cut])
-                cut += 1
-            if cut >= len(word):
-                break
-            out.append((word[:cut], ""))
-            word = word[cut:]
+        if display_width(word) > width:
+            start = used = 0
+            for at, c in enumerate(word):
+                w = _columns(c)
+                if used + w > width and at > start:
+                    out.append((word[start:at], ""))
+                    start, used = at, 0
+                used += w
+            word = word[start:]
         out.append((word, space))
         i = k
     return out
@@ -81,11 +87,11 @@ def wrapped(text: str, width: int) -> str:
     """``text`` in lines of at most ``width`` columns, the breaks chosen for the least sum of squared gaps."""
     out = []
     for paragraph in text.split("\n"):
+        if display_width(paragraph) <= width:
+            out.append(paragraph.rstrip(" "))
+            continue
         words = _chunks(paragraph, width)
         n = len(words)
-        if n <= 1:
-            out.append(paragraph.rstrip(" ") if n and display_width(words[0][0]) == display_width(paragraph.rstrip(" ")) else paragraph)
-            continue
         sizes = [(display_width(w), len(s)) for w, s in words]
         best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
         for end in range(1, n + 1):
@@ -175,7 +181,7 @@ def format_range_df(
     all_lines = tx.lines(F.col(text))
     df = df.withColumn("_lines", all_lines).withColumn("_from", F.greatest(start, F.lit(1)).cast("int")).withColumn("_to", F.least(end, F.size("_lines")).cast("int"))
     size = F.size("_lines")
-    usable = F.coalesce((F.col("_from") <= size) & (F.col("_from") <= F.col("_to")), F.lit(False))
+    usable = start.isNotNull() & end.isNotNull() & F.coalesce((F.col("_from") <= size) & (F.col("_from") <= F.col("_to")), F.lit(False))
     count = F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0))
     df = df.withColumn("_part", F.when(usable, F.array_join(F.slice("_lines", F.greatest("_from", F.lit(1)), count), "\n")))
     df = format_df(df, "_part", format, width, lang, extras, "_done")
