@@ -43,6 +43,8 @@ TERMINATORS = ".!?…。！？．｡।॥؟‼⁇⁈⁉"
 SOFT = ".…．"  # may also stand inside a sentence
 OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "«": "»", "“": "”", "„": "“", "‘": "’", "‚": "‘"}
 CLOSERS = frozenset(OPEN.values()) | {'"'}
+#: Characters that go on with a sentence after a quotation; fixed values.
+PARTICLES = frozenset("とをがはにのもでやか的地得着了")
 ITEM = re.compile(r"[ \t　]*(?:[-*+•‣◦–—・]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)]|[（(]?[一二三四五六七八九十]+[)）、])[ \t　]+(?=\S)")
 WHOLE = re.compile(
     r"!?\[\[[^\[\]\n]*\](?:\[[^\[\]\n]*\])?\]|!?\[[^\[\]]+\]\([^()\s]+\)|`[^`\n]+`|\$[^$\s][^$\n]*\$|\\[A-Za-z]+\{[^{}]*\}"
@@ -197,7 +199,9 @@ def score(s: str, kind: str, mark: int, after: int, model: Model, declared: froz
     if kind == "space":
         return total + (0.5 if THAI.match(s[mark - 1]) else -2.0)
     if kind == "close":
-        return total + (3.5 if alone else -1.0)
+        if not alone:
+            return total - 1.0
+        return total + (2.0 if first in PARTICLES else 5.0)
     if kind == "hard":
         return total + 3.0
     if kind == "dots":
@@ -271,7 +275,7 @@ def unit_starts(s: str, model: Model, declared: frozenset[str]) -> list[int]:
             while j < n and s[j] in TERMINATORS:
                 j += 1
             run = s[i:j]
-            while j < n and s[j] in CLOSERS and not (s[j] == '"' and j + 1 < n and not s[j + 1].isspace()):
+            while j < n and s[j] in CLOSERS and j not in opening and not (s[j] == '"' and j + 1 < n and not s[j + 1].isspace()):
                 j += 1
             e = j
             while e < n and s[e].isspace():
