@@ -45,7 +45,7 @@ OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」",
 CLOSERS = frozenset(OPEN.values()) | {'"'}
 #: Characters that go on with a sentence after a quotation; fixed values.
 PARTICLES = frozenset("とをがはにのもでやか的地得着了")
-ITEM = re.compile(r"[ \t　]*(?:[-*+•‣◦–—・]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)]|[（(]?[一二三四五六七八九十]+[)）、])[ \t　]+(?=\S)")
+ITEM = re.compile(r"[ \t　]*(?:[-*+•‣◦]|\(?\d{1,3}[.)]|\(?[A-Za-z]\)|[（(]?[一二三四五六七八九十]+[)）、])[ \t　]+(?=\S)")
 WHOLE = re.compile(
     r"!?\[\[[^\[\]\n]*\](?:\[[^\[\]\n]*\])?\]|!?\[[^\[\]]+\]\([^()\s]+\)|`[^`\n]+`|\$[^$\s][^$\n]*\$|\\[A-Za-z]+\{[^{}]*\}"
     r"|(?<![\w~])~[^~\n]+~(?!\w)|(?<![\w=])=[^=\s][^=\n]*=(?!\w)|@@[a-z]+:.*?@@"
