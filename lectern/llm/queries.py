@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, lookalike, markup, mixing, pieces, reading, sentences, tokens
+from lectern.llm import language, lookalike, markup, mixing, pieces, reading, sentences, templates, tokens
 from lectern.runtime import checkpointed, table
 
 
@@ -28,6 +28,11 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_texts(table(spark, d, "format_requests")).distinct()
 
 
+def p2_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The method named for the problem: templates of each project's texts."""
+    return templates.templates(table(spark, d, "format_requests"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return language.undeclared(table(spark, d, "format_requests"), table(spark, d, "project_configs"))
 
@@ -97,7 +102,7 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        p1_found, p1_units, p2_found, p2_clean, p3_found, p3_segments, p4_found, p4_pieces, p5_found, p5_forms,
+        p1_found, p1_units, p2_found, p2_clean, p2_templates, p3_found, p3_segments, p4_found, p4_pieces, p5_found, p5_forms,
         p6_ids, p6_round_trip, p7_found, p7_report, p7_mixture, p8_found, p8_levels,
     )
     return {f.__name__: f for f in found}
