@@ -35,7 +35,8 @@ def bounded_sample(df: DataFrame, key: str, rows: int, total: int | None = None)
     total = df.count() if total is None else total
     if total <= rows:
         return df.where(F.col(key).isNotNull())
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+    parts = 1 << 53
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(parts)) < int(parts * rows / total))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
