@@ -43,8 +43,11 @@ TERMINATORS = ".!?…。！？．｡।॥؟‼⁇⁈⁉"
 SOFT = ".…．"  # may also stand inside a sentence
 OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "«": "»", "“": "”", "„": "“", "‘": "’", "‚": "‘"}
 CLOSERS = frozenset(OPEN.values()) | {'"'}
+QUOTES = re.compile("[" + "".join(re.escape(c) for c in sorted({*OPEN, *CLOSERS})) + "]")
 #: Characters that go on with a sentence after a quotation; fixed values.
 PARTICLES = frozenset("とをがはにのもでやか的地得着了")
+EVENT = re.compile(f"[{TERMINATORS}]+")
+THAI_EVENT = re.compile(f"[{TERMINATORS}]+|\\s+")
 ITEM = re.compile(r"[ \t　]*(?:[-*+•‣◦]|\(?\d{1,3}[.)]|\(?[A-Za-z]\)|[（(]?[一二三四五六七八九十]+[)）、])[ \t　]+(?=\S)")
 WHOLE = re.compile(
     r"!?\[\[[^\[\]\n]*\](?:\[[^\[\]\n]*\])?\]|!?\[[^\[\]]+\]\([^()\s]+\)|`[^`\n]+`|\$[^$\s][^$\n]*\$|\\[A-Za-z]+\{[^{}]*\}"
@@ -90,7 +93,8 @@ def covered(s: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     pairs: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
     k = 0
-    for i, c in enumerate(s):
+    for m in QUOTES.finditer(s):
+        i, c = m.start(), m[0]
         while k < len(whole) and whole[k][1] <= i:
             k += 1
         if k < len(whole) and whole[k][0] <= i:
@@ -253,12 +257,13 @@ def unit_starts(s: str, model: Model, declared: frozenset[str]) -> list[int]:
     candidates: list[tuple[int, float]] = []
     i, n, last = 0, len(s), 0
     k = 0
-    unspaced_thai = THAI.search(s) is not None
+    events = THAI_EVENT if THAI.search(s) is not None else EVENT
     standing = {0}
     while i < n:
         while k < len(inside) and inside[k][1] <= i:
             k += 1
-        c = s[i]
+        event = events.search(s, i)
+        i = event.start() if event else n
         if k < len(inside) and inside[k][0] <= i:
             a, b = inside[k]
             if a in opening and b == opening[a] and s[a:b].rstrip("\"'”’»)]）」』“》")[-1:] and s[a:b].rstrip("\"'”’»)]）」』“》")[-1] in TERMINATORS:
@@ -270,10 +275,10 @@ def unit_starts(s: str, model: Model, declared: frozenset[str]) -> list[int]:
                     standing.add(j)
             i = b
             continue
-        if c in TERMINATORS:
-            j = i
-            while j < n and s[j] in TERMINATORS:
-                j += 1
+        if i == n:
+            break
+        j = event.end()
+        if s[i] in TERMINATORS:
             run = s[i:j]
             while j < n and s[j] in CLOSERS and j not in opening and not (s[j] == '"' and j + 1 < n and not s[j + 1].isspace()):
                 j += 1
@@ -288,15 +293,11 @@ def unit_starts(s: str, model: Model, declared: frozenset[str]) -> list[int]:
                     standing.add(e)
             i = max(j, i + 1)
             continue
-        if unspaced_thai and c.isspace() and i and (THAI.match(s[i - 1]) or s[i - 1] in CLOSERS or s[i - 1].isalnum()):
-            e = i
-            while e < n and s[e].isspace():
-                e += 1
+        if i and (THAI.match(s[i - 1]) or s[i - 1] in CLOSERS or s[i - 1].isalnum()):
+            e = j
             if e < n and (THAI.match(s[e]) or e in opening):
                 candidates.append((e, score(s, "space", i, e, model, declared, False, e in opening and _ends_inside(s, e, opening[e]), True)))
-            i = e
-            continue
-        i += 1
+        i = j
     if not candidates:
         return [0]
     positions = [p for p, _ in candidates]
