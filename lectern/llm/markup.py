@@ -81,6 +81,9 @@ MARKS = {
     ),
 }
 
+#: Without any of these there is no mark of any kind.
+ANY_MARK = re.compile(r"[<>&{}\[\]\\$#*=~`|@^\"+]|''|__|::|^[ \t]*:[A-Z]|^[ \t]*\.\. |^[ \t]*(?:SCHEDULED|DEADLINE|CLOSED):", re.M)
+
 FENCE = re.compile(r"^([ \t]*)(`{3,}|~{3,})[ \t]*([\w+.#-]*)[^`]*$")
 ORG_BLOCK = re.compile(r"^[ \t]*#\+begin_(src|example|export|verbatim|comment)\b", re.I)
 ORG_BLOCK_END = re.compile(r"^[ \t]*#\+end_(src|example|export|verbatim|comment)\b", re.I)
@@ -102,6 +105,8 @@ def blocks(text: str, own: str = "plaintext") -> tuple[list[str], list[tuple[int
     lines = text.split("\n")
     inside: list[tuple[int, int]] = []
     kinds: set[str] = set()
+    if not any(x in text for x in ("```", "~~~", "#+", "\\begin", ".. ", "::")):
+        return lines, inside, kinds
     i, n = 0, len(lines)
     while i < n:
         line = lines[i].rstrip("\r")
@@ -189,7 +194,9 @@ def masked(text: str, own: str = "plaintext") -> tuple[str, set[str]]:
 
 
 def kinds_of(text: str, own: str = "plaintext") -> set[str]:
-    """All kinds of markup in the text, its own among them."""
+    """All kinds of markup in the text; of its own kind only what delimits code."""
+    if not ANY_MARK.search(text):
+        return set()
     rest, kinds = masked(text, own)
     for kind, marks in MARKS.items():
         if kind != own and kind not in kinds and marks.search(rest):
