@@ -11,7 +11,7 @@ from lectern.functions import text as tx
 from lectern.operators import checks, diffs, formatting, plain_regions, reports
 from lectern.operators.sentences import TOKENS, sentences
 from lectern.plans import config
-from lectern.runtime import table
+from lectern.runtime import one_each, spread, table
 from lectern.sources import files
 from lectern.streaming.debounce import debounced
 
@@ -40,7 +40,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _calls(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Calls to format, each once. Redelivered rows repeat a call's content, so any row of a call will do."""
-    return table(spark, d, "format_requests").select("call_id", *columns).where(F.col("call_id").isNotNull()).dropDuplicates(["call_id"])
+    return one_each(table(spark, d, "format_requests").select("call_id", *columns), "call_id")
 
 
 def _configured(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +203,7 @@ def lens_titles(spark: SparkSession, d: str) -> DataFrame:
 )
 def plain_text_regions(spark: SparkSession, d: str) -> DataFrame:
     """Prose, structure and blank regions of plain text, by windows."""
-    calls = table(spark, d, "split_requests").select("call_id", "text").dropDuplicates(["call_id"])
+    calls = one_each(table(spark, d, "split_requests").select("call_id", "text"), "call_id")
     return plain_regions.plain_regions(calls, "call_id")
 
 
@@ -229,7 +229,7 @@ def regions_keep_text(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def split_calls(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of each call's text by the rules, with its declared abbreviations: ``(call_id, sentence_no, sentence)``."""
-    calls = table(spark, d, "split_requests").select("call_id", "text", "extra_abbreviations").dropDuplicates(["call_id"])
+    calls = one_each(table(spark, d, "split_requests").select("call_id", "text", "extra_abbreviations"), "call_id")
     words = F.transform(F.filter("extra_abbreviations", lambda x: x.isNotNull()), lambda x: F.rtrim(F.trim(x), F.lit(".")))
     found = calls.select("call_id", F.posexplode(sentences(F.col("text"), "en", words)).alias("sentence_no", "sentence"))
     return found
@@ -238,15 +238,15 @@ def split_calls(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def format_calls(spark: SparkSession, d: str) -> DataFrame:
     """Each call's text formatted with what holds for it: ``(call_id, formatted)``."""
-    calls = _configured(spark, d)
+    calls = one_each(_configured(spark, d), "call_id")
     done = formatting.format_df(calls, "text", "format", F.col("width"), F.col("lang"), F.col("abbreviations"))
-    return done.select("call_id", "formatted").distinct()
+    return done.select("call_id", "formatted")
 
 
 @query()
 def format_documents(spark: SparkSession, d: str) -> DataFrame:
     """Corpus documents as plain text, one sentence to a line: ``(doc_id, formatted)``."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang").withColumn("format", F.lit("plaintext"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang")).withColumn("format", F.lit("plaintext"))
     return formatting.format_df(docs, "text", "format", 0, F.col("lang")).select("doc_id", "formatted")
 
 
@@ -262,7 +262,7 @@ def format_ranges(spark: SparkSession, d: str) -> DataFrame:
 )
 def formatting_keeps_lines_ended(spark: SparkSession, d: str) -> DataFrame:
     """Formatting plain text again changes nothing: calls, and calls changed by the second time."""
-    calls = table(spark, d, "split_requests").where(F.col("text").isNotNull()).select("call_id", "text").dropDuplicates(["call_id"]).withColumn("format", F.lit("plaintext"))
+    calls = one_each(table(spark, d, "split_requests").where(F.col("text").isNotNull()).select("call_id", "text"), "call_id").withColumn("format", F.lit("plaintext"))
     once = formatting.format_df(calls, out="once")
     twice = formatting.format_df(once, "once", "format", out="twice")
     return twice.agg(F.count(F.lit(1)).alias("n_calls"), F.count(F.when(F.col("once") != F.col("twice"), 1)).alias("n_changed"))
@@ -274,14 +274,14 @@ def formatting_keeps_lines_ended(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def changed_calls(spark: SparkSession, d: str) -> DataFrame:
     """Texts that formatting would change, with the lines of both."""
-    calls = table(spark, d, "check_requests").select("call_id", "text", "format").dropDuplicates(["call_id"]).withColumn("format", tx.format_of_spelling(F.col("format")))
+    calls = one_each(table(spark, d, "check_requests").select("call_id", "text", "format"), "call_id").withColumn("format", tx.format_of_spelling(F.col("format")))
     return checks.check_df(calls, "call_id")
 
 
 @query()
 def check_diffs(spark: SparkSession, d: str) -> DataFrame:
     """Unified diffs of the texts that formatting would change."""
-    calls = table(spark, d, "check_requests").select("call_id", "text", "format").dropDuplicates(["call_id"]).withColumn("format", tx.format_of_spelling(F.col("format")))
+    calls = one_each(table(spark, d, "check_requests").select("call_id", "text", "format"), "call_id").withColumn("format", tx.format_of_spelling(F.col("format")))
     done = formatting.format_df(calls).where(F.col("formatted") != F.col("text"))
     name = F.col("call_id").cast("string")
     return done.select("call_id", diffs.unified_diff(F.col("text"), F.col("formatted"), name, name).alias("diff"))
@@ -290,7 +290,7 @@ def check_diffs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def line_violations(spark: SparkSession, d: str) -> DataFrame:
     """Lines that hold several sentences."""
-    calls = table(spark, d, "check_requests").where(F.col("text").isNotNull()).select("call_id", "text").dropDuplicates(["call_id"])
+    calls = one_each(table(spark, d, "check_requests").where(F.col("text").isNotNull()).select("call_id", "text"), "call_id")
     found = calls.select("call_id", checks.violations(F.col("text")).alias("violations"))
     return found.select("call_id", "violations", (F.size("violations") == 0).alias("passed"))
 
@@ -305,7 +305,7 @@ def line_violations(spark: SparkSession, d: str) -> DataFrame:
 )
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Sentence ends inside lines, with their places."""
-    calls = table(spark, d, "check_requests").select("call_id", "text").dropDuplicates(["call_id"])
+    calls = one_each(table(spark, d, "check_requests").select("call_id", "text"), "call_id")
     return checks.diagnostics_df(calls, "call_id")
 
 
@@ -316,26 +316,26 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
 )
 def prose_rules(spark: SparkSession, d: str) -> DataFrame:
     """Two rules on each line: several sentences, too long."""
-    calls = table(spark, d, "check_requests").where(F.col("text").isNotNull()).select("call_id", "text").dropDuplicates(["call_id"])
+    calls = one_each(table(spark, d, "check_requests").where(F.col("text").isNotNull()).select("call_id", "text"), "call_id")
     rows = calls.select("call_id", F.posexplode(tx.lines(F.col("text"))).alias("line", "body"))
     return rows.select("call_id", "line", checks.prose_rules(F.col("body")).alias("r")).select("call_id", "line", "r.several_sentences", "r.long_line")
 
 
 @query()
 def quick_fixes(spark: SparkSession, d: str) -> DataFrame:
-    calls = table(spark, d, "check_requests").select("call_id", "text", "format").dropDuplicates(["call_id"]).withColumn("format", tx.format_of_spelling(F.col("format")))
+    calls = one_each(table(spark, d, "check_requests").select("call_id", "text", "format"), "call_id").withColumn("format", tx.format_of_spelling(F.col("format")))
     return checks.quick_fixes(calls, "call_id")
 
 
 @query()
 def text_edits(spark: SparkSession, d: str) -> DataFrame:
-    calls = table(spark, d, "check_requests").select("call_id", "text", "format").dropDuplicates(["call_id"]).withColumn("format", tx.format_of_spelling(F.col("format")))
+    calls = one_each(table(spark, d, "check_requests").select("call_id", "text", "format"), "call_id").withColumn("format", tx.format_of_spelling(F.col("format")))
     return checks.text_edits(calls, "call_id")
 
 
 @query()
 def hover_previews(spark: SparkSession, d: str) -> DataFrame:
-    calls = table(spark, d, "check_requests").select("call_id", "text", "format").dropDuplicates(["call_id"]).withColumn("format", tx.format_of_spelling(F.col("format")))
+    calls = one_each(table(spark, d, "check_requests").select("call_id", "text", "format"), "call_id").withColumn("format", tx.format_of_spelling(F.col("format")))
     return checks.hover_df(calls, "call_id")
 
 

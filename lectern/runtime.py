@@ -53,3 +53,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lectern-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def tasks_of(df: DataFrame) -> int:
+    """How many tasks a shuffle for heavy work per row should have: all cores, or the session's setting if that is more."""
+    session = df.sparkSession
+    return max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, at_most: int = 16 << 20) -> DataFrame:
+    """``df`` over all cores if its input is small, as one small file is read by one task; unchanged if it is larger.
+
+    Only for heavy work per row: at this size moving the rows costs next to nothing.
+    """
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # no estimate in this kind of session
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= at_most else df
+
+
+def one_each(df: DataFrame, key: str) -> DataFrame:
+    """One row for each key, spread by it for heavy work per row; null keys are left out."""
+    return df.where(F.col(key).isNotNull()).repartition(tasks_of(df), key).dropDuplicates([key])
