@@ -39,8 +39,8 @@ def language(lang: str | None) -> str:
 
 
 def tail_pattern(lang: str | None) -> str:
-    """A segment that ends in an abbreviation; the same pattern serves Java's and Python's engines."""
+    """A segment, without white space at its end, that ends in an abbreviation; for Java's and Python's engines."""
     lang = language(lang)
     words = "|".join(WORDS[lang])
     dotted = "|".join(re.escape(x) for x in DOTTED[lang])
-    return rf"""(?U)(?:(?:^|[\s"'`(\[])(?:{words})|(?:^|\s)(?:{dotted}))\.\s*\z"""
+    return rf"""(?U)(?:(?:^|[\s"'`(\[])(?:{words})|(?:^|\s)(?:{dotted}))\.\z"""

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: White space of all kinds.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 FORMATS = ("org", "latex", "markdown", "rst", "plaintext")
 #: File extensions of each format, case-sensitive; fixed values.
 EXTENSIONS = {"org": ("org",), "latex": ("tex", "latex", "ltx", "sty", "cls"), "markdown": ("md", "markdown", "mkd", "mdx"), "rst": ("rst", "rest")}
@@ -37,7 +39,7 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def unicode_trim(c: Column) -> Column:
     """Without white space (of any kind) at both ends; ``trim`` takes off U+0020 only."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:

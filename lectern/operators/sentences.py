@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.abbreviations import LANGS, language, tail_pattern
-from lectern.functions.text import let, unicode_trim
+from lectern.functions.text import WHITE, let, unicode_trim
 
 #: What is never split inside, in this order; fixed values.
 TOKENS = (
@@ -34,6 +34,8 @@ TOKENS = (
     r"@@[a-zA-Z]+:[^@]*@@",
 )
 TOKEN = "(?U)" + "|".join(TOKENS)
+#: A text without any of these has no token.
+TOKEN_SIGN = r"[\[$\\~=`@]|://|file:"
 PLACE = "\x00PH\x00"
 MARK = "\x01"
 
@@ -46,12 +48,13 @@ _GOES_ON = r",\-:\u055D\u060C\u060D\u07F8\u1802\u1808\u2013\u2014\u3001\uFE10\uF
 _PARAGRAPH = r"(?:\r\n|[\n\r\x85\u2028\u2029])"
 _TAIL = rf"(?:{_CLOSE}{_X})*+(?:{_SPACE}{_X})*+(?![{_GOES_ON}{_A}{_S}])"
 BOUNDARY = (
-    rf"(?:(?:[{_S}]{_X}{_TAIL}"
+    rf"(?=[{_S}{_A}\n\r\x85\u2028\u2029])(?:(?:[{_S}]{_X}{_TAIL}"
     rf"|[{_A}]{_X}(?!\p{{Nd}})(?!(?<=[\p{{Lu}}\p{{Lt}}\p{{Ll}}][{_A}])\p{{Lu}}){_TAIL}(?![^\p{{L}}\p{{Nl}}\r\n\x85\u2028\u2029{_A}{_S}]*+\p{{Ll}}))"
     rf"{_PARAGRAPH}?|{_PARAGRAPH})(?!\z)"
 )
 SUBSTANCE = r"[\p{L}\p{Nl}\p{N}]"
 QUOTED_END = r"""(?U)[.!?]["')\]]+\s*\z"""
+CLOSED_END = r"""["')\]]\z"""
 SMALL_START = r"(?U)\A\s*\p{Ll}"
 
 
@@ -62,17 +65,26 @@ def _joined(segments: Column, goes_on) -> Column:
     return F.filter(F.split(F.array_join(marked, ""), MARK), lambda s: s != "")
 
 
+#: No abbreviation of a list is nearly so long.
+_TAIL_LENGTH = 32
+
+
 def _is_abbreviated(segment: Column, lang: Column | str | None, extras: Column | None) -> Column:
+    return let(F.rtrim(segment, F.lit(WHITE)), lambda end: _ends_abbreviated(end, lang, extras))
+
+
+def _ends_abbreviated(end: Column, lang: Column | str | None, extras: Column | None) -> Column:
+    tail = F.right(end, F.lit(_TAIL_LENGTH))
     if isinstance(lang, Column):
         found = F
         for known in LANGS[1:]:  # literal patterns, so that each is compiled once
-            found = found.when(lang == known, segment.rlike(tail_pattern(known)))
-        found = found.otherwise(segment.rlike(tail_pattern("en")))
+            found = found.when(lang == known, tail.rlike(tail_pattern(known)))
+        found = found.otherwise(tail.rlike(tail_pattern("en")))
     else:
-        found = segment.rlike(tail_pattern(lang))
+        found = tail.rlike(tail_pattern(lang))
+    found = end.endswith(".") & found
     if extras is None:
         return found
-    end = F.regexp_replace(segment, r"(?U)\s+\z", "")
 
     def ends_in(word: Column) -> Column:
         before = F.substr(end, F.length(end) - F.length(word) - 1, F.lit(1))
@@ -87,17 +99,21 @@ def sentences(text: Column, lang: Column | str | None = None, extras: Column | N
     none = F.array().cast("array<string>")
 
     def restored(segments: Column, whole: Column) -> Column:
-        trimmed = F.array_join(F.transform(segments, unicode_trim), MARK)
+        return let(F.array_join(F.transform(segments, unicode_trim), MARK), lambda trimmed: put_back_into(trimmed, whole))
+
+    def put_back_into(trimmed: Column, whole: Column) -> Column:
         parts = F.split(trimmed, r"\x00PH\x00")
         put_back = F.zip_with(parts, F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(0)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        return F.filter(F.split(F.array_join(put_back, ""), MARK), lambda s: s != "")
+        whole_again = F.when(F.contains(trimmed, F.lit(PLACE)), F.array_join(put_back, "")).otherwise(trimmed)
+        return F.filter(F.split(whole_again, MARK), lambda s: s != "")
 
     def of(t: Column) -> Column:
-        marked = F.regexp_replace(F.regexp_replace(t, TOKEN, PLACE), BOUNDARY, "$0" + MARK)
+        tokens_out = F.when(t.rlike(TOKEN_SIGN), F.regexp_replace(t, TOKEN, PLACE)).otherwise(t)
+        marked = F.regexp_replace(tokens_out, BOUNDARY, "$0" + MARK)
         raw = F.filter(F.split(marked, MARK), lambda s: s.rlike(SUBSTANCE))
         whole = lambda segments: let(
             _joined(segments, lambda s, _: _is_abbreviated(s, lang, extras)),
-            lambda merged: restored(_joined(merged, lambda s, n: s.rlike(QUOTED_END) & F.coalesce(n.rlike(SMALL_START), F.lit(False))), t),
+            lambda merged: restored(_joined(merged, lambda s, n: F.rtrim(s, F.lit(WHITE)).rlike(CLOSED_END) & s.rlike(QUOTED_END) & F.coalesce(n.rlike(SMALL_START), F.lit(False))), t),
         )
         return F.when(t == "", none).otherwise(let(raw, lambda segments: F.when(F.size(segments) == 0, F.array(t)).otherwise(whole(segments))))
 
@@ -124,8 +140,8 @@ def split_text(text: str | None, lang: str | None = None, extras: tuple[str, ...
     tail = _compiled(tail_pattern(language(lang)))
 
     def abbreviated(s: str) -> bool:
-        end = s.rstrip()
-        return bool(tail.search(s)) or any(e and end.endswith(e + ".") and (len(end) == len(e) + 1 or end[-len(e) - 2].isspace()) for e in extras)
+        end = s.rstrip(WHITE)
+        return bool(tail.search(end)) or any(e and end.endswith(e + ".") and (len(end) == len(e) + 1 or end[-len(e) - 2].isspace()) for e in extras)
 
     for goes_on in (lambda a, _: abbreviated(a), lambda a, b: bool(_compiled(QUOTED_END).search(a) and _compiled(SMALL_START).search(b))):
         out = [segments[0]]
@@ -136,6 +152,6 @@ def split_text(text: str | None, lang: str | None = None, extras: tuple[str, ...
                 out.append(s)
         segments = out
     rest = iter(tokens)
-    whole = MARK.join(s.strip() for s in segments)
+    whole = MARK.join(s.strip(WHITE) for s in segments)
     parts = whole.split(PLACE)
     return [s for s in "".join(a + next(rest, "") for a in parts).split(MARK) if s]

@@ -67,7 +67,7 @@ def spread(df: DataFrame, at_most: int = 16 << 20) -> DataFrame:
     Only for heavy work per row: at this size moving the rows costs next to nothing.
     """
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # no estimate in this kind of session
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= at_most else df
