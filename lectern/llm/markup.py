@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import format_key, map_rows
+from lectern.runtime import spread
 
 KINDS = ("html", "markdown", "wiki", "latex", "org", "rst")
 
@@ -297,7 +298,7 @@ def _clean_batch(batch: pa.RecordBatch) -> dict:
 
 def foreign_kinds(calls: DataFrame) -> DataFrame:
     """``(call_id, own, foreign)``: the kinds of markup in each text other than that of its format."""
-    return map_rows(calls.select("call_id", "text", format_key(F.col("format")).alias("own")), _batch, "call_id bigint, own string, foreign array<string>")
+    return map_rows(spread(calls.select("call_id", "text", format_key(F.col("format")).alias("own"))), _batch, "call_id bigint, own string, foreign array<string>")
 
 
 def residue(calls: DataFrame) -> DataFrame:
@@ -307,4 +308,4 @@ def residue(calls: DataFrame) -> DataFrame:
 
 def clean_texts(calls: DataFrame) -> DataFrame:
     """``(call_id, clean)`` for each row."""
-    return map_rows(calls.select("call_id", "text", format_key(F.col("format")).alias("own")), _clean_batch, "call_id bigint, clean string")
+    return map_rows(spread(calls.select("call_id", "text", format_key(F.col("format")).alias("own"))), _clean_batch, "call_id bigint, clean string")

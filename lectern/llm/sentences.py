@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import map_rows, with_config
-from lectern.runtime import bounded_sample
+from lectern.runtime import bounded_sample, spread
 
 #: About so many texts are read to learn beginnings and abbreviations.
 TRAINING_TEXTS = 5000
@@ -349,7 +349,7 @@ def sentence_units(calls: DataFrame, configs: DataFrame, model: Model | None = N
                     out[name].append(v)
         return out
 
-    own = calls.where(F.col("text").isNotNull()).select("call_id", "project_id", "text", "extra_abbreviations")
+    own = spread(calls.where(F.col("text").isNotNull()).select("call_id", "project_id", "text", "extra_abbreviations"))
     with_words = with_config(own, configs, F.col("extra_abbreviations").alias("of_project"))
     none = F.array().cast("array<string>")
     words = F.concat(F.coalesce("extra_abbreviations", none), F.coalesce("of_project", none))
