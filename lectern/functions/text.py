@@ -34,7 +34,8 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     Projections are merged, and what they compute is copied into filters and into arguments of Python functions, which
     cannot hold lambdas; a generator of one row is where merging stops.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
 
 
 def unicode_trim(c: Column) -> Column:
@@ -188,3 +189,28 @@ def format_of_spelling(c: Column) -> Column:
     """A call's format in any spelling and case; null is plain text."""
     low = F.lower(F.trim(c))
     return F.coalesce(_case(low, SPELLINGS), low, F.lit("plaintext"))
+
+
+def line_predicates(line: Column) -> dict[str, Column]:
+    """What single lines are in the markup formats, by name."""
+    bare = unicode_trim(line)
+    start = F.ltrim(line, F.lit(WHITE))
+    upper = F.upper(start)
+    return {
+        "org_block_begin": upper.startswith("#+BEGIN_"),
+        "org_block_end": upper.startswith("#+END_"),
+        "org_drawer": bare.startswith(":") & bare.endswith(":") & (F.octet_length(bare) > 2),
+        "org_keyword": start.startswith("#+") & ~upper.startswith("#+BEGIN_") & ~upper.startswith("#+END_"),
+        "org_comment": start.startswith("#") & ~start.startswith("#+"),
+        "org_table": start.startswith("|"),
+        "org_headline": line.rlike(r"\A\*+[ \t]"),
+        "latex_comment": start.startswith("%"),
+        "latex_kept": line.rlike(r"\\begin\{(?:equation|align|gather|multline|eqnarray|figure|table|tabular)\*?\}|\\begin\{(?:lstlisting|verbatim|minted|tikzpicture|array|matrix|pmatrix|bmatrix)\}"),
+        "latex_display_open": start.startswith("\\["),
+        "markdown_heading": line.rlike(r"\A#{1,6}[ \t]"),
+        "markdown_fence": start.rlike(r"\A(?:`{3}|~{3})"),
+        "markdown_item": line.rlike(r"\A[ \t]*(?:[-*+]|[0-9]+[.)]) "),
+        "markdown_table": bare.rlike(r"(?s)\A\|.*\|\z"),
+        "rst_underline": bare.rlike(r"\A(?:==+|--+|~~+|\^\^+|\"\"+|##+|\*\*+|\+\++)\z"),
+        "rst_directive": start.startswith(".. ") & F.contains(start, F.lit("::")),
+    }

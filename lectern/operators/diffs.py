@@ -67,8 +67,8 @@ def document_sentences(regions: Column, sentences_of: Column) -> Column:
 
 def with_document_sentences(df: DataFrame, text: str, format: str, out: str) -> DataFrame:
     """Adds the flat list of a text (line ends as they are, English abbreviations)."""
-    read = with_sentences(with_regions(df, text, format, "_r"), "_r", None, None, "_s")
-    return tx.computed(read, out, document_sentences(F.col("_r"), F.col("_s"))).drop("_r", "_s")
+    read = with_sentences(with_regions(df, text, format, "__r_"), "__r_", None, None, "__s_")
+    return tx.computed(read, out, document_sentences(F.col("__r_"), F.col("__s_"))).drop("__r_", "__s_")
 
 
 def changed_versions(old: DataFrame, new: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -82,11 +82,11 @@ def sentence_changes(pairs: DataFrame, key: str, format: str = "format") -> Data
 
     ``pairs`` has ``key, old_text, new_text`` and a format column.  Both sides are counted in one aggregate.
     """
-    both = with_document_sentences(with_document_sentences(pairs, "old_text", format, "_old"), "new_text", format, "_new")
+    both = with_document_sentences(with_document_sentences(pairs, "old_text", format, "__old_"), "new_text", format, "__new_")
     none = F.array().cast("array<string>")
     signed = F.concat(
-        F.transform(F.coalesce("_new", none), lambda s: F.struct(s.alias("sentence"), F.lit(1).alias("n"))),
-        F.transform(F.coalesce("_old", none), lambda s: F.struct(s.alias("sentence"), F.lit(-1).alias("n"))),
+        F.transform(F.coalesce("__new_", none), lambda s: F.struct(s.alias("sentence"), F.lit(1).alias("n"))),
+        F.transform(F.coalesce("__old_", none), lambda s: F.struct(s.alias("sentence"), F.lit(-1).alias("n"))),
     )
     net = both.select(key, F.explode(signed).alias("x")).groupBy(key, F.col("x.sentence").alias("sentence")).agg(F.sum("x.n").alias("n"))
     return net.where("n <> 0").select(key, F.when(F.col("n") > 0, "added").otherwise("removed").alias("op"), "sentence", F.abs("n").alias("n"))
@@ -97,9 +97,9 @@ def sentence_diff_df(pairs: DataFrame, key: str, format: str = "format", name: s
 
     ``name`` is a column with the document's path; ``reference`` is put behind the old one's, in parentheses.
     """
-    both = with_document_sentences(with_document_sentences(pairs, "old_text", format, "_old"), "new_text", format, "_new")
+    both = with_document_sentences(with_document_sentences(pairs, "old_text", format, "__old_"), "new_text", format, "__new_")
     path = F.coalesce(F.col(name or key).cast("string"), F.lit(""))
     old_name = F.concat(path, F.lit(f" ({reference})")) if reference else path
-    joined = [F.array_join(c, "\n") for c in ("_old", "_new")]
-    changed = both.withColumn("_a", joined[0]).withColumn("_b", joined[1]).where("_a <> _b")
-    return changed.select(key, unified_diff(F.col("_a"), F.col("_b"), old_name, path).alias("diff"))
+    joined = [F.array_join(c, "\n") for c in ("__old_", "__new_")]
+    changed = both.withColumn("__a_", joined[0]).withColumn("__b_", joined[1]).where("`__a_` <> `__b_`")
+    return changed.select(key, unified_diff(F.col("__a_"), F.col("__b_"), old_name, path).alias("diff"))

@@ -162,12 +162,12 @@ def format_df(
     df: DataFrame, text: str = "text", format: str = "format", width: Column | int = 0, lang: Column | str | None = None, extras: Column | None = None, out: str = "formatted"
 ) -> DataFrame:
     """``df`` with a column ``out``: its ``text`` with one sentence to a line, and nothing else changed."""
-    read = with_regions(df, text, format, "_regions")
-    read = with_sentences(read, "_regions", lang, extras, "_sentences")
+    read = with_regions(df, text, format, "__regions_")
+    read = with_sentences(read, "__regions_", lang, extras, "__sentences_")
     if isinstance(width, Column) or width > 0:
-        read = read.withColumn("_sentences", _wrap_all(F.col("_sentences"), F.lit(width) if isinstance(width, int) else width))
-    joined = reflowed(F.col("_regions"), F.col("_sentences"))
-    return tx.computed(read, out, tx.let(joined, lambda j: tx.restored(F.col(text), j))).drop("_regions", "_sentences")
+        read = read.withColumn("__sentences_", _wrap_all(F.col("__sentences_"), F.lit(width) if isinstance(width, int) else width))
+    joined = reflowed(F.col("__regions_"), F.col("__sentences_"))
+    return tx.computed(read, out, tx.let(joined, lambda j: tx.restored(F.col(text), j))).drop("__regions_", "__sentences_")
 
 
 def format_range_df(
@@ -179,20 +179,20 @@ def format_range_df(
     The range is clipped to the text; one that starts behind it, or is null, leaves the text as it is.
     """
     all_lines = tx.lines(F.col(text))
-    df = df.withColumn("_lines", all_lines).withColumn("_from", F.greatest(start, F.lit(1)).cast("int")).withColumn("_to", F.least(end, F.size("_lines")).cast("int"))
-    size = F.size("_lines")
-    usable = start.isNotNull() & end.isNotNull() & F.coalesce((F.col("_from") <= size) & (F.col("_from") <= F.col("_to")), F.lit(False))
-    count = F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0))
-    df = df.withColumn("_part", F.when(usable, F.array_join(F.slice("_lines", F.greatest("_from", F.lit(1)), count), "\n")))
-    df = format_df(df, "_part", format, width, lang, extras, "_done")
-    before = F.when(F.col("_from") > 1, F.concat(F.array_join(F.slice("_lines", F.lit(1), F.col("_from") - 1), "\n"), F.lit("\n"))).otherwise(F.lit(""))
-    rest = F.slice("_lines", F.greatest(F.col("_to") + 1, F.lit(1)), F.greatest(size - F.col("_to"), F.lit(0)))
-    glue = F.when((F.col("_to") < size) & ~F.col("_done").endswith("\n"), F.lit("\n")).otherwise(F.lit(""))
-    whole = F.concat(before, F.col("_done"), glue, F.array_join(rest, "\n"))
+    df = df.withColumn("__lines_", all_lines).withColumn("__from_", F.greatest(start, F.lit(1)).cast("int")).withColumn("__to_", F.least(end, F.size("__lines_")).cast("int"))
+    size = F.size("__lines_")
+    usable = start.isNotNull() & end.isNotNull() & F.coalesce((F.col("__from_") <= size) & (F.col("__from_") <= F.col("__to_")), F.lit(False))
+    count = F.greatest(F.col("__to_") - F.col("__from_") + 1, F.lit(0))
+    df = df.withColumn("__part_", F.when(usable, F.array_join(F.slice("__lines_", F.greatest("__from_", F.lit(1)), count), "\n")))
+    df = format_df(df, "__part_", format, width, lang, extras, "__done_")
+    before = F.when(F.col("__from_") > 1, F.concat(F.array_join(F.slice("__lines_", F.lit(1), F.col("__from_") - 1), "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    rest = F.slice("__lines_", F.greatest(F.col("__to_") + 1, F.lit(1)), F.greatest(size - F.col("__to_"), F.lit(0)))
+    glue = F.when((F.col("__to_") < size) & ~F.col("__done_").endswith("\n"), F.lit("\n")).otherwise(F.lit(""))
+    whole = F.concat(before, F.col("__done_"), glue, F.array_join(rest, "\n"))
     ended = F.when(
         F.col(text).endswith("\n"), F.when(whole.endswith("\n"), whole).otherwise(F.concat(whole, F.lit("\n")))
     ).otherwise(F.regexp_replace(whole, r"\n+\z", ""))
-    return df.withColumn(out, F.when(usable, ended).otherwise(F.col(text))).drop("_lines", "_from", "_to", "_part", "_done")
+    return df.withColumn(out, F.when(usable, ended).otherwise(F.col(text))).drop("__lines_", "__from_", "__to_", "__part_", "__done_")
 
 
 def format_text(text: str | None, format: str | None = None, width: int = 0, lang: str | None = None, extras: tuple[str, ...] = ()) -> str | None:

@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _calls(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def calls_once(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Calls to format, each once. Redelivered rows repeat a call's content, so any row of a call will do."""
     return one_each(table(spark, d, "format_requests").select("call_id", *columns), "call_id")
 
@@ -53,27 +53,27 @@ def _configured(spark: SparkSession, d: str) -> DataFrame:
 
 # --- scans, functions ---------------------------------------------------------------------------------------------
 
-_LINES = r"string_split(regexp_replace({0}, '\r?\n\z', ''), chr(10))"
+LINES = r"string_split(regexp_replace({0}, '\r?\n\z', ''), chr(10))"
 
 
 @query(
-    rf"""SELECT call_id, CAST(CASE WHEN text = '' THEN 0 ELSE len({_LINES.format("text")}) END AS INT) AS n_lines
+    rf"""SELECT call_id, CAST(CASE WHEN text = '' THEN 0 ELSE len({LINES.format("text")}) END AS INT) AS n_lines
     FROM (SELECT DISTINCT call_id, text FROM format_requests WHERE text IS NOT NULL)"""
 )
 def line_counts(spark: SparkSession, d: str) -> DataFrame:
     """Lines of each text."""
-    texts = _calls(spark, d, "text").where(F.col("text").isNotNull())
+    texts = calls_once(spark, d, "text").where(F.col("text").isNotNull())
     return texts.select("call_id", F.size(tx.lines(F.col("text"))).alias("n_lines"))
 
 
-_EXT_CASE = """CASE WHEN {0} = 'org' THEN 'org' WHEN {0} IN ('tex', 'latex', 'ltx', 'sty', 'cls') THEN 'latex'
+EXT_CASE = """CASE WHEN {0} = 'org' THEN 'org' WHEN {0} IN ('tex', 'latex', 'ltx', 'sty', 'cls') THEN 'latex'
   WHEN {0} IN ('md', 'markdown', 'mkd', 'mdx') THEN 'markdown' WHEN {0} IN ('rst', 'rest') THEN 'rst' ELSE 'plaintext' END"""
-_EXT = r"regexp_extract(file, '(?:^|/)[^/]+\.([^./]*)$', 1)"
+EXT = r"regexp_extract(file, '(?:^|/)[^/]+\.([^./]*)$', 1)"
 
 
 @query(
-    f"""SELECT DISTINCT file, {_EXT_CASE.format(_EXT)} AS by_path, {_EXT_CASE.format("split_part(file, '.', -1)")} AS by_name,
-    CASE {_EXT} WHEN 'org' THEN 'org' WHEN 'tex' THEN 'latex' WHEN 'latex' THEN 'latex' WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown'
+    f"""SELECT DISTINCT file, {EXT_CASE.format(EXT)} AS by_path, {EXT_CASE.format("split_part(file, '.', -1)")} AS by_name,
+    CASE {EXT} WHEN 'org' THEN 'org' WHEN 'tex' THEN 'latex' WHEN 'latex' THEN 'latex' WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown'
       WHEN 'rst' THEN 'rst' WHEN 'rest' THEN 'rst' WHEN 'typ' THEN 'typst' WHEN 'adoc' THEN 'asciidoc' WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html'
       WHEN 'docx' THEN 'docx' WHEN 'txt' THEN 'markdown' END AS reader FROM check_reports WHERE file IS NOT NULL"""
 )
@@ -85,7 +85,7 @@ def file_formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH t AS (SELECT call_id, text, CASE WHEN text = '' THEN [] ELSE {_LINES.format("replace(text, chr(13) || chr(10), chr(10))")}[1:20] END AS first
+    rf"""WITH t AS (SELECT call_id, text, CASE WHEN text = '' THEN [] ELSE {LINES.format("replace(text, chr(13) || chr(10), chr(10))")}[1:20] END AS first
       FROM (SELECT DISTINCT call_id, text FROM format_requests WHERE text IS NOT NULL))
     SELECT call_id, CASE
       WHEN contains(text, '\begin{{') OR contains(text, '\section{{') OR contains(text, '\documentclass') THEN 'latex'
@@ -97,7 +97,7 @@ def file_formats(spark: SparkSession, d: str) -> DataFrame:
 )
 def content_formats(spark: SparkSession, d: str) -> DataFrame:
     """The format guessed from the content of each text."""
-    return _calls(spark, d, "text").where(F.col("text").isNotNull()).select("call_id", tx.format_of_content(F.col("text")).alias("guess"))
+    return calls_once(spark, d, "text").where(F.col("text").isNotNull()).select("call_id", tx.format_of_content(F.col("text")).alias("guess"))
 
 
 _MARKERS = ("{0}:off", "  # {0}:on  ", "% {0}:off", "<!-- {0}:on -->", "#{0}:off", "{0}: off")
@@ -124,7 +124,7 @@ def line_ranges(spark: SparkSession, d: str) -> DataFrame:
     return found.select("report_id", F.col("r.start").alias("first_line"), F.col("r.end").alias("last_line"))
 
 
-_LATEST = """latest AS (SELECT project_id, arg_max(struct_pack(lang, default_format, max_width, extra_abbreviations, ignore_patterns,
+LATEST = """latest AS (SELECT project_id, arg_max(struct_pack(lang, default_format, max_width, extra_abbreviations, ignore_patterns,
   org, latex, markdown, rst, plaintext), (loaded_at, rc_path)) AS p FROM project_configs WHERE project_id IS NOT NULL GROUP BY project_id)"""
 _FORMAT = """CASE lower(trim(format)) WHEN 'txt' THEN 'plaintext' WHEN 'md' THEN 'markdown' WHEN 'mkd' THEN 'markdown' WHEN 'tex' THEN 'latex'
   WHEN 'rest' THEN 'rst' ELSE coalesce(lower(trim(format)), 'plaintext') END"""
@@ -132,7 +132,7 @@ _PER_FORMAT = "CASE f WHEN 'org' THEN p.org.{0} WHEN 'latex' THEN p.latex.{0} WH
 
 
 @query(
-    f"""WITH {_LATEST}, calls AS (SELECT DISTINCT call_id, project_id, {_FORMAT} AS f, max_width, extra_abbreviations FROM format_requests)
+    f"""WITH {LATEST}, calls AS (SELECT DISTINCT call_id, project_id, {_FORMAT} AS f, max_width, extra_abbreviations FROM format_requests)
     SELECT call_id, f AS format,
       CAST(CASE WHEN max_width > 0 THEN max_width WHEN coalesce({_PER_FORMAT.format("max_width")}, p.max_width) > 0
         THEN coalesce({_PER_FORMAT.format("max_width")}, p.max_width) ELSE 0 END AS INT) AS width,
@@ -147,7 +147,7 @@ def call_settings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {_LATEST}, g AS (SELECT project_id, list_transform(list_filter(coalesce(p.ignore_patterns, []), lambda x: x IS NOT NULL), lambda x:
+    rf"""WITH {LATEST}, g AS (SELECT project_id, list_transform(list_filter(coalesce(p.ignore_patterns, []), lambda x: x IS NOT NULL), lambda x:
       '(?s)^' || replace(replace(regexp_replace(replace(replace(regexp_replace(x, '([.+^$(){{}}|\\])', '\\\1', 'g'), '[!', '[^'), '**/', chr(1)),
       '\*+', '.*', 'g'), '?', '.'), chr(1), '(?:.*/)?') || '$') AS patterns FROM latest)
     SELECT DISTINCT report_id, file, coalesce(len(list_filter(patterns, lambda x: regexp_matches(file, x) OR regexp_matches(split_part(file, '/', -1), x))) > 0, false) AS ignored
@@ -170,7 +170,7 @@ _TOKENS_SQL = "|".join(t.replace(r"\S", _S + "]").replace(r"[^.\s", _S + ".").re
 )
 def inline_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Links, formulas, code and the like that sentences are never cut inside."""
-    found = _calls(spark, d, "text").select("call_id", F.regexp_extract_all("text", F.lit("(?U)" + "|".join(TOKENS)), F.lit(0)).alias("t"))
+    found = calls_once(spark, d, "text").select("call_id", F.regexp_extract_all("text", F.lit("(?U)" + "|".join(TOKENS)), F.lit(0)).alias("t"))
     return found.where(F.size("t") > 0).select("call_id", F.size("t").alias("n_tokens"), F.array_join("t", "\x02").alias("tokens"))
 
 
@@ -189,7 +189,7 @@ def lens_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     rf"""WITH texts AS (SELECT DISTINCT call_id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM split_requests WHERE text IS NOT NULL AND text <> ''),
-    l AS (SELECT call_id, unnest(list_zip(range(0, len(a)), a)) AS x FROM (SELECT call_id, {_LINES.format("text")} AS a FROM texts)),
+    l AS (SELECT call_id, unnest(list_zip(range(0, len(a)), a)) AS x FROM (SELECT call_id, {LINES.format("text")} AS a FROM texts)),
     m AS (SELECT call_id, x[1] AS n, x[2] AS line, regexp_extract(trim(x[2]), '^(?:[#%] )?\s*[a-z][a-z0-9_-]*:(on|off)$', 1) AS marker FROM l),
     s AS (SELECT *, last_value(nullif(marker, '') IGNORE NULLS) OVER (PARTITION BY call_id ORDER BY n) AS state FROM m),
     k AS (SELECT *, CASE WHEN marker <> '' OR coalesce(state = 'off', false) THEN 'structure'
@@ -210,7 +210,7 @@ def plain_text_regions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def markup_regions(spark: SparkSession, d: str) -> DataFrame:
     """Regions of all formats: ``(call_id, region_no, kind, text)``."""
-    calls = _calls(spark, d, "text", "format").where(F.col("text").isNotNull()).withColumn("format", tx.format_of_spelling(F.col("format")))
+    calls = calls_once(spark, d, "text", "format").where(F.col("text").isNotNull()).withColumn("format", tx.format_of_spelling(F.col("format")))
     read = formatting.with_regions(calls).select("call_id", F.posexplode("regions").alias("region_no", "r"))
     return read.select("call_id", "region_no", "r.kind", "r.text")
 
@@ -220,7 +220,7 @@ def markup_regions(spark: SparkSession, d: str) -> DataFrame:
 )
 def regions_keep_text(spark: SparkSession, d: str) -> DataFrame:
     """Texts whose regions hold all their letters and digits in order: all of them."""
-    calls = _calls(spark, d, "text", "format").where(F.col("text").isNotNull()).withColumn("format", tx.format_of_spelling(F.col("format")))
+    calls = calls_once(spark, d, "text", "format").where(F.col("text").isNotNull()).withColumn("format", tx.format_of_spelling(F.col("format")))
     bare = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
     read = formatting.with_regions(calls).where(bare(F.col("text")) == bare(F.array_join(F.transform("regions", lambda r: r["text"]), "")))
     return read.agg(F.count(F.lit(1)).alias("same")).select(F.lit("calls").alias("kind"), "same")
@@ -253,7 +253,7 @@ def format_documents(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def format_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Lines 2 to 4 of each text formatted, the rest as it is."""
-    calls = _calls(spark, d, "text", "format").withColumn("format", tx.format_of_spelling(F.col("format")))
+    calls = calls_once(spark, d, "text", "format").withColumn("format", tx.format_of_spelling(F.col("format")))
     return formatting.format_range_df(calls, F.lit(2), F.lit(4)).select("call_id", "formatted")
 
 
@@ -297,7 +297,7 @@ def line_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     rf"""WITH texts AS (SELECT DISTINCT call_id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM check_requests WHERE text IS NOT NULL AND text <> ''),
-    l AS (SELECT call_id, unnest(list_zip(range(0, len(a)), a)) AS x FROM (SELECT call_id, {_LINES.format("text")} AS a FROM texts)),
+    l AS (SELECT call_id, unnest(list_zip(range(0, len(a)), a)) AS x FROM (SELECT call_id, {LINES.format("text")} AS a FROM texts)),
     c AS (SELECT call_id, x[1] AS line, x[2] AS body, unnest(range(2, length(x[2]))) AS j FROM l WHERE length(x[2]) > 2)
     SELECT call_id, CAST(line AS INT) AS line, CAST(j - 1 AS INT) AS start_col, CAST(j AS INT) AS end_col, 'hint' AS severity, 'lectern' AS source,
       'Sentence boundary inside a line' AS message
@@ -311,7 +311,7 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     rf"""WITH texts AS (SELECT DISTINCT call_id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM check_requests WHERE text IS NOT NULL AND text <> ''),
-    l AS (SELECT call_id, unnest(list_zip(range(0, len(a)), a)) AS x FROM (SELECT call_id, {_LINES.format("text")} AS a FROM texts))
+    l AS (SELECT call_id, unnest(list_zip(range(0, len(a)), a)) AS x FROM (SELECT call_id, {LINES.format("text")} AS a FROM texts))
     SELECT call_id, CAST(x[1] AS INT) AS line, regexp_matches(x[2], '[.!?][ \t\n\x0b\f\r]+[A-Z]') AS several_sentences, length(x[2]) >= 120 AS long_line FROM l"""
 )
 def prose_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -383,7 +383,7 @@ def exit_codes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     rf"""SELECT run_id, bool_or(coalesce(e = 'org', false)) AS has_org, bool_or(coalesce(e IN ('tex', 'latex'), false)) AS has_latex,
-      bool_or(coalesce(e IN ('md', 'markdown'), false)) AS has_markdown FROM (SELECT run_id, {_EXT} AS e FROM {_REPORTS}) GROUP BY run_id"""
+      bool_or(coalesce(e IN ('md', 'markdown'), false)) AS has_markdown FROM (SELECT run_id, {EXT} AS e FROM {_REPORTS}) GROUP BY run_id"""
 )
 def formats_in_use(spark: SparkSession, d: str) -> DataFrame:
     """Which formats the files of a run have."""
@@ -400,7 +400,7 @@ def watched_folders(spark: SparkSession, d: str) -> DataFrame:
     return files.parent_folders(table(spark, d, "check_reports"), "file")
 
 
-@query("SELECT DISTINCT report_id, file FROM check_reports WHERE " + _EXT + " IN ('org', 'tex', 'latex', 'ltx', 'sty', 'cls', 'md', 'markdown', 'mkd', 'mdx')")
+@query("SELECT DISTINCT report_id, file FROM check_reports WHERE " + EXT + " IN ('org', 'tex', 'latex', 'ltx', 'sty', 'cls', 'md', 'markdown', 'mkd', 'mdx')")
 def prose_files(spark: SparkSession, d: str) -> DataFrame:
     """Files of the formats that sentence diffs look at."""
     typed = table(spark, d, "check_reports").select("report_id", "file", tx.format_of_path(F.col("file")).alias("format"))
@@ -427,7 +427,7 @@ def debounced_events(spark: SparkSession, d: str) -> DataFrame:
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
     """Two versions of each text: as it is, and with one word changed everywhere."""
-    calls = _calls(spark, d, "text", "format").withColumn("format", tx.format_of_spelling(F.col("format")))
+    calls = calls_once(spark, d, "text", "format").withColumn("format", tx.format_of_spelling(F.col("format")))
     new = calls.select("call_id", F.replace("text", F.lit(" the "), F.lit(" THE ")).alias("text"))
     return diffs.changed_versions(calls, new, "call_id").join(calls.select("call_id", "format"), "call_id")
 
@@ -452,8 +452,8 @@ def sentence_diffs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     rf"""WITH t AS (SELECT DISTINCT call_id, replace(text, chr(13) || chr(10), chr(10)) AS a FROM format_requests WHERE contains(text, ' the ')),
-    x AS (SELECT call_id, unnest({_LINES.format("a")}) AS line, -1 AS n FROM t
-      UNION ALL SELECT call_id, unnest({_LINES.format("replace(a, ' the ', ' THE ')")}) AS line, 1 AS n FROM t)
+    x AS (SELECT call_id, unnest({LINES.format("a")}) AS line, -1 AS n FROM t
+      UNION ALL SELECT call_id, unnest({LINES.format("replace(a, ' the ', ' THE ')")}) AS line, 1 AS n FROM t)
     SELECT call_id, CASE WHEN sum(n) > 0 THEN 'added' ELSE 'removed' END AS op, line, CAST(abs(sum(n)) AS BIGINT) AS n FROM x GROUP BY call_id, line HAVING sum(n) <> 0"""
 )
 def line_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -462,3 +462,6 @@ def line_changes(spark: SparkSession, d: str) -> DataFrame:
     side = lambda c, n: F.transform(tx.lines(F.col(c)), lambda x: F.struct(x.alias("line"), F.lit(n).alias("n")))
     net = pairs.select("call_id", F.explode(F.concat(side("old_text", -1), side("new_text", 1))).alias("x")).groupBy("call_id", F.col("x.line").alias("line")).agg(F.sum("x.n").alias("n"))
     return net.where("n <> 0").select("call_id", F.when(F.col("n") > 0, "added").otherwise("removed").alias("op"), "line", F.abs("n").alias("n"))
+
+
+from lectern.plans import line_queries  # noqa: E402,F401  (adds its queries)

@@ -126,3 +126,11 @@ def test_diffs(spark):
     got = {(r.id, r.op, r.sentence) for r in diffs.sentence_changes(pairs, "id").collect()}
     assert got == {(1, "removed", "Two b."), (1, "added", "Two c.")}
     assert [r.id for r in diffs.sentence_diff_df(pairs, "id").collect()] == [1]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("A b. C d.", "plaintext", "x", 1, "y")], "text string, format string, formatted string, `a.b` int, regions string")
+    row = format_df(df).first()
+    assert row.formatted == "A b.\nC d." and row["a.b"] == 1 and row.regions == "y"
+    again = format_df(format_df(df), "formatted", "format").first()
+    assert again.formatted == "A b.\nC d."
