@@ -47,8 +47,10 @@ _SPACE = r"[\p{Zs}\t\x0B\x0C]"
 _GOES_ON = r",\-:\u055D\u060C\u060D\u07F8\u1802\u1808\u2013\u2014\u3001\uFE10\uFE11\uFE13\uFE31\uFE32\uFE50\uFE51\uFE55\uFE58\uFE63\uFF0C\uFF0D\uFF1A\uFF64"
 _PARAGRAPH = r"(?:\r\n|[\n\r\x85\u2028\u2029])"
 _TAIL = rf"(?:{_CLOSE}{_X})*+(?:{_SPACE}{_X})*+(?![{_GOES_ON}{_A}{_S}])"
+#: Few ranges that hold all marks: a cheap test that most characters fail.
+_MAYBE = r"(?=[\n\r!.?\x85\u0589-\u1368\u2024-\u3002\uFE52-\uFF61])"
 BOUNDARY = (
-    rf"(?=[{_S}{_A}\n\r\x85\u2028\u2029])(?:(?:[{_S}]{_X}{_TAIL}"
+    rf"{_MAYBE}(?:(?:[{_S}]{_X}{_TAIL}"
     rf"|[{_A}]{_X}(?!\p{{Nd}})(?!(?<=[\p{{Lu}}\p{{Lt}}\p{{Ll}}][{_A}])\p{{Lu}}){_TAIL}(?![^\p{{L}}\p{{Nl}}\r\n\x85\u2028\u2029{_A}{_S}]*+\p{{Ll}}))"
     rf"{_PARAGRAPH}?|{_PARAGRAPH})(?!\z)"
 )
