@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import map_rows
-from lectern.runtime import checkpointed, worker_cache
+from lectern.runtime import checkpointed, spread, worker_cache
 
 #: Letters of other scripts and the Latin letters of the same shape; fixed values.
 CYRILLIC = "аВсԁеһНіјКӏМорԛЅѕТхХуУѵԝАЕОРСІЈԌ", "aBcdehHijKlMopqSsTxXyYvwAEOPCIJG"
@@ -113,7 +113,7 @@ def _hashes(batch: pa.RecordBatch) -> dict:
 
 def consistent_form(texts: DataFrame) -> DataFrame:
     """``(call_id, form)`` of ``(call_id, text)``, a row for each row."""
-    return map_rows(texts.select("call_id", "text"), _forms, "call_id bigint, form string")
+    return map_rows(spread(texts.select("call_id", "text")), _forms, "call_id bigint, form string")
 
 
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     form, and only classes that have a partner are expanded to calls, so a hot class costs no more than its result.
     """
     blank = F.length(F.regexp_replace("text", r"(?U)\s+", "")) == 0
-    hashed = map_rows(texts.select("call_id", "text").where(~blank), _hashes, "call_id bigint, raw binary, form binary")
+    hashed = map_rows(spread(texts.select("call_id", "text").where(~blank)), _hashes, "call_id bigint, raw binary, form binary")
     members = checkpointed(hashed.distinct())  # 40 bytes a call; read several times below
     forms = members.groupBy("form", "raw").agg(F.lit(1).alias("one"))
     several = forms.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")

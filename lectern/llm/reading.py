@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import map_rows
-from lectern.runtime import bounded_sample, small_side, worker_cache
+from lectern.runtime import bounded_sample, small_side, spread, worker_cache
 
 #: At most about so many labelled documents are read to fit the thresholds.
 LABELLED = 2000
@@ -151,7 +151,7 @@ def grades(docs: DataFrame) -> DataFrame:
     """``(doc_id, words, grade)``; diffs are cut off before texts leave the JVM."""
     at = F.locate("\ndiff --", F.col("text"))
     head = F.when(at > 0, F.substring(F.col("text"), F.lit(1), at)).otherwise(F.col("text"))
-    return map_rows(docs.select("doc_id", head.alias("head")), _grades, "doc_id bigint, words int, grade double")
+    return map_rows(spread(docs.select("doc_id", head.alias("head"))), _grades, "doc_id bigint, words int, grade double")
 
 
 def thresholds(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> tuple[float, float, float]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import map_rows
-from lectern.runtime import worker_cache
+from lectern.runtime import spread, worker_cache
 
 #: Folder of the vocabulary files; a parameter of every function here.
 VOCABULARIES = "/opt/tokenizers"
@@ -114,7 +114,7 @@ def encode(docs: DataFrame, name: str = VOCABULARY, folder: str = VOCABULARIES,
     """``(doc_id, ids)`` for each row of ``(doc_id, text)``."""
     docs = docs.select("doc_id", "text")
     is_long = F.coalesce(F.length("text") > chunk + overlap, F.lit(False))
-    short = map_rows(docs.where(~is_long), _encode(name, folder), "doc_id bigint, ids array<int>")
+    short = map_rows(spread(docs.where(~is_long)), _encode(name, folder), "doc_id bigint, ids array<int>")
     return short.unionByName(_encode_long(docs.where(is_long), name, folder, chunk, overlap))
 
 
@@ -167,7 +167,7 @@ def sizes(docs: DataFrame, name: str = VOCABULARY, folder: str = VOCABULARIES, w
     """
     docs = docs.select("doc_id", "source", "text")
     is_long = F.coalesce(F.length("text") > whole_below, F.lit(False))
-    short = map_rows(docs.where(~is_long), _count(name, folder), "doc_id bigint, source string, tokens bigint", rows=1024)
+    short = map_rows(spread(docs.where(~is_long)), _count(name, folder), "doc_id bigint, source string, tokens bigint", rows=1024)
     long = docs.where(is_long)
     ids = encode(long, name, folder).groupBy("doc_id").agg(F.max(F.size("ids")).cast("bigint").alias("tokens"))
     counted = long.select("doc_id", "source").join(ids, "doc_id").select("doc_id", "source", "tokens")
