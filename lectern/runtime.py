@@ -61,13 +61,14 @@ def tasks_of(df: DataFrame) -> int:
     return max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread(df: DataFrame, at_most: int = 16 << 20) -> DataFrame:
-    """``df`` over all cores if its input is small, as one small file is read by one task; unchanged if it is larger.
+def spread(df: DataFrame, at_most: int = 8 << 20) -> DataFrame:
+    """``df`` over all cores if the files it reads are small, as one small file is read by one task; else unchanged.
 
     Only for heavy work per row: at this size moving the rows costs next to nothing.
     """
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # no estimate in this kind of session
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= at_most else df
