@@ -42,15 +42,26 @@ def with_config(calls: DataFrame, configs: DataFrame, *columns: Column) -> DataF
     return calls.join(small_side(latest_configs(configs).select("project_id", *columns)), "project_id", "left")
 
 
+STEP_BYTES = 16 << 20
+
+
+def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, min(rows, batch.num_rows * STEP_BYTES // max(batch.nbytes, 1)))
+    return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+
 def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 512) -> DataFrame:
-    """``mapInArrow`` for a function from at most ``rows`` rows to columns (lists or arrays) in the schema's order."""
+    """``mapInArrow`` for a function from at most ``rows`` rows to columns (lists or arrays) in the schema's order.
+
+    Of rows with long texts fewer are given at a time, so that a step holds about ``STEP_BYTES`` at most.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+        for batch in (part for b in batches for part in _parts(b, rows)):
             cols = of_batch(batch)
             if cols is not None:
                 arrays = [

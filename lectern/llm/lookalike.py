@@ -75,7 +75,7 @@ def skeleton_sql(column: str) -> str:
     if many:
         shapes = "".join(a for a, _ in many)
         chain = "x"
-        for a, b in [m for m in many if ord(m[0]) < 0x3000 or 0xFB00 <= ord(m[0]) <= 0xFB06]:
+        for a, b in many:
             chain = f"replace({chain}, {_quoted(a)}, {_quoted(b)})"
         rest = f"list_transform([{rest}], lambda x: CASE WHEN regexp_matches(x, '[{shapes}]') THEN {chain} ELSE x END)[1]"
     return f"nfc_normalize(translate({rest}, {_quoted(source)}, {_quoted(target)}))"
@@ -113,7 +113,7 @@ def _hashes(batch: pa.RecordBatch) -> dict:
 
 def consistent_form(texts: DataFrame) -> DataFrame:
     """``(call_id, form)`` of ``(call_id, text)``, a row for each row."""
-    return map_rows(spread(texts.select("call_id", "text")), _forms, "call_id bigint, form string")
+    return map_rows(spread(texts.select("call_id", "text")), _forms, "call_id bigint, form string", rows=2048)
 
 
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     form, and only classes that have a partner are expanded to calls, so a hot class costs no more than its result.
     """
     blank = F.length(F.regexp_replace("text", r"(?U)\s+", "")) == 0
-    hashed = map_rows(spread(texts.select("call_id", "text").where(~blank)), _hashes, "call_id bigint, raw binary, form binary")
+    hashed = map_rows(spread(texts.select("call_id", "text").where(~blank)), _hashes, "call_id bigint, raw binary, form binary", rows=2048)
     members = checkpointed(hashed.distinct())  # 40 bytes a call; read several times below
     forms = members.groupBy("form", "raw").agg(F.lit(1).alias("one"))
     several = forms.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
