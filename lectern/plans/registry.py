@@ -260,7 +260,7 @@ def format_ranges(spark: SparkSession, d: str) -> DataFrame:
 @query(
     r"""SELECT count(DISTINCT call_id) AS n_calls, CAST(0 AS BIGINT) AS n_changed FROM split_requests WHERE text IS NOT NULL"""
 )
-def formatting_keeps_lines_ended(spark: SparkSession, d: str) -> DataFrame:
+def formatting_is_stable(spark: SparkSession, d: str) -> DataFrame:
     """Formatting plain text again changes nothing: calls, and calls changed by the second time."""
     calls = one_each(table(spark, d, "split_requests").where(F.col("text").isNotNull()).select("call_id", "text"), "call_id").withColumn("format", F.lit("plaintext"))
     once = formatting.format_df(calls, out="once")
