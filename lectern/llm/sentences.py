@@ -4,9 +4,8 @@ The characters of a block of text are tagged B (a unit begins here) or I by a li
 character can only be B where a terminator, a closing mark or, in scripts without periods, a space stands before it;
 elsewhere its score for B is minus infinity, so runs of such characters collapse and decoding walks over candidates.
 Scores come from the kind of mark, from abbreviations (declared, known, and learnt: words whose period is mostly
-followed by no beginning) and from how likely the next words or characters begin a unit.  The last is learnt from a
-bounded sample of the texts, after punctuation is stripped, from how paragraphs begin as against what stands inside
-them; it is what finds the boundaries of scripts without periods.
+followed by no beginning) and from how likely the next words or characters begin a unit.  The last is learnt from all
+texts, after punctuation is stripped, from how paragraphs begin as against what stands inside them; it is what finds the boundaries of scripts without periods.
 
 Blank lines and list items part blocks before that; pairs of brackets and quotation marks, code, formulas, links and
 addresses are taken as single characters, so nothing inside them is B.
@@ -26,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import map_rows, with_config
-from lectern.runtime import bounded_sample, spread
+from lectern.runtime import spread
 
-#: About so many texts are read to learn beginnings and abbreviations.
-TRAINING_TEXTS = 5000
+#: So many texts at most are counted in one step before their counts are summed.
+COUNTED_ROWS = 8192
 
 #: Abbreviations that are known in any language; fixed values.
 KNOWN = frozenset(
@@ -60,6 +59,12 @@ BARE = re.compile(r"[^\w\s]+")
 UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 LAST_WORD = re.compile(r"[^\s\"'“„«(\[（「、，。：　-鿿]*$")
 THAI = re.compile(r"[฀-๿]")
+#: What may be an abbreviation with its period.
+PERIOD = re.compile(r"(?<![\w.])([^\W\d_]{1,8}(?:\.[^\W\d_]{1,3})*)\. (?=\S)")
+#: What stands before every character that decoding may make a B.
+_MARKS = "".join(re.escape(c) for c in sorted({*TERMINATORS, *CLOSERS}))
+AFTER = re.compile(f"(?<=[{_MARKS}])\\s*(?=\\S)")
+AFTER_THAI = re.compile(f"(?<=[{_MARKS}])\\s*(?=\\S)|\\s+(?=\\S)")
 
 
 def blocks(text: str) -> list[tuple[int, int, bool]]:
@@ -146,43 +151,69 @@ class Model:
         return 0.0
 
 
-def train(texts: list[str], least: int = 2) -> Model:
-    model = Model()
-    yes, no, total_yes, total_no = Counter(), Counter(), 0, 0
-    paragraphs: list[str] = []
-    for text in texts:
-        for a, b, item in blocks(text):
-            if not item and b - a > 12:
-                paragraphs.append(" ".join(text[a:b].split()))
+def paragraphs_of(text: str) -> list[str]:
+    """The paragraphs that are learnt from, white space made single."""
+    return [" ".join(text[a:b].split()) for a, b, item in blocks(text) if not item and b - a > 12]
+
+
+def evidence(paragraphs: list[str]) -> tuple[Counter, Counter]:
+    """How often each beginning begins a unit, and how often it stands inside one."""
+    yes, no, pieces = Counter(), Counter(), Counter()
     for p in paragraphs:
         firsts = [0]
-        _, pairs = covered(p)
-        spans = [*pairs]
-        firsts += [m.end() for m in re.finditer(r"[!?。！？।][ ]?(?=\S)", p) if not any(a < m.end() <= b for a, b in spans)]
+        if ends := [m.end() for m in re.finditer(r"[!?。！？।][ ]?(?=\S)", p)]:
+            _, spans = covered(p)
+            firsts += [e for e in ends if not any(a < e <= b for a, b in spans)]
         stripped = BARE.sub("", p)  # what stands inside, without the punctuation that would give it away
         for at in firsts:
-            for g in beginnings(p[at:]):
-                yes[g] += 1
-            total_yes += 1
+            yes.update(beginnings(p[at : at + 60]))
         if UNSPACED.search(stripped[:3]):
-            inside = [stripped[i : i + 5] for i in range(4, len(stripped) - 5) if not stripped[i - 1].isspace()]
+            pieces.update(stripped[i : i + 5] for i in range(4, len(stripped) - 5) if not stripped[i - 1].isspace())
         else:
             words = p.split()
-            inside = [f"{words[i]} {words[i + 1]}" for i in range(2, len(words) - 1) if words[i - 1][-1].isalnum() and words[i][0].isalnum()]
-        for g in inside:
-            for x in beginnings(g):
-                no[x] += 1
-            total_no += 1
-    for g in set(yes) | {x for x, n in no.items() if n >= 3}:
-        if yes[g] + no[g] >= least:
-            model.odds[g] = max(-4.0, min(4.0, math.log((yes[g] + 0.2) / (no[g] + 0.2))))
-    # A word is an abbreviation if its period is mostly followed by something that begins no unit.
-    after = {}
+            pieces.update(f"{words[i]} {words[i + 1]}" for i in range(2, len(words) - 1) if words[i - 1][-1].isalnum() and words[i][0].isalnum())
+    for piece, n in pieces.items():
+        for g in beginnings(piece):
+            no[g] += n
+    return yes, no
+
+
+def log_odds(yes: int, no: int) -> float:
+    return max(-4.0, min(4.0, math.log((yes + 0.2) / (no + 0.2))))
+
+
+def followers(paragraphs: list[str], model: Model) -> dict[str, list[int]]:
+    """Of each word with a period: how often no beginning follows, and how often one does."""
+    after: dict[str, list[int]] = {}
     for p in paragraphs:
-        for m in re.finditer(r"(?<![\w.])([^\W\d_]{1,8}(?:\.[^\W\d_]{1,3})*)\. (?=\S)", p):
+        for m in PERIOD.finditer(p):
             n = after.setdefault(m[1], [0, 0])
             n[model.begins(p[m.end() :]) > 1.0] += 1
-    model.short = frozenset(w for w, (other, begin) in after.items() if other >= max(3, 1.5 * begin))
+    return after
+
+
+def asked(text: str) -> set[str]:
+    """All beginnings whose odds decoding this text, or learning from it, may ask for."""
+    out: set[str] = set()
+    for a, b, item in blocks(text):
+        if not item:
+            s = text[a:b]
+            after = AFTER_THAI if THAI.search(s) is not None else AFTER
+            for x in (s, " ".join(s.split())):
+                for m in after.finditer(x):
+                    out.update(beginnings(x[m.end() : m.end() + 60]))
+    return out
+
+
+def train(texts: list[str], least: int = 2) -> Model:
+    model = Model()
+    paragraphs = [p for text in texts for p in paragraphs_of(text)]
+    yes, no = evidence(paragraphs)
+    for g in set(yes) | {x for x, n in no.items() if n >= 3}:
+        if yes[g] + no[g] >= least:
+            model.odds[g] = log_odds(yes[g], no[g])
+    # A word is an abbreviation if its period is mostly followed by something that begins no unit.
+    model.short = frozenset(w for w, (other, begin) in followers(paragraphs, model).items() if other >= max(3, 1.5 * begin))
     return model
 
 
@@ -328,10 +359,39 @@ def spelled(abbreviations: list[str | None] | None) -> frozenset[str]:
     return frozenset(w for x in words if x for w in (x, x.lower()))
 
 
-def fitted(calls: DataFrame, texts: int = TRAINING_TEXTS) -> Model:
-    """A model trained on a bounded sample of the calls' texts (``texts`` is the bound)."""
-    some = bounded_sample(calls.where(F.col("text").isNotNull()).select("call_id", "text"), "call_id", texts, calls.count())
-    return train([t for _, t in sorted((r["call_id"], r["text"]) for r in some.collect())])
+def fitted(calls: DataFrame, least: int = 2) -> Model:
+    """What :func:`train` learns from all texts of the calls, as far as decoding these texts asks for it.
+
+    Both counts are sums over partial counts; odds that no text asks for, most of them of what stands inside units,
+    never leave the executors.
+    """
+    texts = spread(calls.where(F.col("text").isNotNull()).select("text"))
+
+    def beginning(b: pa.RecordBatch) -> dict:
+        of_batch = b.column("text").to_pylist()
+        yes, no = evidence([p for t in of_batch for p in paragraphs_of(t)])
+        wanted = set().union(*map(asked, of_batch))
+        keys = list(yes.keys() | no.keys() | wanted)
+        return {"g": keys, "yes": [yes[g] for g in keys], "no": [no[g] for g in keys], "wanted": [g in wanted for g in keys]}
+
+    counts = map_rows(texts, beginning, "g string, yes bigint, no bigint, wanted boolean", rows=COUNTED_ROWS)
+    sums = counts.groupBy("g").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.max("wanted").alias("wanted"))
+    enough = ((F.col("yes") > 0) | (F.col("no") >= 3)) & (F.col("yes") + F.col("no") >= least)
+    model = Model()
+    model.odds = {r["g"]: log_odds(r["yes"], r["no"]) for r in sums.where(F.col("wanted") & enough).collect()}
+    shared = calls.sparkSession.sparkContext.broadcast(model.odds)
+
+    def following(b: pa.RecordBatch) -> dict:
+        known = Model()
+        known.odds = shared.value
+        after = followers([p for t in b.column("text").to_pylist() for p in paragraphs_of(t)], known)
+        return {"word": list(after), "other": [n[0] for n in after.values()], "begin": [n[1] for n in after.values()]}
+
+    counts = map_rows(texts, following, "word string, other bigint, begin bigint", rows=COUNTED_ROWS)
+    sums = counts.groupBy("word").agg(F.sum("other").alias("other"), F.sum("begin").alias("begin"))
+    short = sums.where(F.col("other") >= F.greatest(F.lit(3.0), 1.5 * F.col("begin"))).select("word").collect()
+    model.short = frozenset(r["word"] for r in short)
+    return model
 
 
 def sentence_units(calls: DataFrame, configs: DataFrame, model: Model | None = None) -> DataFrame:

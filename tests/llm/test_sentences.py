@@ -85,3 +85,14 @@ def test_rows(spark):
 def test_very_long(model):
     text = "The parser skips it. The copy desk waits. " * 20_000
     assert len(sentences.units(text, model)) == 40_000
+
+
+def test_learns_from_all_texts(spark):
+    rare = [f"The parser skips the Zwq. notes of page {k} here." for k in range(3)]
+    texts = [f"{p} {k}." for k, p in enumerate(PARAGRAPHS * 1000)] + rare
+    calls = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "call_id bigint, text string").repartition(4)
+    whole, got = sentences.train(texts), sentences.fitted(calls)
+    assert "Zwq" in got.short and got.short == whole.short
+    assert got.odds.items() <= whole.odds.items()
+    tried = [*set(PARAGRAPHS), *rare]
+    assert [sentences.units(t, got) for t in tried] == [sentences.units(t, whole) for t in tried]
