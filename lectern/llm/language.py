@@ -2,8 +2,8 @@
 
 The script of a word narrows its candidate languages; within a script a naive Bayes model over character n-grams and
 words scores each candidate; Viterbi decoding with a penalty for switching labels the words of a paragraph, so that
-foreign words do not break a paragraph up and a change of language does.  The model is trained here, on a bounded
-sample of the texts themselves: function words label its first paragraphs, then the model labels them again.
+foreign words do not break a paragraph up and a change of language does.  The model is trained here, on all the
+texts themselves: function words label the first paragraphs, then the model labels all of them again.
 
 Defined results: null, empty and blank texts and texts without letters have no segments; repeated rows of one call
 count once in :func:`undeclared`; a project that is null or has no configuration declares nothing.
@@ -15,6 +15,7 @@ import math
 import re
 import unicodedata
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import format_key, latest_configs, map_rows
 from lectern.llm.markup import _DROP_LINE, _HEADING, _ITEM, TAG, masked
-from lectern.runtime import bounded_sample, small_side, spread, worker_cache
+from lectern.runtime import checkpointed, small_side, spread, worker_cache
 
 LANGS = ("en", "de", "fr", "es", "pt", "pl", "is", "ru", "ja", "zh", "th", "hi")
 LATIN = LANGS[:7]
-#: About so many texts are read to train the model.
-TRAINING_TEXTS = 3000
+#: So many texts at most are counted in one step before their counts are summed.
+COUNTED_ROWS = 8192
 SWITCH = 6.0
 #: A whole paragraph has at least so many letters; fewer in scripts whose characters hold more.
 LEAST, LEAST_DENSE = 28, 12
@@ -72,6 +73,16 @@ CYRILLIC = re.compile(r"[Ѐ-ԯ]")
 LATIN_LETTER = re.compile(r"[A-Za-zÀ-ɏ]")
 
 
+def plain(word: str) -> str:
+    """The word without its accents."""
+    word = word.replace("ł", "l").replace("ß", "ss").replace("ð", "d").replace("þ", "th").replace("æ", "ae").replace("ø", "o")
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+SEED_WORDS = {lang: frozenset(words.split()) for lang, words in SEEDS.items()}
+PLAIN_SEEDS = {lang: frozenset(map(plain, words)) - {"a", "e", "o", "i", "y", "en", "la", "de", "as"} for lang, words in SEED_WORDS.items()}
+
+
 def declared(code: str | None) -> str | None:
     """The language that a configured code or name declares, or None."""
     if not code or not code.strip():
@@ -111,12 +122,6 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def plain(word: str) -> str:
-    """The word without its accents."""
-    word = word.replace("ł", "l").replace("ß", "ss").replace("ð", "d").replace("þ", "th").replace("æ", "ae").replace("ø", "o")
-    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
-
-
 def digraphs(word: str) -> str:
     return plain(word.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue"))
 
@@ -174,6 +179,7 @@ class Model:
     def __init__(self) -> None:
         self.grams: dict[str, np.ndarray] = {}
         self.unseen = np.zeros(len(LATIN))
+        self.taught = np.zeros(len(LATIN), bool)
         self.han: dict[str, float] = {}
 
     @staticmethod
@@ -186,6 +192,10 @@ class Model:
         words_in = {lang: Counter() for lang in LATIN}
         for lang, words in labelled:
             words_in[lang].update(words)
+        self.fit_counts(words_in)
+
+    def fit_counts(self, words_in: dict[str, Counter]) -> None:
+        """Languages without words get no score for what others were taught."""
         counts = {lang: Counter() for lang in LATIN}
         for lang, words in words_in.items():
             for w, n in words.items():
@@ -193,6 +203,7 @@ class Model:
                     for g in self.features(form):
                         counts[lang][g] += n
         totals = np.array([sum(counts[lang].values()) + 1.0 for lang in LATIN])
+        self.taught = totals > 1.0
         every = set().union(*counts.values())
         size = len(every) + 1.0
         alpha = 0.1
@@ -207,6 +218,8 @@ class Model:
         if kind == "latin":
             s = np.sum([self.grams.get(g, self.unseen) for g in self.features(word)], axis=0)
             s = s / math.sqrt(len(word) + 2)
+            if self.taught.any():
+                s = np.where(self.taught, s, -np.inf)
             s = s - (s.max() + math.log(np.exp(s - s.max()).sum()))
             out[: len(LATIN)] = np.maximum(s, -6.0)
         elif kind == "cyrillic":
@@ -257,15 +270,24 @@ class Labeller:
         self.table[k] = self.model.score(word)
         return k
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        if len(self.known) + len(words) >= self.LIMIT:
+            self.known.clear()
+        at = [self.known[w] if w in self.known else self.row(w) for w in words]  # may replace the table
+        return self.table[at]
+
+    def relabelled(self, words: list[str]) -> str | None:
+        """The language of a paragraph of Latin words, or None if a second one is near."""
+        s = self.scores(words).sum(0)
+        second, top = np.sort(s)[-2:]
+        return LANGS[int(s.argmax())] if top - second > 3 else None
+
     def paragraph(self, text: str) -> list[tuple[str, int, float]]:
         """``(language, size, confidence)`` of each segment."""
         words = words_of(_strip(text))
         if not words:
             return []
-        if len(self.known) + len(words) >= self.LIMIT:
-            self.known.clear()
-        at = [self.known[w] if w in self.known else self.row(w) for w in words]  # may replace the table
-        scores = self.table[at]
+        scores = self.scores(words)
         path = viterbi(scores)
         sure = np.exp(scores[np.arange(len(path)), path])
         weights = np.fromiter(map(len, words), np.int64, len(words))
@@ -290,49 +312,105 @@ def paragraph_language(segments: list[tuple[str, int, float]]) -> str | None:
     return lang if n >= SHARE * total and n >= least else None
 
 
+def lesson(paragraph: str) -> tuple[str | None, list[str]]:
+    """The words of a paragraph that are learnt from and the language that function words or kana tell, if they do.
+
+    Of a Latin paragraph these are its Latin words; else the runs of Han characters, which are Japanese or Chinese.
+    """
+    words = words_of(_strip(paragraph))
+    kinds = [script(w) for w in words]
+    latin = [w for k, w in zip(kinds, words) if k == "latin"]
+    if len(latin) > 0.5 * len(words) and len(latin) >= LEAST_WORDS:
+        votes = Counter({lang: sum(w in s for w in latin) + 0.5 * sum(w in PLAIN_SEEDS[lang] for w in latin) for lang, s in SEED_WORDS.items()})
+        (top, a), (_, b) = votes.most_common(2)
+        return top if a >= 2 and a > 1.3 * b else None, latin
+    if "han" in kinds:
+        return "ja" if "ja" in kinds else "zh", [w for k, w in zip(kinds, words) if k == "han"]
+    return None, []
+
+
+def learn_han(model: Model, han: dict[str, Counter]) -> None:
+    total = {k: sum(c.values()) + 1 for k, c in han.items()}
+    for c in set(han["ja"]) | set(han["zh"]):
+        model.han[c] = max(-2.0, min(2.0, math.log((han["ja"][c] + 0.5) / total["ja"]) - math.log((han["zh"][c] + 0.5) / total["zh"])))
+
+
 def train(texts: list[tuple[str, str]]) -> Model:
     """From ``(text, format)``."""
-    seeds = {lang: frozenset(words.split()) for lang, words in SEEDS.items()}
-    plain_seeds = {lang: frozenset(map(plain, words)) - {"a", "e", "o", "i", "y", "en", "la", "de", "as"} for lang, words in seeds.items()}
-    paragraphs: list[list[str]] = []
-    first: list[tuple[str, list[str]]] = []
-    han = {"ja": Counter(), "zh": Counter()}
-    for text, own in texts:
-        for p in prose_paragraphs(text, own):
-            words = words_of(_strip(p))
-            kinds = [script(w) for w in words]
-            latin = [w for k, w in zip(kinds, words) if k == "latin"]
-            if len(latin) > 0.5 * len(words) and len(latin) >= LEAST_WORDS:
-                paragraphs.append(latin)
-                votes = Counter({lang: sum(w in s for w in latin) + 0.5 * sum(w in plain_seeds[lang] for w in latin) for lang, s in seeds.items()})
-                (top, a), (_, b) = votes.most_common(2)
-                if a >= 2 and a > 1.3 * b:
-                    first.append((top, latin))
-            elif "han" in kinds:
-                han["ja" if "ja" in kinds else "zh"].update("".join(w for k, w in zip(kinds, words) if k == "han"))
+    lessons = [lesson(p) for text, own in texts for p in prose_paragraphs(text, own)]
+    paragraphs = [words for lang, words in lessons if words and lang not in ("ja", "zh")]
+    first = [(lang, words) for lang, words in lessons if lang in LATIN]
     model = Model()
     model.fit(first)
     for _ in range(2):
-        labeller, again = Labeller(model), []
-        for words in paragraphs:
-            at = [labeller.known[w] if w in labeller.known else labeller.row(w) for w in words]
-            s = labeller.table[at].sum(0)
-            top, second = np.sort(s)[::-1][:2]
-            if top - second > 3:
-                again.append((LANGS[int(s.argmax())], words))
+        labeller = Labeller(model)
+        again = [(lang, words) for words in paragraphs if (lang := labeller.relabelled(words))]
         model = Model()
         model.fit(again or first)
-    total = {k: sum(c.values()) + 1 for k, c in han.items()}
-    for c in set(han["ja"]) | set(han["zh"]):
-        model.han[c] = max(-2.0, min(2.0, math.log((han["ja"][c] + 0.5) / total["ja"]) - math.log((han["zh"][c] + 0.5) / total["zh"])))
+    learn_han(model, {k: Counter("".join(w for lang, words in lessons if lang == k for w in words)) for k in ("ja", "zh")})
     return model
 
 
-def fitted(calls: DataFrame, texts: int = TRAINING_TEXTS) -> Model:
-    """A model trained on a bounded sample of the calls' texts (``texts`` is the bound)."""
-    some = bounded_sample(calls.where(F.col("text").isNotNull()).select("call_id", "text", format_key(F.col("format")).alias("own")), "call_id", texts, calls.count())
-    rows = sorted((r["call_id"], r["text"], r["own"]) for r in some.collect())
-    return train([(t, f) for _, t, f in rows])
+def fitted(calls: DataFrame) -> Model:
+    """What :func:`train` learns from all texts of the calls.
+
+    Texts are parsed once; the words of their paragraphs are kept packed. Each round counts words by language in
+    parts, and sums them; what reaches the driver is the vocabulary with its counts.
+    """
+    texts = spread(calls.where(F.col("text").isNotNull()).select("text", format_key(F.col("format")).alias("own")))
+    context = calls.sparkSession.sparkContext
+
+    def pack(b: pa.RecordBatch) -> dict:
+        lines = []
+        for text, own in zip(b.column("text").to_pylist(), b.column("own").to_pylist()):
+            for p in prose_paragraphs(text, own):
+                lang, words = lesson(p)
+                if words:
+                    lines.append(f"{lang or ''}\t{' '.join(words)}")
+        return {"packed": [zlib.compress("\n".join(lines).encode(), 1)] if lines else []}
+
+    lessons = checkpointed(map_rows(texts, pack, "packed binary"))
+
+    def counted(model: Model | None) -> dict[str, Counter]:
+        """Words by language as first told, or as the model tells; of ja and zh characters, in the first round only."""
+        shared = context.broadcast(vars(model)) if model else None
+
+        def of_batch(b: pa.RecordBatch) -> dict:
+            found = {lang: Counter() for lang in (*LATIN, "ja", "zh")}
+            labeller = None
+            if shared:
+                known = Model()
+                vars(known).update(shared.value)
+                labeller = Labeller(known)
+            for packed in b.column("packed").to_pylist():
+                for line in zlib.decompress(packed).decode().split("\n"):
+                    lang, words = line.split("\t")
+                    if lang in ("ja", "zh"):
+                        if not labeller:
+                            found[lang].update(words.replace(" ", ""))
+                        continue
+                    words = words.split(" ")
+                    if lang := labeller.relabelled(words) if labeller else lang:
+                        found[lang].update(words)
+            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+            return dict(zip(("lang", "word", "n"), zip(*rows))) if rows else {"lang": [], "word": [], "n": []}
+
+        sums = map_rows(lessons, of_batch, "lang string, word string, n bigint", rows=COUNTED_ROWS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        out = {lang: Counter() for lang in (*LATIN, "ja", "zh")}
+        for lang, word, n in sums.toLocalIterator():
+            out[lang][word] = n
+        return out
+
+    first = counted(None)
+    model = Model()
+    model.fit_counts({lang: first[lang] for lang in LATIN})
+    for _ in range(2):
+        again = counted(model)
+        words_in = {lang: again[lang] for lang in LATIN}
+        model = Model()
+        model.fit_counts(words_in if any(words_in.values()) else {lang: first[lang] for lang in LATIN})
+    learn_han(model, {k: first[k] for k in ("ja", "zh")})
+    return model
 
 
 def segments(calls: DataFrame, model: Model | None = None) -> DataFrame:

@@ -65,3 +65,19 @@ def test_rows(spark):
     got = sorted(tuple(r) for r in language.undeclared(calls, configs).collect())
     assert got == [(1, "ru"), (2, "en"), (2, "ru"), (3, "ja")]
     assert language.undeclared(calls.limit(0), configs).count() == 0
+
+
+def test_learns_from_all_texts(spark):
+    rare = "Kaflinn heldur hverri fyrirsögn og það er ekki við."
+    texts = [f"{SAMPLES['en']}\n\n{SAMPLES['ja']}"] * 6000 + [rare, SAMPLES["zh"]]
+    calls = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "call_id bigint, text string, format string").repartition(4)
+    whole, got = language.train([(t, "plaintext") for t in texts]), language.fitted(calls)
+    assert "^kaflinn$" in got.grams and got.grams.keys() == whole.grams.keys() and got.han == whole.han
+    assert all(np.array_equal(got.grams[g], whole.grams[g]) for g in got.grams)
+
+
+def test_no_score_without_training():
+    model = language.train([(SAMPLES["en"] * 2, "plaintext"), (SAMPLES["de"] * 2, "plaintext")])
+    scores = dict(zip(language.LANGS, model.score("qvuxyz")))
+    assert max(scores, key=scores.get) in ("en", "de") and scores["is"] == scores["pl"] == -6.0
+    assert np.isfinite(language.Model().score("word")).all()
