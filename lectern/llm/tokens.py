@@ -75,7 +75,7 @@ def _slices(chunk: int, overlap: int):
     return run
 
 
-def _boundaries(chunk: int):
+def _boundaries(chunk: int, overlap: int):
     """Of each chunk: boundaries in what it shares with the chunk before, and with the one after, both counted from the
     start of the text. The last two of a chunk may depend on what follows it, so they are no evidence."""
 
@@ -83,7 +83,7 @@ def _boundaries(chunk: int):
         ks, heads, tails = batch.column("k").to_pylist(), [], []
         for k, text in zip(ks, batch.column("chunk").to_pylist()):
             ends = pretoken_ends(text)
-            heads.append([k * chunk + e for e in ends if e <= len(text) - chunk][:256] if k else [])
+            heads.append([k * chunk + e for e in ends if e <= overlap][:256] if k else [])
             tails.append([k * chunk + e for e in ends[:-2] if e > chunk])
         return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "k": ks, "head": heads, "tail": tails}
 
@@ -118,9 +118,9 @@ def encode(docs: DataFrame, name: str = VOCABULARY, folder: str = VOCABULARIES,
     return short.unionByName(_encode_long(docs.where(is_long), name, folder, chunk, overlap))
 
 
-def stitched_pieces(chunks: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+def stitched_pieces(chunks: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
     """The stitches: ``(doc_id, h, k, begin, stop)``, and the keys of texts that have a joint without a stitch."""
-    bounds = map_rows(chunks, _boundaries(chunk), "doc_id bigint, h string, k int, head array<bigint>, tail array<bigint>")
+    bounds = map_rows(chunks, _boundaries(chunk, overlap), "doc_id bigint, h string, k int, head array<bigint>, tail array<bigint>")
     in_text = Window.partitionBy("doc_id", "h").orderBy("k")
     joint = F.array_min(F.array_intersect("head", F.lag("tail").over(in_text)))
     begun = bounds.select("doc_id", "h", "k", F.when(F.col("k") == 0, F.lit(0).cast("bigint")).otherwise(joint).alias("begin"))
@@ -133,7 +133,7 @@ def _encode_long(docs: DataFrame, name: str, folder: str, chunk: int, overlap: i
     each = docs.dropDuplicates(["doc_id", "h"])
     chunks = each.select("doc_id", "h", "text").mapInArrow(_slices(chunk, overlap), "doc_id bigint, h string, k int, chunk string")
     chunks = chunks.repartition("doc_id", "h", "k")
-    stitches, unstitched = stitched_pieces(chunks, chunk)
+    stitches, unstitched = stitched_pieces(chunks, chunk, overlap)
     whole_keys = unstitched.select(F.col("doc_id").alias("d"), F.col("h").alias("g"))
     is_whole = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("h") == F.col("g")]
     s = stitches.join(whole_keys, is_whole, "left_anti")

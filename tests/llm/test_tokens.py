@@ -51,3 +51,13 @@ def test_sizes(spark):
     for below in (50, 10**6):
         got = {r.doc_id: r.tokens for r in tokens.sizes(df, whole_below=below).collect()}
         assert [got[i] for i in range(len(TEXTS))] == [len(x) for x in expected(TEXTS)]
+
+
+@pytest.mark.parametrize("last", [tokens.OVERLAP + 1, 3000, tokens.CHUNK, tokens.CHUNK + 1])
+def test_short_last_chunk_is_stitched(spark, last):
+    text = ("Ordinary words, don't they? 12 of them. " * 1000)[: 2 * tokens.CHUNK + last]
+    docs = spark.createDataFrame([(1, "h", text)], "doc_id bigint, h string, text string")
+    chunks = docs.mapInArrow(tokens._slices(tokens.CHUNK, tokens.OVERLAP), "doc_id bigint, h string, k int, chunk string")
+    stitches, unstitched = tokens.stitched_pieces(chunks, tokens.CHUNK)
+    assert stitches.count() == 3 and unstitched.count() == 0
+    assert ids(spark, [(1, text)]) == [(1, expected([text])[0])]
