@@ -27,6 +27,8 @@ GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναϲϹϳͿ", "ABEZHIKMNOPTYXovacCjJ"
 HYPHENS = "‐‑⁃−﹣－"
 #: Characters without shape that no general category gives away; fixed values.
 FILLERS = "͏ᅟᅠ឴឵ㅤﾠ"
+#: Ranges of the other default-ignorable code points: Mongolian selectors, unassigned ones, tags and variation selectors.
+IGNORABLE = "\u180b-\u180d\u180f\u2065\ufff0-\ufff8\U000e0000-\U000e0fff"
 COMPAT_KINDS = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>")
 
 
@@ -61,7 +63,7 @@ def tables() -> tuple[str, str, list[tuple[str, str]], str]:
     single["\uff9e"], single["\uff9f"] = "\u3099", "\u309a"
     for a, b in list(single.items()):
         single[a] = single.get(b, b)
-    return "".join(single), "".join(single.values()), many, "".join(drop)
+    return "".join(single), "".join(single.values()), many, "".join(drop) + IGNORABLE
 
 
 def _quoted(s: str) -> str:

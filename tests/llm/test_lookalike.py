@@ -1,5 +1,7 @@
 import unicodedata
 
+import pytest
+
 from lectern.llm import lookalike
 
 
@@ -44,3 +46,8 @@ def test_hot_class(spark):
     rows = [(i, "same text") for i in range(2000)] + [(9999, "ѕame text")]
     got = lookalike.lookalike_pairs(spark.createDataFrame(rows, "call_id bigint, text string"))
     assert got.count() == 2000
+
+
+@pytest.mark.parametrize("code", [0x180B, 0x180D, 0x180F, 0x2065, 0xFFF0, 0xE0001, 0xE0041, 0xE007F, 0xE0100, 0xE01EF])
+def test_default_ignorable(spark, code):
+    assert forms(spark, f"a{chr(code)}b", "a\U00020000b", "a\u180ab") == ["ab", "a\U00020000b", "a\u180ab"]
