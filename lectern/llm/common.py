@@ -8,30 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import text
+from lectern.plans import config
 from lectern.runtime import small_side
 
-#: Spellings of a format (compared in lower case) that are not the format's own name; fixed values.
-FORMAT_SPELLINGS = {"txt": "plaintext", "md": "markdown", "mkd": "markdown", "tex": "latex", "rest": "rst"}
-FORMATS = ("plaintext", "markdown", "org", "latex", "rst")
-
-
-def format_key(c: Column) -> Column:
-    """The format's name of any spelling; null is plain text, an unknown spelling stays as it is in lower case."""
-    low = F.lower(F.trim(c))
-    for spelling, name in FORMAT_SPELLINGS.items():
-        low = F.when(low == spelling, F.lit(name)).otherwise(low)
-    return F.coalesce(low, F.lit("plaintext"))
-
-
-def latest_configs(configs: DataFrame) -> DataFrame:
-    """The row with the latest ``loaded_at`` of each project; among ties the one with the largest path."""
-    fields = [c for c in configs.columns if c != "project_id"]
-    return (
-        configs.where(F.col("project_id").isNotNull())
-        .groupBy("project_id")
-        .agg(F.max_by(F.struct(*fields), F.struct(F.col("loaded_at"), F.col("rc_path"))).alias("c"))
-        .select("project_id", "c.*")
-    )
+FORMATS = text.FORMATS
+#: The format's name of any spelling; null is plain text, an unknown spelling stays as it is in lower case.
+format_key = text.format_of_spelling
+#: The row with the latest ``loaded_at`` of each project; among ties the one with the largest path.
+latest_configs = config.latest
 
 
 def with_config(calls: DataFrame, configs: DataFrame, *columns: Column) -> DataFrame:
@@ -45,15 +30,15 @@ def with_config(calls: DataFrame, configs: DataFrame, *columns: Column) -> DataF
 STEP_BYTES = 16 << 20
 
 
-def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    step = max(1, min(rows, batch.num_rows * STEP_BYTES // max(batch.nbytes, 1)))
+def _parts(batch: pa.RecordBatch, rows: int, step_bytes: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, min(rows, batch.num_rows * step_bytes // max(batch.nbytes, 1)))
     return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
 
 
-def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 512) -> DataFrame:
+def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 512, step_bytes: int = STEP_BYTES) -> DataFrame:
     """``mapInArrow`` for a function from at most ``rows`` rows to columns (lists or arrays) in the schema's order.
 
-    Of rows with long texts fewer are given at a time, so that a step holds about ``STEP_BYTES`` at most.
+    Of rows with long texts fewer are given at a time, so that a step holds about ``step_bytes`` at most.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -61,7 +46,7 @@ def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], dict | None], s
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in _parts(b, rows)):
+        for batch in (part for b in batches for part in _parts(b, rows, step_bytes)):
             cols = of_batch(batch)
             if cols is not None:
                 arrays = [

@@ -16,7 +16,7 @@ import re
 import unicodedata
 import uuid
 import zlib
-from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,12 @@ from lectern.runtime import checkpointed, small_side, spread, worker_cache
 
 LANGS = ("en", "de", "fr", "es", "pt", "pl", "is", "ru", "ja", "zh", "th", "hi")
 LATIN = LANGS[:7]
-#: So many texts at most are counted in one step before their counts are summed.
-COUNTED_ROWS = 8192
+#: All that a segment may be labelled: a language, or none of them.
+LABELS = (*LANGS, "und")
+#: Features are hashed into so many buckets, which is what bounds the model.
+BUCKETS = 1 << 18
+#: How often the model labels its own lessons again.
+ROUNDS = 1
 SWITCH = 6.0
 #: A whole paragraph has at least so many letters; fewer in scripts whose characters hold more.
 LEAST, LEAST_DENSE = 28, 12
@@ -91,13 +95,19 @@ def declared(code: str | None) -> str | None:
     return CODES.get(low) or CODES.get(re.split(r"[-_ ()./]", low)[0])
 
 
+#: Cyrillic letters that Russian does not have.
+NOT_RUSSIAN = re.compile(r"[^\W\d_а-яё]")
+
+
 def script(word: str) -> str:
-    """ja (kana), han, th, hi, cyrillic or latin."""
+    """ja (kana), han, th, hi, cyrillic, latin, or und where no language is told apart."""
     if word.isascii():
         return "latin"
     m = WORD.match(word)
     kind = m.lastgroup if m else "other"
-    return ("cyrillic" if CYRILLIC.search(word) and not LATIN_LETTER.search(word) else "latin") if kind == "other" else kind
+    if kind != "other":
+        return kind
+    return "latin" if LATIN_LETTER.search(word) else "cyrillic" if CYRILLIC.search(word) else "und"
 
 
 def words_of(text: str) -> list[str]:
@@ -131,10 +141,12 @@ def prose_paragraphs(text: str, own: str = "plaintext") -> list[str]:
     rest, _ = masked(text.replace("\r\n", "\n"), own)
     out: list[str] = []
     part: list[str] = []
-    skip = False
+    skip = noted = False
     lines = rest.split("\n")
-    for i, line in enumerate([*lines, ""]):
+    for line in [*lines, ""]:
         bare = line.strip()
+        if bare and (noted := _ADMONITION.match(line) is not None or noted and line[0] in " \t"):
+            line = line if _ADMONITION.match(line) else bare  # what it says is indented prose
         if not bare:
             if part and not skip:
                 out.append(" ".join(part))
@@ -158,6 +170,8 @@ def prose_paragraphs(text: str, own: str = "plaintext") -> list[str]:
     return out
 
 
+#: Directives whose bodies are prose; fixed values.
+_ADMONITION = re.compile(r"[ \t]*\.\. (?:note|tip|warning|seealso|important|hint|caution|danger|attention|error|admonition)::")
 _NO_PROSE = re.compile(
     rf"{TAG}|<!--.*?-->|&\w+;|https?://\S+|\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{{[a-z]+:[^}}]*\}})?|\]\([^)]*\)|\[\[[a-z]+:[^\]]*\]|\S+@\S+|\$[^$]*\$|\{{\{{[^}}]*\}}\}}"
     r"|:[a-z]+:`|@@[^@]*@@|\w*_\w+|<[^>]*>`_|[A-Za-z0-9+/=_-]{24,}|(?<![A-Za-z0-9])(?=[A-Za-z]*\d)[A-Za-z0-9]{4,}",
@@ -173,252 +187,371 @@ def _strip(paragraph: str) -> str:
     return _NO_PROSE.sub(" ", paragraph) if _MAY_HOLD.search(paragraph) else paragraph
 
 
+def buckets_of(word: str) -> np.ndarray:
+    """The buckets of a word's features: the word itself and its character n-grams, hashed."""
+    w = f"^{word}$"
+    grams = [w, *(w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1))]
+    return np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), np.int32, len(grams))
+
+
+def lessons_of(word: str) -> np.ndarray:
+    """The buckets that are learnt from a word: its own and those of its spellings without accents."""
+    return np.concatenate([buckets_of(form) for form in sorted({word, plain(word), digraphs(word)})])
+
+
 class Model:
-    """Naive Bayes over a word's character n-grams and the word itself, for the languages of the Latin script and Han."""
+    """Naive Bayes over hashed character n-grams for the languages of the Latin script, and over Han characters.
 
-    def __init__(self) -> None:
-        self.grams: dict[str, np.ndarray] = {}
-        self.unseen = np.zeros(len(LATIN))
+    Its size is fixed by ``BUCKETS``, whatever the vocabulary of the corpus.
+    """
+
+    def __init__(self, counts: np.ndarray | None = None, han: dict[str, tuple[int, int]] | None = None) -> None:
+        """From counts by Latin language and bucket, and of each Han character in ja and zh."""
+        self.table = None
         self.taught = np.zeros(len(LATIN), bool)
-        self.han: dict[str, float] = {}
-
-    @staticmethod
-    def features(word: str) -> list[str]:
-        w = f"^{word}$"
-        return [w, *(w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1))]
-
-    def fit(self, labelled: list[tuple[str, list[str]]]) -> None:
-        """``labelled``: language and Latin words of each paragraph. Words count also as written without accents."""
-        words_in = {lang: Counter() for lang in LATIN}
-        for lang, words in labelled:
-            words_in[lang].update(words)
-        self.fit_counts(words_in)
-
-    def fit_counts(self, words_in: dict[str, Counter]) -> None:
-        """Languages without words get no score for what others were taught."""
-        counts = {lang: Counter() for lang in LATIN}
-        for lang, words in words_in.items():
-            for w, n in words.items():
-                for form in {w, plain(w), digraphs(w)}:
-                    for g in self.features(form):
-                        counts[lang][g] += n
-        totals = np.array([sum(counts[lang].values()) + 1.0 for lang in LATIN])
-        self.taught = totals > 1.0
-        every = set().union(*counts.values())
-        size = len(every) + 1.0
-        alpha = 0.1
-        self.unseen = np.log(alpha / (totals + alpha * size))
-        for g in every:
-            n = np.array([counts[lang][g] for lang in LATIN], float)
-            self.grams[g] = np.log((n + alpha) / (totals + alpha * size)).astype(np.float32)
+        if counts is not None and counts.any():
+            counts = counts.astype(np.float64)
+            totals = counts.sum(1, keepdims=True) + 1.0
+            self.taught = totals[:, 0] > 1.0
+            size = np.count_nonzero(counts.any(0)) + 1.0
+            self.table = np.ascontiguousarray(np.log((counts + 0.1) / (totals + 0.1 * size)).T.astype(np.float32))
+        total = [sum(n[k] for n in (han or {}).values()) + 1 for k in (0, 1)]
+        odds = lambda n: math.log((n[0] + 0.5) / total[0]) - math.log((n[1] + 0.5) / total[1])
+        self.han = {c: max(-2.0, min(2.0, odds(n))) for c, n in (han or {}).items()}
 
     def score(self, word: str) -> np.ndarray:
-        """Log-probabilities over LANGS, floored so that no single word outweighs its paragraph."""
-        out, kind = np.full(len(LANGS), -8.0), script(word)
+        """Log-probabilities over LABELS, floored so that no single word outweighs its paragraph."""
+        out, kind = np.full(len(LABELS), -8.0), script(word)
         if kind == "latin":
-            s = np.sum([self.grams.get(g, self.unseen) for g in self.features(word)], axis=0)
-            s = s / math.sqrt(len(word) + 2)
+            s = self.table[buckets_of(word)].sum(0, dtype=np.float64) / math.sqrt(len(word) + 2) if self.table is not None else np.zeros(len(LATIN))
             if self.taught.any():
                 s = np.where(self.taught, s, -np.inf)
             s = s - (s.max() + math.log(np.exp(s - s.max()).sum()))
             out[: len(LATIN)] = np.maximum(s, -6.0)
         elif kind == "cyrillic":
-            out[LANGS.index("ru")] = 0.0
+            known = not NOT_RUSSIAN.search(word)
+            out[LABELS.index("ru")], out[-1] = (0.0, -1.0) if known else (-8.0, 0.0)
         elif kind == "han":
             ja = 1 / (1 + math.exp(-sum(self.han.get(c, 0.0) for c in word)))
-            out[LANGS.index("ja")], out[LANGS.index("zh")] = math.log(max(ja, 0.02)), math.log(max(1 - ja, 0.02))
+            out[LABELS.index("ja")], out[LABELS.index("zh")] = math.log(max(ja, 0.02)), math.log(max(1 - ja, 0.02))
         else:
-            out[LANGS.index(kind)] = 0.0
+            out[LABELS.index(kind)] = 0.0
         return out
 
 
-def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best labels of a sequence of words; each change of label costs ``switch``."""
-    n = len(scores)
-    stay = scores.sum(0)
-    if stay.max() >= scores.max(1).sum() - switch:  # no path with a switch can be better
-        return np.full(n, int(stay.argmax()))
-    best = scores[0].copy()
-    back = np.empty((n, scores.shape[1]), np.int16)
-    own = np.arange(scores.shape[1])
-    for i in range(1, n):
-        top = int(best.argmax())
-        moved = best[top] - switch
-        stays = best >= moved
-        back[i] = np.where(stays, own, top)
-        best = np.where(stays, best, moved) + scores[i]
-    path = np.empty(n, np.int64)
-    path[-1] = best.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
+def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The best labels of many sequences of words at once; each change of label costs ``switch``.
+
+    ``scores`` holds the rows of all sequences; each has a start and a length in it.  All sequences take a step together.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    own = np.arange(scores.shape[1], dtype=np.int8)
+    back, path = np.empty(scores.shape, np.int8), np.zeros(len(scores), np.int8)
+    going = np.searchsorted(-lengths, -np.arange(lengths[0] + 1), side="left")  # how many are longer than t
+    best = scores[starts]
+    for t in range(1, int(lengths[0])):
+        n = going[t]
+        at, b = starts[:n] + t, best[:n]
+        top = b.argmax(1)
+        moved = b[np.arange(n), top] - switch
+        stays = b >= moved[:, None]
+        back[at] = np.where(stays, own, top[:, None])
+        best[:n] = np.where(stays, b, moved[:, None]) + scores[at]
+    label = best.argmax(1)
+    for t in range(int(lengths[0]) - 1, 0, -1):
+        n = going[t]
+        at = starts[:n] + t
+        path[at] = label[:n]
+        label[:n] = back[at, label[:n]]
+    path[starts] = label
     return path
 
 
-class Labeller:
-    """A model with the scores of the words it has met."""
+class Vocabulary:
+    """Rows of numbers for words, worked out once for each; ``row`` tells a word's."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
-        self.table = np.empty((1024, len(LANGS)))
+    def __init__(self, columns: int, row: Callable[[str], np.ndarray | Sequence[float]]) -> None:
+        self.known: dict[str, int] = {}
+        self.words: list[str] = []
+        self.table, self.of = np.empty((1024, columns)), row
 
-    def row(self, word: str) -> int:
+    def _add(self, word: str) -> int:
         k = self.known[word] = len(self.known)
+        self.words.append(word)
         if k >= len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[k] = self.model.score(word)
+        self.table[k] = self.of(word)
         return k
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        if len(self.known) + len(words) >= self.LIMIT:
-            self.known.clear()
-        at = [self.known[w] if w in self.known else self.row(w) for w in words]  # may replace the table
-        return self.table[at]
-
-    def relabelled(self, words: list[str]) -> str | None:
-        """The language of a paragraph of Latin words, or None if a second one is near."""
-        s = self.scores(words).sum(0)
-        second, top = np.sort(s)[-2:]
-        return LANGS[int(s.argmax())] if top - second > 3 else None
-
-    def paragraph(self, text: str) -> list[tuple[str, int, float]]:
-        """``(language, size, confidence)`` of each segment."""
-        words = words_of(_strip(text))
-        if not words:
-            return []
-        scores = self.scores(words)
-        path = viterbi(scores)
-        sure = np.exp(scores[np.arange(len(path)), path])
-        weights = np.fromiter(map(len, words), np.int64, len(words))
-        out = []
-        cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            size = int(weights[a:b].sum())
-            out.append((LANGS[path[a]], size, float((sure[a:b] * weights[a:b]).sum() / size)))
+    def ids(self, words: list[str]) -> np.ndarray:
+        known, add = self.known, self._add
+        return np.fromiter((known[w] if w in known else add(w) for w in words), np.int64, len(words))
+
+    def is_full(self) -> bool:
+        return len(self.known) >= self.LIMIT
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.words.clear()
+
+
+Segment = tuple[str, int, float]
+
+
+class Labeller:
+    """A model with the scores of the words it has met; paragraphs are labelled many at a time."""
+
+    #: So many words at most are labelled in one step.
+    STEP = 100_000
+
+    def __init__(self, model: Model) -> None:
+        self.words = Vocabulary(len(LABELS) + 1, lambda w: [*model.score(w), len(w)])
+
+    def label(self, paragraphs: list[list[str]]) -> list[list[Segment]]:
+        """``(language, size, confidence)`` of the segments of each paragraph, given as its words."""
+        out: list[list[Segment]] = []
+        at = 0
+        while at < len(paragraphs):
+            end, n = at, 0
+            while end < len(paragraphs) and (end == at or n + len(paragraphs[end]) <= self.STEP):
+                n += len(paragraphs[end])
+                end += 1
+            out += self._label(paragraphs[at:end])
+            at = end
+        return out
+
+    def _label(self, paragraphs: list[list[str]]) -> list[list[Segment]]:
+        if self.words.is_full():
+            self.words.clear()
+        lengths = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
+        filled = np.flatnonzero(lengths)
+        out: list[list[Segment]] = [[] for _ in paragraphs]
+        if not len(filled):
+            return out
+        starts = np.concatenate([[0], np.cumsum(lengths[filled])])
+        ids = self.words.ids([w for p in paragraphs for w in p])  # may replace the table
+        rows = self.words.table[ids]
+        scores, sizes = rows[:, :-1], rows[:, -1]
+        stay = np.add.reduceat(scores, starts[:-1], axis=0)
+        lang = stay.argmax(1)
+        # No path with a switch can be better than one label throughout.
+        is_one = stay.max(1) >= np.add.reduceat(scores.max(1), starts[:-1]) - SWITCH
+        sure = np.exp(scores[np.arange(len(scores)), np.repeat(lang, lengths[filled])]) * sizes
+        total = np.add.reduceat(sizes, starts[:-1])
+        confidence = np.add.reduceat(sure, starts[:-1]) / total
+        mixed = np.flatnonzero(~is_one)
+        labels = viterbi(scores, starts[mixed], lengths[filled][mixed]) if len(mixed) else None
+        for k, (p, one) in enumerate(zip(filled.tolist(), is_one.tolist())):
+            if one:
+                out[p] = [(LABELS[lang[k]], int(total[k]), float(confidence[k]))]
+                continue
+            a, b = starts[k], starts[k + 1]
+            path, own = labels[a:b], sizes[a:b]
+            sure_of = np.exp(scores[np.arange(a, b), path]) * own
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
+            for x, size, c in zip(cuts, np.add.reduceat(own, cuts), np.add.reduceat(sure_of, cuts)):
+                out[p].append((LABELS[path[x]], int(size), float(c / size)))
         return out
 
+    def paragraph(self, text: str) -> list[Segment]:
+        return self.label([words_of(_strip(text))])[0]
+
+
+def main_language(segments: list[Segment]) -> str | None:
+    """The language of most letters of a paragraph, if it is that of most of them."""
+    sizes: dict[str, int] = {}
+    for lang, n, _ in segments:
+        sizes[lang] = sizes.get(lang, 0) + n
+    lang = max(sizes, key=sizes.get, default=None)
+    return lang if lang and sizes[lang] >= SHARE * sum(sizes.values()) else None
+
 
 def paragraph_language(segments: list[tuple[str, int, float]]) -> str | None:
     """The language in which a whole paragraph is written."""
-    total = sum(n for _, n, _ in segments)
-    sizes: Counter = Counter()
-    for lang, n, _ in segments:
-        sizes[lang] += n
-    if not sizes:
+    lang = main_language(segments)
+    if lang not in LANGS:
         return None
-    lang, n = sizes.most_common(1)[0]
-    least = LEAST_DENSE if lang in ("ja", "zh") else LEAST
-    return lang if n >= SHARE * total and n >= least else None
+    size = sum(n for x, n, _ in segments if x == lang)
+    return lang if size >= (LEAST_DENSE if lang in ("ja", "zh") else LEAST) else None
+
+
+def _told(word: str) -> list[float]:
+    """Votes of a word for the Latin languages, whether it is Latin, Han or kana, and how long it is."""
+    kind = script(word)
+    if kind != "latin":
+        return [*[0.0] * len(LATIN), 0.0, kind == "han", kind == "ja"]
+    return [*((word in SEED_WORDS[x]) + 0.5 * (word in PLAIN_SEEDS[x]) for x in LATIN), 1.0, 0.0, 0.0]
+
+
+class Counter:
+    """Counts of buckets by Latin language and of Han characters by ja and zh, over the paragraphs it is given."""
+
+    def __init__(self, model: Model | None = None) -> None:
+        columns = len(LATIN) + 3
+        self.told = Vocabulary(2 * len(LATIN) + 3, lambda w: [*_told(w), *(model.score(w)[: len(LATIN)] if model else [0.0] * len(LATIN))])
+        self.by_model, self.columns = model is not None, columns
+        self.words = np.zeros((len(LATIN), 1024), np.int64)
+        self.counts = np.zeros((len(LATIN), BUCKETS), np.int64)
+        self.han: dict[str, list[int]] = {}
+
+    def add(self, paragraphs: list[list[str]]) -> None:
+        lengths = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
+        filled = np.flatnonzero(lengths)
+        if not len(filled):
+            return
+        if self.told.is_full():
+            self._flush()
+        ids = self.told.ids([w for p in paragraphs for w in p])
+        starts = np.concatenate([[0], np.cumsum(lengths[filled])[:-1]])
+        n, rows = len(LATIN), self.told.table[ids]
+        is_latin = rows[:, n] > 0
+        sums = np.add.reduceat(rows[:, : n + 3], starts, axis=0)
+        known = (sums[:, n] > 0.5 * lengths[filled]) & (sums[:, n] >= LEAST_WORDS)
+        if self.by_model:
+            votes = np.add.reduceat(np.where(is_latin[:, None], rows[:, n + 3 :], 0.0), starts, axis=0)
+            ranked = np.sort(votes, axis=1)
+            sure = ranked[:, -1] - ranked[:, -2] > 3
+        else:
+            votes = sums[:, :n]
+            ranked = np.sort(votes, axis=1)
+            sure = (ranked[:, -1] >= 2) & (ranked[:, -1] > 1.3 * ranked[:, -2])
+        lang = np.where(known & sure, votes.argmax(1), -1)
+        of_word = np.where(is_latin, np.repeat(lang, lengths[filled]), -1)
+        size = len(self.told.words)
+        if self.words.shape[1] < size:
+            self.words = np.pad(self.words, ((0, 0), (0, 2 * size - self.words.shape[1])))
+        taken = of_word >= 0
+        self.words[:, :size] += np.bincount(of_word[taken] * size + ids[taken], minlength=n * size).reshape(n, size)
+        if not self.by_model:
+            for k in np.flatnonzero(~known & (sums[:, n + 1] > 0)).tolist():
+                column = 0 if sums[k, n + 2] > 0 else 1
+                for i in range(starts[k], starts[k] + lengths[filled[k]]):
+                    if rows[i, n + 1] > 0:
+                        for c in self.told.words[ids[i]]:
+                            self.han.setdefault(c, [0, 0])[column] += 1
+
+    def _flush(self) -> None:
+        for k, word in enumerate(self.told.words):
+            n = self.words[:, k]
+            if n.any():
+                np.add.at(self.counts.T, lessons_of(word), n)
+        self.words[:] = 0
+        self.told.clear()
+
+    def result(self) -> tuple[np.ndarray, dict[str, list[int]]]:
+        self._flush()
+        return self.counts, self.han
+
+
+def train(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
+    """From ``(text, format)``: function words label the first paragraphs, then the model labels all of them again."""
+    paragraphs = [words_of(_strip(p)) for text, own in texts for p in prose_paragraphs(text, own)]
+    model, han = None, {}
+    for _ in range(rounds + 1):
+        counter = Counter(model)
+        counter.add(paragraphs)
+        counts, seen = counter.result()
+        if model is None or counts.any():
+            han = han or {c: tuple(n) for c, n in seen.items()}
+            model = Model(counts, han)
+    return model
 
 
-def lesson(paragraph: str) -> tuple[str | None, list[str]]:
-    """The words of a paragraph that are learnt from and the language that function words or kana tell, if they do.
-
-    Of a Latin paragraph these are its Latin words; else the runs of Han characters, which are Japanese or Chinese.
-    """
-    words = words_of(_strip(paragraph))
-    kinds = [script(w) for w in words]
-    latin = [w for k, w in zip(kinds, words) if k == "latin"]
-    if len(latin) > 0.5 * len(words) and len(latin) >= LEAST_WORDS:
-        votes = Counter({lang: sum(w in s for w in latin) + 0.5 * sum(w in PLAIN_SEEDS[lang] for w in latin) for lang, s in SEED_WORDS.items()})
-        (top, a), (_, b) = votes.most_common(2)
-        return top if a >= 2 and a > 1.3 * b else None, latin
-    if "han" in kinds:
-        return "ja" if "ja" in kinds else "zh", [w for k, w in zip(kinds, words) if k == "han"]
-    return None, []
-
-
-def learn_han(model: Model, han: dict[str, Counter]) -> None:
-    total = {k: sum(c.values()) + 1 for k, c in han.items()}
-    for c in set(han["ja"]) | set(han["zh"]):
-        model.han[c] = max(-2.0, min(2.0, math.log((han["ja"][c] + 0.5) / total["ja"]) - math.log((han["zh"][c] + 0.5) / total["zh"])))
-
-
-def train(texts: list[tuple[str, str]]) -> Model:
-    """From ``(text, format)``."""
-    lessons = [lesson(p) for text, own in texts for p in prose_paragraphs(text, own)]
-    paragraphs = [words for lang, words in lessons if words and lang not in ("ja", "zh")]
-    first = [(lang, words) for lang, words in lessons if lang in LATIN]
-    model = Model()
-    model.fit(first)
-    for _ in range(2):
-        labeller = Labeller(model)
-        again = [(lang, words) for words in paragraphs if (lang := labeller.relabelled(words))]
-        model = Model()
-        model.fit(again or first)
-    learn_han(model, {k: Counter("".join(w for lang, words in lessons if lang == k for w in words)) for k in ("ja", "zh")})
-    return model
+PACKED = "packed binary"
 
 
-def fitted(calls: DataFrame) -> Model:
-    """What :func:`train` learns from all texts of the calls.
+def packed_words(calls: DataFrame) -> DataFrame:
+    """The words of all paragraphs, packed: texts are parsed here and nowhere else.
 
-    Texts are parsed once; the words of their paragraphs are kept packed. Each round counts words by language in
-    parts, and sums them; what reaches the driver is the vocabulary with its counts.
+    A line is ``call, paragraph, words``.  A text without prose has one line numbered -1 with the words of all it has.
     """
-    texts = spread(calls.where(F.col("text").isNotNull()).select("text", format_key(F.col("format")).alias("own")))
-    context = calls.sparkSession.sparkContext
 
     def pack(b: pa.RecordBatch) -> dict:
         lines = []
-        for text, own in zip(b.column("text").to_pylist(), b.column("own").to_pylist()):
-            for p in prose_paragraphs(text, own):
-                lang, words = lesson(p)
-                if words:
-                    lines.append(f"{lang or ''}\t{' '.join(words)}")
+        for call, text, own in zip(*(b.column(c).to_pylist() for c in ("call_id", "text", "own"))):
+            call, prose = "" if call is None else call, False
+            for k, paragraph in enumerate(prose_paragraphs(text, own)):
+                if words := words_of(_strip(paragraph)):
+                    prose = True
+                    lines.append(f"{call}\t{k}\t{' '.join(words)}")
+            if not prose and (words := words_of(_strip(masked(text.replace("\r\n", "\n"), own)[0]))):
+                lines.append(f"{call}\t-1\t{' '.join(words)}")
         return {"packed": [zlib.compress("\n".join(lines).encode(), 1)] if lines else []}
 
-    lessons = checkpointed(map_rows(texts, pack, "packed binary"))
+    texts = spread(calls.where(F.col("text").isNotNull()).select("call_id", "text", format_key(F.col("format")).alias("own")))
+    return map_rows(texts, pack, PACKED)
+
+
+def unpacked(packed: bytes) -> tuple[list[int | None], list[int], list[list[str]]]:
+    calls, numbers, words = [], [], []
+    for line in zlib.decompress(packed).decode().split("\n"):
+        call, k, rest = line.split("\t")
+        calls.append(int(call) if call else None)
+        numbers.append(int(k))
+        words.append(rest.split(" "))
+    return calls, numbers, words
 
-    def counted(model: Model | None) -> dict[str, Counter]:
-        """Words by language as first told, or as the model tells; of ja and zh characters, in the first round only."""
+
+def fitted(packed: DataFrame, rounds: int = ROUNDS) -> Model:
+    """What :func:`train` learns, from the words of all texts; each round is one sum of partial counts.
+
+    What reaches the driver is at most ``BUCKETS`` counts for each language, and the counts of Han characters.
+    """
+    context = packed.sparkSession.sparkContext
+
+    def counted(model: Model | None) -> tuple[np.ndarray, dict[str, tuple[int, int]]]:
         shared = context.broadcast(vars(model)) if model else None
 
-        def of_batch(b: pa.RecordBatch) -> dict:
-            found = {lang: Counter() for lang in (*LATIN, "ja", "zh")}
-            labeller = None
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = None
             if shared:
                 known = Model()
                 vars(known).update(shared.value)
-                labeller = Labeller(known)
-            for packed in b.column("packed").to_pylist():
-                for line in zlib.decompress(packed).decode().split("\n"):
-                    lang, words = line.split("\t")
-                    if lang in ("ja", "zh"):
-                        if not labeller:
-                            found[lang].update(words.replace(" ", ""))
-                        continue
-                    words = words.split(" ")
-                    if lang := labeller.relabelled(words) if labeller else lang:
-                        found[lang].update(words)
-            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
-            return dict(zip(("lang", "word", "n"), zip(*rows))) if rows else {"lang": [], "word": [], "n": []}
-
-        sums = map_rows(lessons, of_batch, "lang string, word string, n bigint", rows=COUNTED_ROWS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        out = {lang: Counter() for lang in (*LATIN, "ja", "zh")}
-        for lang, word, n in sums.toLocalIterator():
-            out[lang][word] = n
-        return out
-
-    first = counted(None)
-    model = Model()
-    model.fit_counts({lang: first[lang] for lang in LATIN})
-    for _ in range(2):
-        again = counted(model)
-        words_in = {lang: again[lang] for lang in LATIN}
-        model = Model()
-        model.fit_counts(words_in if any(words_in.values()) else {lang: first[lang] for lang in LATIN})
-    learn_han(model, {k: first[k] for k in ("ja", "zh")})
+            counter = Counter(known)
+            for batch in batches:
+                for blob in batch.column("packed"):
+                    _, numbers, words = unpacked(blob.as_py())
+                    counter.add([w for k, w in zip(numbers, words) if k >= 0])
+            counts, han = counter.result()
+            lang, bucket = np.nonzero(counts)
+            rows = [*zip(map(LATIN.__getitem__, lang.tolist()), map(str, bucket.tolist()), counts[lang, bucket].tolist())]
+            rows += [(x, c, n) for c, both in han.items() for x, n in zip(("ja", "zh"), both) if n]
+            columns = zip(*rows) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["lang", "key", "n"])
+
+        sums = packed.mapInArrow(run, "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+        counts, han = np.zeros((len(LATIN), BUCKETS), np.int64), {}
+        for lang, key, n in zip(*(sums.column(c).to_pylist() for c in ("lang", "key", "n"))):
+            if lang in LATIN:
+                counts[LATIN.index(lang), int(key)] = n
+            else:
+                ja, zh = han.get(key, (0, 0))
+                han[key] = (n, zh) if lang == "ja" else (ja, n)
+        return counts, han
+
+    counts, han = counted(None)
+    model = Model(counts, han)
+    for _ in range(rounds):
+        counts, _ = counted(model)
+        if counts.any():
+            model = Model(counts, han)
     return model
 
 
+SEGMENTS = "call_id bigint, paragraph int, segment int, lang string, size int, confidence double, whole string"
+
+
 def segments(calls: DataFrame, model: Model | None = None) -> DataFrame:
     """A row for each segment of a prose paragraph: ``(call_id, paragraph, segment, lang, size, confidence, whole)``.
 
-    ``whole`` is the language of the whole paragraph (null where it is too short or mixed).
+    ``whole`` is the language of the whole paragraph (null where it is too short or mixed).  Languages of other scripts
+    are ``und``.  A text without prose has its segments under paragraph -1, none of them whole.
     """
-    model = model or fitted(calls)
+    packed = checkpointed(packed_words(calls))
+    model = model or fitted(packed)
     shared, stamp = calls.sparkSession.sparkContext.broadcast(vars(model)), uuid.uuid4().hex
 
     def batch(b: pa.RecordBatch) -> dict:
@@ -428,18 +561,16 @@ def segments(calls: DataFrame, model: Model | None = None) -> DataFrame:
             vars(known).update(shared.value)
             cache["labeller"] = stamp, Labeller(known)
         labeller = cache["labeller"][1]
-        out: dict[str, list] = {k: [] for k in ("call_id", "paragraph", "segment", "lang", "size", "confidence", "whole")}
-        for call, text, own in zip(*(b.column(c).to_pylist() for c in ("call_id", "text", "own"))):
-            for p, paragraph in enumerate(prose_paragraphs(text, own)):
-                found = labeller.paragraph(paragraph)
-                whole = paragraph_language(found)
-                for s, (lang, size, confidence) in enumerate(found):
-                    for name, x in zip(out, (call, p, s, lang, size, confidence, whole)):
-                        out[name].append(x)
-        return out
+        rows = []
+        for blob in b.column("packed"):
+            ids, numbers, words = unpacked(blob.as_py())
+            for call, p, found in zip(ids, numbers, labeller.label(words)):
+                whole = paragraph_language(found) if p >= 0 else None
+                rows += [(call, p, s, lang, size, confidence, whole) for s, (lang, size, confidence) in enumerate(found)]
+        names = SEGMENTS.replace(",", "").split()[::2]
+        return dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
 
-    texts = spread(calls.where(F.col("text").isNotNull()).select("call_id", "text", format_key(F.col("format")).alias("own")))
-    return map_rows(texts, batch, "call_id bigint, paragraph int, segment int, lang string, size int, confidence double, whole string")
+    return map_rows(packed, batch, SEGMENTS, rows=16)
 
 
 def declarations(configs: DataFrame) -> DataFrame:
@@ -462,7 +593,11 @@ def undeclared(calls: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def documents(calls: DataFrame) -> DataFrame:
-    """``(call_id, lang, confidence)``: the language of most of each text that has prose."""
-    per = segments(calls).groupBy("call_id", "lang").agg(F.sum("size").alias("n"), (F.sum(F.col("confidence") * F.col("size")) / F.sum("size")).alias("c"))
+    """``(call_id, lang, confidence)``: the language of most of each text that has any letters.
+
+    The confidence is the mean over the text's letters of how sure each is of that language.
+    """
+    once = segments(calls).select("call_id", "paragraph", "segment", "lang", "size", "confidence").distinct()
+    per = once.groupBy("call_id", "lang").agg(F.sum("size").alias("n"), (F.sum(F.col("confidence") * F.col("size")) / F.sum("size")).alias("c"))
     top = per.groupBy("call_id").agg(F.max(F.struct("n", "lang", "c")).alias("m"), F.sum("n").alias("all"))
     return top.select("call_id", F.col("m.lang").alias("lang"), F.round(F.col("m.c") * F.col("m.n") / F.col("all"), 4).alias("confidence"))

@@ -23,6 +23,7 @@ from lectern.runtime import checkpointed, spread, worker_cache
 #: Letters of other scripts and the Latin letters of the same shape; fixed values.
 CYRILLIC = "аВсԁеһНіјКӏМорԛЅѕТхХуУѵԝАЕОРСІЈԌ", "aBcdehHijKlMopqSsTxXyYvwAEOPCIJG"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναϲϹϳͿ", "ABEZHIKMNOPTYXovacCjJ"
+ARMENIAN = "օՕսՍհո", "oOuUhn"
 #: Sorts of hyphen that look like the hyphen-minus; fixed values.
 HYPHENS = "‐‑⁃−﹣－"
 #: Characters without shape that no general category gives away; fixed values.
@@ -34,7 +35,7 @@ COMPAT_KINDS = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>")
 
 def tables() -> tuple[str, str, list[tuple[str, str]], str]:
     """From, to (single characters), replacements of several characters, and a class of what to delete: all by rule."""
-    single: dict[str, str] = dict(zip(CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1]))
+    single: dict[str, str] = dict(zip(CYRILLIC[0] + GREEK[0] + ARMENIAN[0], CYRILLIC[1] + GREEK[1] + ARMENIAN[1]))
     many: list[tuple[str, str]] = []
     drop = []
     for code in range(0x80, 0x20000):
@@ -118,18 +119,39 @@ def consistent_form(texts: DataFrame) -> DataFrame:
     return map_rows(spread(texts.select("call_id", "text")), _forms, "call_id bigint, form string", rows=2048)
 
 
+def _members(texts: DataFrame) -> DataFrame:
+    """``(call_id, raw, form)``: hashes of each text and of its form, blank texts left out."""
+    blank = F.length(F.regexp_replace("text", r"(?U)\s+", "")) == 0
+    return map_rows(spread(texts.select("call_id", "text").where(~blank)), _hashes, "call_id bigint, raw binary, form binary", rows=2048).distinct()
+
+
+def _ambiguous(members: DataFrame) -> DataFrame:
+    """``(form, raw)``: classes of equal texts whose form other texts have, too."""
+    forms = members.groupBy("form", "raw").agg(F.lit(1).alias("one"))
+    several = forms.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
+    return forms.join(several, "form").select("form", "raw")
+
+
+def lookalike_classes(texts: DataFrame) -> DataFrame:
+    """``(call_id, representative, texts, calls)`` of each call whose text looks like a different one.
+
+    The representative is the smallest call of those that look the same, ``texts`` and ``calls`` are how many different
+    texts and how many calls these are.  One row a call, whatever the size of a class.
+    """
+    members = checkpointed(_members(texts))
+    alike = _ambiguous(members).groupBy("form").agg(F.count(F.lit(1)).alias("texts"))
+    sizes = members.join(alike, "form").groupBy("form", "texts").agg(F.min("call_id").alias("representative"), F.countDistinct("call_id").alias("calls"))
+    return members.join(sizes, "form").select("call_id", "representative", "texts", "calls").distinct()
+
+
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
     """``(call_id_a, call_id_b)`` of calls whose texts are different but have one form.
 
     Only 128-bit hashes are shuffled, never texts.  Calls with equal texts are one class; classes are paired within a
     form, and only classes that have a partner are expanded to calls, so a hot class costs no more than its result.
     """
-    blank = F.length(F.regexp_replace("text", r"(?U)\s+", "")) == 0
-    hashed = map_rows(spread(texts.select("call_id", "text").where(~blank)), _hashes, "call_id bigint, raw binary, form binary", rows=2048)
-    members = checkpointed(hashed.distinct())  # 40 bytes a call; read several times below
-    forms = members.groupBy("form", "raw").agg(F.lit(1).alias("one"))
-    several = forms.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    classes = forms.join(several, "form").select("form", "raw")
+    members = checkpointed(_members(texts))  # 40 bytes a call; read several times below
+    classes = _ambiguous(members)
     a, b = classes.select("form", F.col("raw").alias("raw_a")), classes.select("form", F.col("raw").alias("raw_b"))
     pairs = a.join(b, "form").where("raw_a < raw_b").select("raw_a", "raw_b")
     calls = members.select("call_id", "raw")

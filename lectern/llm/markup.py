@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +43,7 @@ NAME = r"[A-Za-z][\w.+-]*"
 
 #: What gives a kind away outside code, by kind.
 MARKS = {
-    "html": re.compile(rf"{TAG}|<!--.*?-->|<!DOCTYPE|{ENTITY}", re.I | re.S),
+    "html": re.compile(rf"{TAG}|<!--(?:(?!<!--).)*?-->|<!DOCTYPE|{ENTITY}", re.I | re.S),
     "markdown": re.compile(
         r"^ {0,3}#{1,6}[ \t]+\S"  # heading
         r"|!?\[[^\[\]]+\]\((?:[^()\s]|\([^()\s]*\))+\)"  # link, image
@@ -64,7 +66,7 @@ MARKS = {
     ),
     "latex": re.compile(
         r"\\(?:begin|end)\{[A-Za-z]+\*?\}|\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?\{|\\(?:item|maketitle|tableofcontents|centering|newpage|par|noindent|alpha|beta|leq|geq|ldots|cdot|LaTeX|TeX)\b"
-        r"|\\\[[^\n]+|\\\][ \t\r]*$|\\\(.+?\\\)|(?<![\w$])\$(?=[^\s$])[^$\n]*(?:\n[^$\n]+)?[\\^_=][^$\n]*\$(?!\d)|\$\$.+?\$\$",
+        r"|\\\[[^\n]+|\\\][ \t\r]*$|\\\((?:(?!\\\().)+?\\\)|(?<![\w$])\$(?=[^\s$])[^$\n]*(?:\n[^$\n]+)?[\\^_=][^$\n]*\$(?!\d)|\$\$(?:(?!\$\$).)+\$\$",
         re.M | re.S,
     ),
     "org": re.compile(
@@ -82,6 +84,17 @@ MARKS = {
     ),
 }
 
+#: Each mark of a kind holds one of these; looking for them is far cheaper than the patterns.
+PARTS = {
+    "html": ("<", "&"),
+    "markdown": ("# ", "#\t", "](", "][", "]:", "**", "__", "~~", "\n>", "\n >", "\n  >", "\n   >", "[ ]", "[x]", "[X]", "--"),
+    "wiki": ("{{", "==", "''", "[[", "[http", "\n{|", "|}", "|-", "__", "<", "#REDIRECT"),
+    "latex": ("\\", "$"),
+    "org": ("#+", "\n*", ":PROPERTIES:", ":END:", ":LOGBOOK:", ":CUSTOM_ID:", ":ID:", "[[", "@@", "SCHEDULED:", "DEADLINE:", "CLOSED:"),
+    "rst": (".. ", "..\t", ":`", "`_", "``", "]_", "~~~", "^^^", '"""', "+++", "###", "***", "```"),
+}
+#: Nested items below an item that is a wiki link: no headlines, though they look alike.
+WIKI_LIST = re.compile(r"^(\*[ \t]+(?:\[\[[^\[\]\n]+\]\](?!\[)|'')[^\n]*\n)(?:\*{1,8}[ \t][^\n]*(?:\n|\Z))+", re.M)
 #: Without any of these there is no mark of any kind.
 ANY_MARK = re.compile(r"[<>&{}\[\]\\$#*=~`|@^\"+]|''|__|::|^[ \t]*:[A-Z]|^[ \t]*\.\. |^[ \t]*(?:SCHEDULED|DEADLINE|CLOSED):", re.M)
 
@@ -109,18 +122,19 @@ def blocks(text: str, own: str = "plaintext") -> tuple[list[str], list[tuple[int
     if not any(x in text for x in ("```", "~~~", "#+", "\\begin", ".. ", "::")):
         return lines, inside, kinds
     i, n = 0, len(lines)
+    fences = {c: [k for k, x in enumerate(lines) if c * 3 in x] for c in "`~"}
     while i < n:
         line = lines[i].rstrip("\r")
         start = i + 1
         if m := FENCE.match(line):
             mark = m[2]
             before = lines[i - 1].strip() if i else ""
-            if mark[0] == "~" and not m[3] and before and set(before) != {"~"} and len(mark) >= 3 and len(line.strip()) >= min(len(before), 4) and not _closes(lines, i, mark):
+            closing = re.compile(rf"[ \t]*{re.escape(mark[0])}{{{len(mark)},}}[ \t\r]*$")
+            if mark[0] == "~" and not m[3] and before and set(before) != {"~"} and (len(mark) > 3 or len(before) <= 3 and own != "markdown"):
                 i += 1  # the underline of a title
                 continue
-            j = start
-            while j < n and not re.match(rf"^[ \t]*{re.escape(mark[0])}{{{len(mark)},}}[ \t\r]*$", lines[j]):
-                j += 1
+            later = fences[mark[0]]
+            j = next((k for k in islice(later, bisect_left(later, start), None) if closing.match(lines[k])), n)
             if mark[0] == "~" and j == n:
                 i += 1
                 continue
@@ -158,11 +172,6 @@ def blocks(text: str, own: str = "plaintext") -> tuple[list[str], list[tuple[int
     return lines, inside, kinds
 
 
-def _closes(lines: list[str], i: int, mark: str) -> bool:
-    """Whether a fence of tildes opens here: it is closed later by a line as long, with something else in between."""
-    return any(lines[j].strip() == mark for j in range(i + 1, min(i + 200, len(lines)))) and (i == 0 or not lines[i - 1].strip())
-
-
 def masked(text: str, own: str = "plaintext") -> tuple[str, set[str]]:
     """The text without what stands in code of any kind, and the kinds of the delimiters of that code."""
     lines, inside, kinds = blocks(text, own)
@@ -199,8 +208,11 @@ def kinds_of(text: str, own: str = "plaintext") -> set[str]:
     if not ANY_MARK.search(text):
         return set()
     rest, kinds = masked(text, own)
+    rest = "\n" + rest
     for kind, marks in MARKS.items():
-        if kind != own and kind not in kinds and marks.search(rest):
+        if kind == own or kind in kinds or not any(x in rest for x in PARTS[kind]):
+            continue
+        if marks.search(WIKI_LIST.sub(r"\1", rest) if kind == "org" and "\n**" in rest else rest):
             kinds.add(kind)
     return kinds
 

@@ -21,8 +21,8 @@ from lectern.runtime import small_side
 
 #: How strongly weights change over time, 0 (not at all) to 1.
 TILT = 0.5
-#: Documents of one source are laid out in so many blocks, so that a source of any size is spread over many tasks.
-BLOCKS = 1024
+#: Documents of a source are laid out in blocks of about so many, so that a source of any size is spread over many tasks.
+BLOCK_ROWS = 20_000
 
 
 def targets_of(targets: DataFrame) -> DataFrame:
@@ -33,37 +33,30 @@ def targets_of(targets: DataFrame) -> DataFrame:
     )
 
 
-def report(sized: DataFrame, targets: DataFrame, tilt: float = TILT) -> DataFrame:
-    """A row for each source with a target: what it has, can give at most, should give, and its actual share.
+def integral(t, share, lean, tilt: float):
+    """The integral of a source's weight from 0 to ``t``: its share of all tokens up to then; at 1 the share itself."""
+    return share * (t + F.lit(tilt) * lean * (t * t - t))
+
+
+def schedule(sized: DataFrame, targets: DataFrame, tilt: float = TILT) -> DataFrame:
+    """A row for each source with a target: what it has, its lean, and its demand over the whole time.
 
     ``sized`` has ``(source, tokens)`` per document.  Everything after the first aggregate has a row per source.
     """
-    has = sized.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    wanted = targets_of(targets).join(has, "source", "left").fillna({"tokens": 0, "documents": 0})
+    has = sized.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("tokens").alias("of_source"), F.count(F.lit(1)).alias("documents"))
+    wanted = targets_of(targets).join(has, "source", "left").fillna({"of_source": 0, "documents": 0})
     everything = Window.partitionBy(F.lit(1))  # one row per source
-    total = F.sum("tokens").over(everything)
-    need = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("share") * F.col("total") / (F.col("tokens") * F.greatest("max_repeats", F.lit(1))))).otherwise(1.0)
+    need = F.when(F.col("of_source") > 0, F.least(F.lit(1.0), F.col("share") * F.col("total") / (F.col("of_source") * F.greatest("max_repeats", F.lit(1))))).otherwise(1.0)
     mean = F.sum(F.col("share") * F.col("need")).over(everything) / F.sum("share").over(everything)
-    # Integral of the weight from 0 to t: share * (t + tilt * lean * (t * t - t)); at t = 1 the share itself.
-    t = 1.0
-    at_end = F.col("share") * (F.lit(t) + F.lit(tilt) * F.col("lean") * F.lit(t * t - t))
     return (
-        wanted.withColumn("total", total)
+        wanted.withColumn("total", F.sum("of_source").over(everything))
         .withColumn("need", need)
         .withColumn("lean", F.coalesce(F.col("need") - mean, F.lit(0.0)))
-        .withColumn("demand", at_end * F.col("total"))
-        .withColumn("capacity", F.col("max_repeats") * F.col("tokens"))
-        .withColumn("given", F.least("demand", F.col("capacity").cast("double")))
-        .withColumn("actual_share", F.col("given") / F.sum("given").over(everything))
-        .select("source", "documents", "tokens", "share", "max_repeats", "lean", "demand", "capacity", "given", "actual_share")
+        .withColumn("demand", integral(F.lit(1.0), F.col("share"), F.col("lean"), tilt) * F.col("total"))
+        .drop("need")
     )
 
 
-def short_sources(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """The sources whose demand at the end of training is more than they can give."""
-    return report(sized, targets).where(F.col("capacity") < F.col("demand")).select("source")
-
-
 def due(u, demand, lean, tilt: float):
     """The time at which the cumulative demand reaches ``u``: the root in 0..1 of a*t*t + (1 - a)*t = u / demand."""
     a, v = F.lit(tilt) * lean, F.least(u / demand, F.lit(1.0))
@@ -71,25 +64,58 @@ def due(u, demand, lean, tilt: float):
     return F.when(F.abs(a) < 1e-9, v).otherwise(F.least(2.0 * v / (b + F.sqrt(F.greatest(b * b + 4.0 * a * v, F.lit(0.0)))), F.lit(1.0)))
 
 
-def mixture(sized: DataFrame, targets: DataFrame, tilt: float = TILT, blocks: int = BLOCKS) -> DataFrame:
-    """``(doc_id, source, tokens, repeat_no, position)`` in the order of training, without a sort in one task.
+def placed(sized: DataFrame, plan: DataFrame, tilt: float = TILT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(doc_id, source, tokens, repeat_no, start, position)`` of each copy that is taken.
 
     ``sized`` has ``(doc_id, source, tokens)``.  A document's place on its source's axis is a prefix sum in two levels:
-    over blocks (by a hash of the id), then inside a block.  A copy is taken if it starts before the demand is met.
+    over blocks (by a hash of the id; as many as the source's documents need), then inside a block.  A copy is taken if
+    it starts before the demand of the whole time is met; its position is when the demand reaches its middle.
     """
-    plan = small_side(report(sized, targets, tilt).select("source", F.col("tokens").alias("of_source"), "max_repeats", "lean", "demand"))
-    docs = sized.where(F.col("source").isNotNull()).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    plan = small_side(plan.select("source", "of_source", "documents", "max_repeats", "lean", "demand"))
+    docs = sized.select("doc_id", "source", "tokens").join(plan, "source")
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("documents") / F.lit(block_rows))))
     per_block = docs.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
     before = per_block.select(
         "source", "block",
         F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id"), "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(before, ["source", "block"]).join(plan, "source")
-    start = F.col("before") + F.col("within")
+    laid = docs.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(before, ["source", "block"])
     rounds = F.when(F.col("of_source") > 0, F.least(F.col("max_repeats").cast("bigint"), F.ceil(F.col("demand") / F.col("of_source")))).otherwise(F.least(F.col("max_repeats"), F.lit(1)))
-    copies = placed.where(rounds > 0).select("doc_id", "source", "tokens", "demand", "lean", "of_source", start.alias("start"), F.explode(F.sequence(F.lit(1), rounds.cast("int"))).alias("repeat_no"))
-    at = copies.withColumn("u", F.col("start") + (F.col("repeat_no") - 1) * F.col("of_source")).where((F.col("u") < F.col("demand")) | (F.col("of_source") == 0))
-    position = F.when(F.col("demand") > 0, due(F.col("u") + F.col("tokens") / 2.0, F.col("demand"), F.col("lean"), tilt)).otherwise(0.0)
-    timed = at.select("doc_id", "source", "tokens", "repeat_no", position.alias("position"))
+    copies = laid.where(rounds > 0).withColumn("repeat_no", F.explode(F.sequence(F.lit(1), rounds.cast("int"))))
+    at = copies.withColumn("start", F.col("before") + F.col("within") + (F.col("repeat_no") - 1) * F.col("of_source"))
+    taken = at.where((F.col("start") < F.col("demand")) | (F.col("of_source") == 0))
+    position = F.when(F.col("demand") > 0, due(F.col("start") + F.col("tokens") / 2.0, F.col("demand"), F.col("lean"), tilt)).otherwise(0.0)
+    return taken.select("doc_id", "source", "tokens", "repeat_no", "start", position.alias("position"))
+
+
+def mixture(sized: DataFrame, targets: DataFrame, tilt: float = TILT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(doc_id, source, tokens, repeat_no, position)`` in the order of training, without a sort in one task."""
+    timed = placed(sized, schedule(sized, targets, tilt), tilt, block_rows).drop("start")
     return timed.repartitionByRange("position").sortWithinPartitions("position", "source", "doc_id", "repeat_no")
+
+
+def report(sized: DataFrame, targets: DataFrame, tilt: float = TILT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """A row for each source with a target: what it has, should give, and really gives in the mixture.
+
+    ``given`` and ``copies`` count the copies that were placed, ``actual_share`` is the share of them all, ``most_repeats``
+    how often a document was taken at most, ``runs_out_at`` the time from which on the source has nothing left to give
+    (null where it meets its demand).
+    """
+    plan = schedule(sized, targets, tilt)
+    sums = placed(sized, plan, tilt, block_rows).groupBy("source").agg(
+        F.sum("tokens").alias("given"), F.count(F.lit(1)).alias("copies"), F.max("repeat_no").alias("most_repeats"), F.max(F.col("start") + F.col("tokens")).alias("supply")
+    )
+    got = plan.join(sums, "source", "left").fillna({"given": 0, "copies": 0, "most_repeats": 0, "supply": 0})
+    everything = Window.partitionBy(F.lit(1))  # one row per source
+    # The axis of a source ends where its last copy ends: the demand that lies beyond is never met.
+    out = F.when(F.col("supply") < F.col("demand"), due(F.col("supply"), F.col("demand"), F.col("lean"), tilt))
+    return got.select(
+        "source", "documents", F.col("of_source").alias("tokens"), "share", "max_repeats", "lean", "demand", "copies", "given", "most_repeats",
+        F.coalesce(F.col("given") / F.nullif(F.sum("given").over(everything), F.lit(0)), F.lit(0.0)).alias("actual_share"), out.alias("runs_out_at"),
+    )
+
+
+def short_sources(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """The sources whose copies run out before their demand over the whole time is met."""
+    return report(sized, targets).where(F.col("runs_out_at").isNotNull()).select("source")

@@ -32,6 +32,9 @@ def _table(chars: str) -> np.ndarray:
     return np.frombuffer(chars.encode("utf-32-le"), np.uint32)
 
 
+#: Lines are cut in blocks of so many characters.
+BLOCK = 1 << 18
+
 #: A cut is natural after one of these; after closing marks of sentences and clauses, spaces and hyphens.
 SPACES = " \t               　"
 MARKS = "-‐–—/,;:.!?…。、，！？；：।॥"
@@ -66,38 +69,37 @@ def boundaries(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return natural, whole
 
 
-def cut(texts: list[str], widths: np.ndarray, overlaps: np.ndarray) -> list[np.ndarray]:
-    """The cuts of each text: its start, where pieces end, its end.  ``widths`` are above 0."""
+def _doubled(texts: list[str], widths: np.ndarray, overlaps: np.ndarray, leads: np.ndarray) -> list[np.ndarray]:
+    """The cuts of each text by pointer doubling, its start and end included.
+
+    The first piece of a text begins at 0; if ``leads`` is above 0, that many characters repeat what was cut before, and
+    the first cut of the text is behind them.
+    """
     cp, off = code_points(texts)
     n = len(cp)
-    if not n:
-        return [np.zeros(1, np.int64) for _ in texts]
-    widths = np.maximum(np.asarray(widths, np.int64), 1)
-    overlaps = np.clip(np.asarray(overlaps, np.int64), 0, widths - 1)
     natural, whole = boundaries(cp, off)
     lengths = np.diff(off)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    at = np.arange(n)
-    begin, end, w, ov = off[owner], off[owner + 1], widths[owner], overlaps[owner]
-    first = at == begin
-    limit = np.minimum(np.where(first, at, at - ov) + w, end)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    at = np.arange(n, dtype=np.int32)
+    begin, end = off[:-1].astype(np.int32)[owner], off[1:].astype(np.int32)[owner]
+    ov, lead = overlaps.astype(np.int32)[owner], leads.astype(np.int32)[owner]
+    first = (at == begin) & (lead == 0)
+    # In 64 bits, as a width may be larger than what 32 hold; then back, as no position is.
+    limit = np.minimum(np.where(first, at, at - ov) + widths.astype(np.int64)[owner], end).astype(np.int32)
     least = np.where(first, np.maximum(begin + ov, begin + 1), at + 1)  # a first piece must hold the overlap
-    index = np.arange(n + 1)
+    index = np.arange(n + 1, dtype=np.int32)
     last_natural = np.maximum.accumulate(np.where(natural, index, -1))[limit]
     last_whole = np.maximum.accumulate(np.where(whole, index, -1))[limit]
     step = np.where(limit == end, end, np.where(last_natural >= least, last_natural, np.where(last_whole >= least, last_whole, limit)))
-    successor = np.append(step, n)
-    successor = np.where(np.append(at, n) == np.append(end, n), np.append(at, n), successor)
-    # A text's end is the next one's start in the joined array, so ends must not be walked on from: mark cuts per
+    # A text's end is the next one's start in the joined array, so ends must not be walked on from: cuts are marked per
     # text with positions shifted by the text's number.
-    shifted = np.arange(n + len(texts))
-    node = np.concatenate([np.arange(off[i] + i, off[i + 1] + i) for i in range(len(texts))]) if len(texts) > 1 else at
-    table = shifted.copy()  # ends point to themselves
-    table[node] = step + owner
+    table = np.arange(n + len(texts), dtype=np.int32)  # ends point to themselves
+    table[at + owner] = step + owner
     starts = off[:-1] + np.arange(len(texts))
     marked = np.zeros(n + len(texts), bool)
     marked[starts] = True
-    reached = starts
+    reached = starts + leads
+    marked[reached] = True
     for _ in range(int(lengths.max()).bit_length() + 1):
         more = table[reached]
         more = more[~marked[more]]
@@ -105,12 +107,46 @@ def cut(texts: list[str], widths: np.ndarray, overlaps: np.ndarray) -> list[np.n
             break
         marked[more] = True
         reached = np.flatnonzero(marked)
+        reached = reached[~np.isin(reached, starts[leads > 0])]
         table = table[table]
     found = np.flatnonzero(marked)
     bounds = np.searchsorted(found, np.append(starts, n + len(texts)))
     return [found[a:b] - s for a, b, s in zip(bounds[:-1], bounds[1:], starts)]
 
 
+def cut(texts: list[str], widths: np.ndarray, overlaps: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
+    """The cuts of each text: its start, where pieces end, its end.  ``widths`` are above 0.
+
+    A text longer than ``block`` is taken a block at a time, each beginning where the one before was cut last, so that
+    memory does not grow with the longest line.
+    """
+    widths = np.maximum(np.asarray(widths, np.int64), 1)
+    overlaps = np.clip(np.asarray(overlaps, np.int64), 0, widths - 1)
+    out: list[np.ndarray] = [np.zeros(1, np.int64) for _ in texts]
+    short = [k for k, t in enumerate(texts) if 0 < len(t) <= max(block, 4 * widths[k])]
+    if short:
+        none = np.zeros(len(short), np.int64)
+        for k, cuts in zip(short, _doubled([texts[k] for k in short], widths[short], overlaps[short], none)):
+            out[k] = cuts
+    for k, text in enumerate(texts):
+        size = int(max(block, 4 * widths[k]))
+        if len(text) <= size:
+            continue
+        w, ov = widths[k : k + 1], overlaps[k : k + 1]
+        parts, at = [np.zeros(1, np.int64)], 0
+        while at < len(text):
+            lead = int(ov[0]) if at else 0
+            a = at - lead
+            cuts = _doubled([text[a : a + size]], w, ov, np.array([lead]))[0]
+            cuts = cuts[cuts > lead] + a
+            if a + size < len(text):  # cuts that the end of the block has a part in are not yet known
+                cuts = cuts[cuts < a + size - int(w[0]) - 2] if len(cuts) > 1 else cuts
+            parts.append(cuts)
+            at = int(cuts[-1])
+        out[k] = np.concatenate(parts)
+    return out
+
+
 def _cut_batch(batch: pa.RecordBatch) -> dict:
     texts = batch.column("line").to_pylist()
     widths, overlaps = batch.column("width").to_numpy(zero_copy_only=False), batch.column("overlap").to_numpy(zero_copy_only=False)
@@ -155,7 +191,7 @@ def pieces(calls: DataFrame, configs: DataFrame) -> DataFrame:
     Lines within their width never leave the JVM; they are their own single piece and give no rows.
     """
     lines = lines_of_calls(calls, configs).where((F.col("width") > 0) & (F.length("line") > F.col("width")))
-    return map_rows(lines, _cut_batch, PIECES)
+    return map_rows(lines, _cut_batch, PIECES, step_bytes=2 << 20)
 
 
 def oversized_lines(calls: DataFrame, configs: DataFrame) -> DataFrame:

@@ -33,6 +33,11 @@ def p2_templates(spark: SparkSession, d: str) -> DataFrame:
     return templates.templates(table(spark, d, "format_requests"))
 
 
+def p2_slots(spark: SparkSession, d: str) -> DataFrame:
+    """What each text has of its own beside its project's template."""
+    return templates.slots(table(spark, d, "format_requests"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return language.undeclared(table(spark, d, "format_requests"), table(spark, d, "project_configs"))
 
@@ -42,6 +47,11 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("call_id", "paragraph", "segment", "lang", "size", F.round("confidence", 4).alias("confidence")).distinct()
 
 
+def p3_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The language of each text."""
+    return language.documents(table(spark, d, "format_requests"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized_lines(table(spark, d, "format_requests"), table(spark, d, "project_configs"))
 
@@ -58,6 +68,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(_all_texts(spark, d))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The calls that look alike, by class instead of by pair."""
+    return lookalike.lookalike_classes(_all_texts(spark, d))
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_form(_all_texts(spark, d)).distinct()
 
@@ -75,20 +90,20 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.sizes(table(spark, d, "documents"))
+    """Sources and sizes of all documents: three numbers each, read for the totals, the blocks and the places."""
+    return checkpointed(tokens.sizes(table(spark, d, "documents")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.short_sources(_sized(spark, d).select("source", "tokens"), table(spark, d, "mix_targets"))
+    return mixing.short_sources(_sized(spark, d), table(spark, d, "mix_targets"))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.report(_sized(spark, d).select("source", "tokens"), table(spark, d, "mix_targets"))
+    return mixing.report(_sized(spark, d), table(spark, d, "mix_targets"))
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
-    sized = checkpointed(_sized(spark, d))  # three numbers a document; read for the totals, the blocks and the places
-    return mixing.mixture(sized, table(spark, d, "mix_targets"))
+    return mixing.mixture(_sized(spark, d), table(spark, d, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +117,8 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        p1_found, p1_units, p2_found, p2_clean, p2_templates, p3_found, p3_segments, p4_found, p4_pieces, p5_found, p5_forms,
+        p1_found, p1_units, p2_found, p2_clean, p2_templates, p2_slots, p3_found, p3_segments, p3_documents, p4_found, p4_pieces,
+        p5_found, p5_classes, p5_forms,
         p6_ids, p6_round_trip, p7_found, p7_report, p7_mixture, p8_found, p8_levels,
     )
     return {f.__name__: f for f in found}

@@ -24,20 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.abbreviations import DOTTED, WORDS
 from lectern.llm.common import map_rows, with_config
 from lectern.runtime import spread
 
 #: So many texts at most are counted in one step before their counts are summed.
 COUNTED_ROWS = 8192
 
-#: Abbreviations that are known in any language; fixed values.
-KNOWN = frozenset(
-    "mr mrs ms dr prof sr jr st mt rev gen gov sgt capt lt col maj fig figs eq eqs ref refs tab sec ch vol no nos ed eds dept al approx ca cf etc"
-    " ibid viz vs misc est inc corp ltd co ave blvd rd jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun pp pg pt ver"
-    " hr fr abb bd hrsg kap nr aufl jg anm abschn bsp str bzw evtl ggf vgl usw okt dez mme mlle me chap p trad n av apr env janv fevr avr juil"
-    " sbr frk sk des dra sra pág cap núm art ej aprox ud uds lic ing tel dir mgr doc rys wyd red poz zob por ul os godz tys mln"
-    " т е г гг см стр рис табл гл им др пр тыс млн руб проф акад ул п с डॉ सं पृ श्री प्रो".split()
-)
+#: Abbreviations that are known in any language: the core's lists. All others are declared or learnt.
+KNOWN = frozenset(w.lower() for words in (*WORDS.values(), *DOTTED.values()) for w in words)
 TERMINATORS = ".!?…。！？．｡।॥؟‼⁇⁈⁉"
 SOFT = ".…．"  # may also stand inside a sentence
 OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "«": "»", "“": "”", "„": "“", "‘": "’", "‚": "‘"}
@@ -56,11 +51,22 @@ WHOLE = re.compile(
     re.S,
 )
 BARE = re.compile(r"[^\w\s]+")
-UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 LAST_WORD = re.compile(r"[^\s\"'“„«(\[（「、，。：　-鿿]*$")
-THAI = re.compile(r"[฀-๿]")
+#: Scripts that put spaces between sentences or clauses, not words: Thai, Lao, Khmer, Myanmar.
+THAI = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
+#: Scripts without spaces between words that have marks; a text may still do without them.
+MARKLESS = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+
+
+def parted_by_spaces(s: str) -> bool:
+    """Whether spaces may part units here: in scripts that never mark them, and where no mark does in one that could."""
+    return THAI.search(s) is not None or MARKLESS.search(s) is not None and EVENT.search(s) is None
+
+
 #: What may be an abbreviation with its period.
-PERIOD = re.compile(r"(?<![\w.])([^\W\d_]{1,8}(?:\.[^\W\d_]{1,3})*)\. (?=\S)")
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0900-\u0903\u093a-\u094f])"
+PERIOD = re.compile(rf"(?<![\w.\u0900-\u094f])({_LETTER}{{1,8}}(?:\.{_LETTER}{{1,3}})*)\. (?=\S)")
 #: What stands before every character that decoding may make a B.
 _MARKS = "".join(re.escape(c) for c in sorted({*TERMINATORS, *CLOSERS}))
 AFTER = re.compile(f"(?<=[{_MARKS}])\\s*(?=\\S)")
@@ -198,8 +204,8 @@ def asked(text: str) -> set[str]:
     for a, b, item in blocks(text):
         if not item:
             s = text[a:b]
-            after = AFTER_THAI if THAI.search(s) is not None else AFTER
-            for x in (s, " ".join(s.split())):
+            after = AFTER_THAI if parted_by_spaces(s) else AFTER
+            for x in {s, " ".join(s.split())}:
                 for m in after.finditer(x):
                     out.update(beginnings(x[m.end() : m.end() + 60]))
     return out
@@ -232,7 +238,7 @@ def score(s: str, kind: str, mark: int, after: int, model: Model, declared: froz
     if opens:  # a pair with a terminator inside stands alone here
         total = max(total, 0.0) + 2.0
     if kind == "space":
-        return total + (0.5 if THAI.match(s[mark - 1]) else -2.0)
+        return total + (0.5 if UNSPACED.match(s[mark - 1]) else -2.0)
     if kind == "close":
         if not alone:
             return total - 1.0
@@ -288,7 +294,8 @@ def unit_starts(s: str, model: Model, declared: frozenset[str]) -> list[int]:
     candidates: list[tuple[int, float]] = []
     i, n, last = 0, len(s), 0
     k = 0
-    events = THAI_EVENT if THAI.search(s) is not None else EVENT
+    by_spaces = parted_by_spaces(s)
+    events = THAI_EVENT if by_spaces else EVENT
     standing = {0}
     while i < n:
         while k < len(inside) and inside[k][1] <= i:
@@ -324,9 +331,9 @@ def unit_starts(s: str, model: Model, declared: frozenset[str]) -> list[int]:
                     standing.add(e)
             i = max(j, i + 1)
             continue
-        if i and (THAI.match(s[i - 1]) or s[i - 1] in CLOSERS or s[i - 1].isalnum()):
+        if i and (UNSPACED.match(s[i - 1]) or s[i - 1] in CLOSERS or s[i - 1].isalnum()):
             e = j
-            if e < n and (THAI.match(s[e]) or e in opening):
+            if e < n and (UNSPACED.match(s[e]) or e in opening):
                 candidates.append((e, score(s, "space", i, e, model, declared, False, e in opening and _ends_inside(s, e, opening[e]), True)))
         i = j
     if not candidates:

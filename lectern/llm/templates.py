@@ -1,9 +1,10 @@
 """Template deduction by equivalence classes, for the pages of one host (here: the texts of one project).
 
-Tokens (marks of markup) that occur equally often on the same pages have equal occurrence vectors and form a class.  A
+Tokens that occur equally often on the same pages have equal occurrence vectors and form a class.  A
 class is valid if its tokens have one order on all its pages, and if it crosses no other class there, so that classes
 nest.  A host's template is its valid classes in the order of their first tokens; what stands between template tokens
-of a page are its slots.
+of a page are its slots.  Tokens are the marks and the words of a page; a word that occurs on few pages of its host is in
+no class of size, so it ends up in a slot.
 
 Vectors are never gathered: the pages of a token are folded into two 64-bit hashes and two counts, so one aggregate
 with partial sums gives the classes whatever the size of a host.
@@ -15,11 +16,14 @@ once; hosts without a class that holds on ``PAGES`` pages have no template.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from lectern.llm.common import map_rows
 from lectern.runtime import checkpointed, small_side
@@ -31,10 +35,19 @@ MARK = re.compile(
     r"|\[\[|\]\]|'''?|={2,6}|\$\$?|@@|\*\*|\]\(|^>|^[ \t]*[-+](?=[ \t])",
     re.M,
 )
+WORD = re.compile(r"\w+")
 
 
 def marks(text: str) -> list[tuple[str, int, int]]:
-    return [(m[0].strip(), m.start(), m.end()) for m in MARK.finditer(text)]
+    """The tokens of a page: its marks, and the words between them."""
+    out: list[tuple[str, int, int]] = []
+    at = 0
+    for m in MARK.finditer(text):
+        out += [(w[0], w.start(), w.end()) for w in WORD.finditer(text, at, m.start())]
+        out.append((m[0].strip(), m.start(), m.end()))
+        at = m.end()
+    out += [(w[0], w.start(), w.end()) for w in WORD.finditer(text, at)]
+    return out
 
 
 def _page_tokens(batch: pa.RecordBatch) -> dict:
@@ -70,6 +83,27 @@ def classes(tokens: DataFrame, pages: int = PAGES) -> DataFrame:
     return often.join(small_side(large.select("host", "class")), ["host", "class"]).select("host", "class", "support", "token")
 
 
+def crossing(spans: list[tuple[int, int, int]]) -> set[int]:
+    """Of ``(first, last, class)`` on one page: the classes that begin inside an earlier one and end behind it."""
+    found, ends, due = set(), [], []
+    at = None
+    for first, last, name in sorted(spans):
+        if first != at:
+            for x in due:
+                insort(ends, x)
+            at, due = first, []
+        k = bisect_right(ends, first)
+        if k < len(ends) and ends[k] < last:
+            found.add(name)
+        due.append(last)
+    return found
+
+
+@arrow_udf(ArrayType(LongType()))
+def _crossing(pages: pa.Array) -> pa.Array:
+    return pa.array([list(crossing([(x["first"], x["last"], x["class"]) for x in page or ()])) for page in pages.to_pylist()], pa.list_(pa.int64()))
+
+
 def templates(pages: DataFrame, host: str = "project_id", page: str = "call_id", text: str = "text", least: int = PAGES) -> DataFrame:
     """``(host, class_no, tokens, support)``: the valid, nested classes of each host in order."""
     tokens = checkpointed(page_tokens(pages, host, page, text))  # marks only, read for vectors, orders and spans
@@ -80,8 +114,7 @@ def templates(pages: DataFrame, host: str = "project_id", page: str = "call_id",
     on_page = on_page.withColumn("tokens", F.col("order.token"))
     ordered = on_page.groupBy("host", "class", "support").agg(F.min("tokens").alias("tokens"), F.max("tokens").alias("other"), F.avg("first").alias("at")).where("tokens = other")
     spans = on_page.join(small_side(ordered.select("host", "class")), ["host", "class"]).groupBy("host", "page").agg(F.collect_list(F.struct("first", "last", "class")).alias("all"))
-    crosses = lambda x: F.exists("all", lambda y: (y["first"] < x["first"]) & (x["first"] < y["last"]) & (y["last"] < x["last"]))
-    crossing = spans.select("host", F.explode(F.transform(F.filter("all", crosses), lambda x: x["class"])).alias("class")).distinct()
+    crossing = spans.select("host", F.explode(_crossing("all")).alias("class")).distinct()
     valid = ordered.join(crossing, ["host", "class"], "left_anti")
     numbered = valid.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "class", "tokens", "support"))).alias("all"))
     return numbered.select("host", F.posexplode("all").alias("class_no", "c")).select("host", "class_no", "c.tokens", "c.support")
@@ -98,3 +131,22 @@ def slots_of(text: str, template: set[str]) -> list[str]:
     if piece := text[at:].strip():
         out.append(piece)
     return out
+
+
+def slots(pages: DataFrame, host: str = "project_id", page: str = "call_id", text: str = "text", least: int = PAGES) -> DataFrame:
+    """``(host, page, slot_no, slot)``: what of each page is left between the tokens of its host's template.
+
+    Pages of hosts without a template are one slot.  A template is one row a host, joined by it: broadcast while small.
+    """
+
+    def of_batch(batch: pa.RecordBatch) -> dict:
+        rows = []
+        for h, p, body, template in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "text", "template"))):
+            rows += [(h, p, k, slot) for k, slot in enumerate(slots_of(body, set(template or ())))]
+        names = ("host", "page", "slot_no", "slot")
+        return dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
+
+    held = templates(pages, host, page, text, least).groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("template"))
+    filled = pages.where(F.col(text).isNotNull() & F.col(page).isNotNull())
+    rows = filled.select(F.coalesce(F.col(host).cast("bigint"), F.lit(-1)).alias("host"), F.col(page).cast("bigint").alias("page"), F.col(text).alias("text"))
+    return map_rows(rows.join(small_side(held), "host", "left"), of_batch, "host bigint, page bigint, slot_no int, slot string").distinct()

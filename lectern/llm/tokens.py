@@ -151,27 +151,22 @@ def _encode_long(docs: DataFrame, name: str, folder: str, chunk: int, overlap: i
     return again.select("e.doc_id", "e.ids", F.explode(F.sequence(F.lit(1), times)).alias("i")).drop("i")
 
 
-def _count(name: str, folder: str):
-    def of_batch(batch: pa.RecordBatch) -> dict:
+def _counts(name: str, folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(name, folder)
-        return {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "tokens": [len(enc.encode_ordinary(t or "")) for t in batch.column("text").to_pylist()]}
+        for batch in batches:
+            sizes = [len(enc.encode_ordinary(t.as_py() or "")) for t in batch.column("text")]  # one text at a time
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(sizes, pa.int64())], ["doc_id", "source", "tokens"])
 
-    return of_batch
+    return run
 
 
-def sizes(docs: DataFrame, name: str = VOCABULARY, folder: str = VOCABULARIES, whole_below: int = 4_000_000) -> DataFrame:
-    """``(doc_id, source, tokens)`` for each row of ``(doc_id, source, text)``.
+def sizes(docs: DataFrame, name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
+    """``(doc_id, source, tokens)`` for each row of ``(doc_id, source, text)``, also of null and repeated ids.
 
-    A count needs no ids, so texts of up to ``whole_below`` characters are counted where they are read; longer ones
-    by the chunks of :func:`encode`.
+    A count has no order to keep, so each text is counted where it is read, in one scan.
     """
-    docs = docs.select("doc_id", "source", "text")
-    is_long = F.coalesce(F.length("text") > whole_below, F.lit(False))
-    short = map_rows(spread(docs.where(~is_long)), _count(name, folder), "doc_id bigint, source string, tokens bigint", rows=1024)
-    long = docs.where(is_long)
-    ids = encode(long, name, folder).groupBy("doc_id").agg(F.max(F.size("ids")).cast("bigint").alias("tokens"))
-    counted = long.select("doc_id", "source").join(ids, "doc_id").select("doc_id", "source", "tokens")
-    return short.unionByName(counted)
+    return spread(docs.select("doc_id", "source", "text")).mapInArrow(_counts(name, folder), "doc_id bigint, source string, tokens bigint")
 
 
 def decode(encoded: DataFrame, name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:

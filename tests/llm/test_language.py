@@ -16,7 +16,7 @@ def test_viterbi_is_best_path():
         best = max(
             ((sum(s[i, p[i]] for i in range(5)) - 2.0 * sum(a != b for a, b in zip(p, p[1:])), p) for p in np.ndindex(3, 3, 3, 3, 3)),
         )[0]
-        path = language.viterbi(s, 2.0)
+        path = language.viterbi(np.concatenate([s[:2], s, s]), np.array([0, 2, 7]), np.array([2, 5, 5]), 2.0)[2:7]
         got = sum(s[i, path[i]] for i in range(5)) - 2.0 * sum(a != b for a, b in zip(path, path[1:]))
         assert abs(got - best) < 1e-9
 
@@ -71,13 +71,39 @@ def test_learns_from_all_texts(spark):
     rare = "Kaflinn heldur hverri fyrirsögn og það er ekki við."
     texts = [f"{SAMPLES['en']}\n\n{SAMPLES['ja']}"] * 6000 + [rare, SAMPLES["zh"]]
     calls = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "call_id bigint, text string, format string").repartition(4)
-    whole, got = language.train([(t, "plaintext") for t in texts]), language.fitted(calls)
-    assert "^kaflinn$" in got.grams and got.grams.keys() == whole.grams.keys() and got.han == whole.han
-    assert all(np.array_equal(got.grams[g], whole.grams[g]) for g in got.grams)
+    whole, got = language.train([(t, "plaintext") for t in texts]), language.fitted(language.packed_words(calls))
+    assert got.han == whole.han and np.array_equal(got.table, whole.table) and got.taught.tolist() == whole.taught.tolist()
+    assert got.taught[language.LATIN.index("is")] and not got.taught[language.LATIN.index("pl")]
 
 
 def test_no_score_without_training():
     model = language.train([(SAMPLES["en"] * 2, "plaintext"), (SAMPLES["de"] * 2, "plaintext")])
-    scores = dict(zip(language.LANGS, model.score("qvuxyz")))
+    scores = dict(zip(language.LABELS, model.score("qvuxyz")))
     assert max(scores, key=scores.get) in ("en", "de") and scores["is"] == scores["pl"] == -6.0
     assert np.isfinite(language.Model().score("word")).all()
+
+
+@pytest.mark.parametrize("text", ["이 문단은 여백이 좁아서 제목을 그대로 둔다 그리고 저장한다", "هذه الفقرة تحتفظ بالعنوان بعد كل حفظ لأن الهامش ضيق", "Το κείμενο αυτό κρατά κάθε επικεφαλίδα στη θέση της", "Цей абзац зберігає кожен заголовок після кожного збереження, і він їх не губить"])
+def test_other_languages(labeller, text):
+    assert {x[0] for x in labeller.paragraph(text)} == {"und"} and language.paragraph_language(labeller.paragraph(text)) is None
+
+
+def test_vocabulary_is_bounded(monkeypatch):
+    texts = [(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q the and of is in to for" for i in range(k, k + 9)), "plaintext") for k in range(200)]
+    whole = language.train(texts)
+    monkeypatch.setattr(language.Vocabulary, "LIMIT", 10)
+    assert np.array_equal(language.train(texts).table, whole.table)
+    words = [language.words_of(t) for t, _ in texts]
+    a = language.Labeller(whole)
+    monkeypatch.setattr(language.Labeller, "STEP", 20)
+    assert a.label(words) == language.Labeller(whole).label(words)
+
+
+def test_documents(spark):
+    rows = [(1, SAMPLES["en"] + "\n\n" + SAMPLES["ru"] * 3, None), (2, "- " + SAMPLES["de"] + "\n- " + SAMPLES["de"], "markdown"), (3, "12 !!", None), (4, None, None), (1, SAMPLES["en"] + "\n\n" + SAMPLES["ru"] * 3, None)]
+    rows += [(6, SAMPLES["de"] * 2, None), (5, ".. note::\n\n   " + SAMPLES["fr"], "rst")]
+    calls = spark.createDataFrame([(*r, "x") for r in rows], "call_id bigint, text string, format string, lang string")
+    got = {r.call_id: r for r in language.documents(calls).collect()}
+    assert {k: r.lang for k, r in got.items()} == {1: "ru", 2: "de", 5: "fr", 6: "de"} and all(0 < r.confidence <= 1 for r in got.values())
+    assert {r.whole for r in language.segments(calls).where("call_id = 5").collect()} == {"fr"}
+    assert language.documents(calls.limit(0)).count() == 0

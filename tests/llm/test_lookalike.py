@@ -42,6 +42,12 @@ def test_pairs(spark):
     assert lookalike.lookalike_pairs(spark.createDataFrame([], "call_id bigint, text string")).count() == 0
 
 
+def test_classes(spark):
+    rows = [(5, "a b"), (3, "a\u00a0b"), (3, "a\u00a0b"), (1, "a b"), (2, "A b"), (4, None), (7, "x"), (8, "x"), (9, "օne"), (10, "one")]
+    got = sorted(tuple(r) for r in lookalike.lookalike_classes(spark.createDataFrame(rows, "call_id bigint, text string")).collect())
+    assert got == [(1, 1, 2, 3), (3, 1, 2, 3), (5, 1, 2, 3), (9, 9, 2, 2), (10, 9, 2, 2)]
+
+
 def test_hot_class(spark):
     rows = [(i, "same text") for i in range(2000)] + [(9999, "ѕame text")]
     got = lookalike.lookalike_pairs(spark.createDataFrame(rows, "call_id bigint, text string"))

@@ -7,6 +7,7 @@ FOUND = [
     ("## Head\n\ntext", {"markdown"}), ("see [this](http://a.b/c)", {"markdown"}), ("a **bold** word", {"markdown"}), ("```\n\\begin{x} <b>\n```", {"markdown"}), ("- [ ] task", {"markdown"}), ("> quoted", {"markdown"}), ("a `<b>` b", {"markdown"}), ("[a][1]\n\n[1]: http://x.y", {"markdown"}), ("| a | b |\n|---|:--:|\n| 1 | 2 |", {"markdown"}),
     ("== Head ==", {"wiki"}), ("'''bold''' x", {"wiki"}), ("a [[Link|text]] b", {"wiki"}), ("{{Template|a=1}}", {"wiki"}), ("[http://a.b text here]", {"wiki"}), ('{| class="x"\n|-\n| a\n|}', {"wiki"}), ("__TOC__", {"wiki"}), ("x [[Category:A]]", {"wiki"}),
     ("\\section{A}", {"latex"}), ("a $x^2$ b", {"latex"}), ("\\begin{verbatim}\n# x\n**y**\n\\end{verbatim}", {"latex"}), ("\\[ x = 1 \\]", {"latex"}), ("\\textbf{a} b", {"latex"}), ("a~\\cite{b}", {"latex"}),
+    ("* [[A b]]\n** Item of a list", {"wiki"}), ("Text above\n~~~\n# x\n~~~", {"markdown"}), ("* Head\n** Sub", {"org"}),
     ("#+TITLE: x", {"org"}), ("** TODO x", {"org"}), ("[[file:a.org][text]]", {"org"}), ("#+begin_src c\n.. note:: x\n#+end_src", {"org"}), (":PROPERTIES:\n:ID: 1\n:END:", {"org"}), ("a @@latex:x@@ b", {"org"}),
     (".. note:: x", {"rst"}), (".. code-block:: c\n\n   ## x\n   \\section{y}\n", {"rst"}), ("a :ref:`b` c", {"rst"}), ("`a <http://b.c>`_", {"rst"}), ("Title\n~~~~~", {"rst"}), (".. _a-1:", {"rst"}), ("``x``", {"rst"}),
 ]
@@ -43,6 +44,10 @@ def test_rows(spark):
     assert markup.residue(df.limit(0)).count() == 0
 
 
+def test_unclosed_marks_are_read_once():
+    assert markup.kinds_of("<!-- a \\( b $$ c\n" * 20_000) <= {"html", "latex"}
+
+
 def test_very_long():
     text = ("word [a](b) <i>x</i> $y_1$ `z` \\emph{q}\n" * 20_000) + "*" * 5000 + "[" * 5000 + "$" * 3000 + "`" * 3000 + "<" * 3000
     assert markup.kinds_of(text) >= {"html", "markdown", "latex"}

@@ -33,8 +33,11 @@ def test_mixture(tables):
         repeats[r.source, r.doc_id] = repeats.get((r.source, r.doc_id), 0) + 1
     assert abs(given["a"] - 0.5 * total) <= 10 and abs(given["b"] - 0.3 * total) <= 7 and given["c"] == 50
     assert all(n <= dict((s, c) for s, _, c in TARGETS)[s] for (s, _), n in repeats.items())
-    shares = {r.source: r.actual_share for r in mixing.report(sized, targets).collect()}
-    assert abs(sum(shares.values()) - 1) < 1e-9 and shares["void"] == 0
+    report = {r.source: r for r in mixing.report(sized, targets).collect()}
+    assert abs(sum(r.actual_share for r in report.values()) - 1) < 1e-9 and report["void"].actual_share == 0
+    assert {s: r.given for s, r in report.items()} == {**given, "void": 0} and report["a"].copies == sum(r.source == "a" for r in rows)
+    assert report["a"].runs_out_at is None and 0 < report["c"].runs_out_at < 1 and report["void"].runs_out_at == 0
+    assert sorted(map(tuple, mixing.mixture(sized, targets, block_rows=7).drop("position").collect()))[:1] and mixing.mixture(sized, targets, block_rows=7).count() == len(rows)
 
 
 def test_demand_is_inverted(spark):

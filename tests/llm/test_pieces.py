@@ -39,6 +39,12 @@ def test_against_walk(rows):
         assert "".join(p[o:] if k else p for k, p in enumerate(parts)) == t
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab c,.-é漢語\u0301\u200d ", max_size=400), st.integers(1, 20), st.integers(-1, 20), st.sampled_from([40, 64, 100]))
+def test_blocks_change_nothing(text, width, overlap, block):
+    assert pieces.cut([text], np.array([width]), np.array([overlap]), block)[0].tolist() == walk(text, width, overlap)
+
+
 def test_long_line():
     random.seed(1)
     text = "".join(random.choice("abc d") for _ in range(200_000))

@@ -15,6 +15,17 @@ def test_prose():
         assert reading.prose(x) == []
 
 
+def test_diffs_go_by_their_form(spark):
+    diff = "diff --git a/x b/x\nindex 1..2\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n\n"
+    binary = "diff --git a/y b/y\nnew file mode 100644\nindex 0..1\nGIT binary patch\nliteral 9\nzX^@7u*ShgHk|16a-A{%(\n\nliteral 0\nHcmV?d00001\n\n"
+    said = "diff -- is a tool that we use.\ndiff --git is one, too."
+    message = PLAIN.replace("The body is here.", said)
+    texts = [message + "\n" + diff, message + "\n" + diff + binary, message + "\n" + diff.replace("diff --git a/x b/x\nindex 1..2\n", ""), (message + "\n" + diff).replace("\n", "\r\n"), message + "\n" + diff + "More prose is here.\n", message + "\n" + diff * 3000]
+    got = [r.message for r in reading.messages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    one = said.replace("\n", " ")
+    assert got == [one, one, one, one, one + "\n\nMore prose is here.", one]
+
+
 def test_syllables():
     known = {"the": 1, "table": 2, "made": 1, "created": 3, "jumped": 1, "reading": 2, "classification": 5, "cases": 2, "nation": 2, "variation": 4, "rhythm": 1, "being": 2}
     wrong = {w for w, n in known.items() if reading.syllables(w) != n}
@@ -26,7 +37,7 @@ def test_order():
     hard = ["The jurisdictional misrepresentation of any contractual obligation circumscribes the fiduciary indemnification of every otherwise unenforceable relinquishment, notwithstanding that such stipulation invalidates the apportionment."]
     a, b = reading.grade(easy, {}), reading.grade(hard, {})
     assert a[1] < 3 < 18 < b[1]
-    assert reading.grade(["Der Hund läuft auf die Straße und das ist nicht gut."], {}) == (0, None)
+    assert reading.grade([], {}) == (0, None)
 
 
 def test_cut():
@@ -36,12 +47,13 @@ def test_cut():
 
 
 def test_rows(spark):
-    long = "The box ran. " * 20
-    rows = [(1, PLAIN.replace("The body is here.", long), "x"), (2, None, "y"), (3, "", None), (3, "", None), (4, "  \n", "")]
+    long = "The box ran to the hut. " * 20
+    german = PLAIN.replace("The body is here.", "Der Hund läuft auf die Straße und das ist nicht gut. " * 5)
+    rows = [(5, german, ""), (1, PLAIN.replace("The body is here.", long), "x"), (2, None, "y"), (3, "", None), (3, "", None), (4, "  \n", "")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, level string")
     labels = spark.createDataFrame([(1, "r", 4), (2, "r", None), (2, None, 9)], "doc_id bigint, rater string, reading_level int")
     got = reading.reading_levels(docs, labels).orderBy("doc_id").collect()
-    assert [(r.doc_id, r.words) for r in got] == [(1, 60), (2, 0), (3, 0), (3, 0), (4, 0)] and got[0].level == 1 and got[1].level is None
+    assert [(r.doc_id, r.words) for r in got] == [(1, 120), (2, 0), (3, 0), (3, 0), (4, 0), (5, 0)] and got[0].level == 1 and got[1].level is None
     assert reading.most_demanding(docs.limit(0), labels).count() == 0
 
 

@@ -33,6 +33,8 @@ CASES = [
     ("「目次は行を落とす。」校正者は残す。", ["「目次は行を落とす。」", "校正者は残す。"]),
     ("编辑部重写了……目录页跳过了。", ["编辑部重写了……", "目录页跳过了。"]),
     ("ร่างฉบับที่สองข้ามช่องว่างในหน้า 15 ของเล่ม หน้าสารบัญนับคำ ผู้ตรวจปรู๊ฟซ่อน", ["ร่างฉบับที่สองข้ามช่องว่างในหน้า 15 ของเล่ม", "หน้าสารบัญนับคำ", "ผู้ตรวจปรู๊ฟซ่อน"]),
+    ("これは文です 次の文もあります", ["これは文です", "次の文もあります"]), ("今天天气很好 我们去公园", ["今天天气很好", "我们去公园"]), ("校正者は 見出しを残す。目次は待つ。", ["校正者は 見出しを残す。", "目次は待つ。"]),
+    ("ນີ້ແມ່ນປະໂຫຍກ ນີ້ແມ່ນອີກປະໂຫຍກ", ["ນີ້ແມ່ນປະໂຫຍກ", "ນີ້ແມ່ນອີກປະໂຫຍກ"]),
     ("यह अनुच्छेद है। पुराना साँचा रखता है॥ रात का काम", ["यह अनुच्छेद है।", "पुराना साँचा रखता है॥", "रात का काम"]),
     ("Der Setzer wartet am 7. Mai hier. Die Vorlage ist da.", ["Der Setzer wartet am 7. Mai hier.", "Die Vorlage ist da."]),
     ("", []), (" \n\t", []), (None, []), ("...", ["..."]), ("- ", ["-"]),
