@@ -17,6 +17,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +115,11 @@ def words_of(text: str) -> list[str]:
     """Words in lower case, and runs of characters of scripts without spaces; single letters tell nothing."""
     if text.isascii():
         return [w for w in PLAIN_WORD.findall(text.lower()) if len(w) > 1]
-    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    if not text.isprintable():
+        text = INVISIBLE.sub("", text)
+    text = text.lower()
     if not DENSE.search(text):
         words = PLAIN_WORD.findall(text)
         if CYRILLIC.search(text):
@@ -173,18 +178,19 @@ def prose_paragraphs(text: str, own: str = "plaintext") -> list[str]:
 #: Directives whose bodies are prose; fixed values.
 _ADMONITION = re.compile(r"[ \t]*\.\. (?:note|tip|warning|seealso|important|hint|caution|danger|attention|error|admonition)::")
 _NO_PROSE = re.compile(
-    rf"{TAG}|<!--.*?-->|&\w+;|https?://\S+|\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{{[a-z]+:[^}}]*\}})?|\]\([^)]*\)|\[\[[a-z]+:[^\]]*\]|\S+@\S+|\$[^$]*\$|\{{\{{[^}}]*\}}\}}"
-    r"|:[a-z]+:`|@@[^@]*@@|\w*_\w+|<[^>]*>`_|[A-Za-z0-9+/=_-]{24,}|(?<![A-Za-z0-9])(?=[A-Za-z]*\d)[A-Za-z0-9]{4,}",
+    rf"{TAG}|<!--.*?-->|&\w+;|https?://\S+|\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{{[a-z]+:[^}}]*\}})?|\]\([^)]*\)|\[\[[a-z]+:[^\]]*\]|\$[^$]*\$|\{{\{{[^}}]*\}}\}}|@@[^@]*@@|<[^>]*>`_",
     re.I,
 )
-
-
-_MAY_HOLD = re.compile(r"[<&@$_{}\[\]\\/=+\d]|:[a-z]+:`")
+_NO_WORD = re.compile(r"\S+@\S+|:[a-z]+:`|\w*_\w+|[A-Za-z0-9+/=_-]{24,}|(?<![A-Za-z0-9])(?=[A-Za-z]*\d)[A-Za-z0-9]{4,}")
+_MAY_HOLD = re.compile(r"[<&$\[\]{\\]|@@|://")
+_MAY_HOLD_NO_WORD = re.compile(r"[@_`\d+/=]")
 
 
 def _strip(paragraph: str) -> str:
     """Without links, commands, identifiers, hashes and encoded blobs."""
-    return _NO_PROSE.sub(" ", paragraph) if _MAY_HOLD.search(paragraph) else paragraph
+    if _MAY_HOLD.search(paragraph):
+        paragraph = _NO_PROSE.sub(" ", paragraph)
+    return _NO_WORD.sub(" ", paragraph) if _MAY_HOLD_NO_WORD.search(paragraph) else paragraph
 
 
 def buckets_of(word: str) -> np.ndarray:
@@ -268,6 +274,30 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
     return path
 
 
+class Said(NamedTuple):
+    """Paragraphs as numbers of words: how many words each has, the distinct words, and the number of each word in turn."""
+
+    lengths: np.ndarray
+    words: list[str]
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, paragraphs: list[list[str]]) -> Said:
+        known: dict[str, int] = {}
+        n = sum(map(len, paragraphs))
+        ids = np.fromiter((known.setdefault(w, len(known)) for p in paragraphs for w in p), np.int64, n)
+        return cls(np.fromiter(map(len, paragraphs), np.int64, len(paragraphs)), list(known), ids)
+
+    def parts(self, step: int) -> Iterator[Said]:
+        """The same in steps of about ``step`` words."""
+        ends = np.cumsum(self.lengths)
+        at = begin = 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, begin + step, side="right")))
+            yield Said(self.lengths[at:end], self.words, self.ids[begin : ends[end - 1]])
+            at, begin = end, int(ends[end - 1])
+
+
 class Vocabulary:
     """Rows of numbers for words, worked out once for each; ``row`` tells a word's."""
 
@@ -286,7 +316,7 @@ class Vocabulary:
         self.table[k] = self.of(word)
         return k
 
-    def ids(self, words: list[str]) -> np.ndarray:
+    def ids(self, words: Sequence[str]) -> np.ndarray:
         known, add = self.known, self._add
         return np.fromiter((known[w] if w in known else add(w) for w in words), np.int64, len(words))
 
@@ -305,35 +335,27 @@ class Labeller:
     """A model with the scores of the words it has met; paragraphs are labelled many at a time."""
 
     #: So many words at most are labelled in one step.
-    STEP = 100_000
+    STEP = 10_000
 
     def __init__(self, model: Model) -> None:
         self.words = Vocabulary(len(LABELS) + 1, lambda w: [*model.score(w), len(w)])
 
     def label(self, paragraphs: list[list[str]]) -> list[list[Segment]]:
         """``(language, size, confidence)`` of the segments of each paragraph, given as its words."""
-        out: list[list[Segment]] = []
-        at = 0
-        while at < len(paragraphs):
-            end, n = at, 0
-            while end < len(paragraphs) and (end == at or n + len(paragraphs[end]) <= self.STEP):
-                n += len(paragraphs[end])
-                end += 1
-            out += self._label(paragraphs[at:end])
-            at = end
-        return out
+        return self.label_all(Said.of(paragraphs))
 
-    def _label(self, paragraphs: list[list[str]]) -> list[list[Segment]]:
+    def label_all(self, said: Said) -> list[list[Segment]]:
         if self.words.is_full():
             self.words.clear()
-        lengths = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
+        rows = self.words.ids(said.words)  # may replace the table
+        return [x for part in said.parts(self.STEP) for x in self._label(part.lengths, self.words.table[rows[part.ids]])]
+
+    def _label(self, lengths: np.ndarray, rows: np.ndarray) -> list[list[Segment]]:
         filled = np.flatnonzero(lengths)
-        out: list[list[Segment]] = [[] for _ in paragraphs]
+        out: list[list[Segment]] = [[] for _ in lengths]
         if not len(filled):
             return out
         starts = np.concatenate([[0], np.cumsum(lengths[filled])])
-        ids = self.words.ids([w for p in paragraphs for w in p])  # may replace the table
-        rows = self.words.table[ids]
         scores, sizes = rows[:, :-1], rows[:, -1]
         stay = np.add.reduceat(scores, starts[:-1], axis=0)
         lang = stay.argmax(1)
@@ -397,14 +419,20 @@ class Counter:
         self.counts = np.zeros((len(LATIN), BUCKETS), np.int64)
         self.han: dict[str, list[int]] = {}
 
-    def add(self, paragraphs: list[list[str]]) -> None:
-        lengths = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
+    #: So many words at most are counted in one step.
+    STEP = 10_000
+
+    def add(self, said: Said) -> None:
+        if self.told.is_full():
+            self._flush()
+        rows = self.told.ids(said.words)
+        for part in said.parts(self.STEP):
+            self._add(part.lengths, rows[part.ids])
+
+    def _add(self, lengths: np.ndarray, ids: np.ndarray) -> None:
         filled = np.flatnonzero(lengths)
         if not len(filled):
             return
-        if self.told.is_full():
-            self._flush()
-        ids = self.told.ids([w for p in paragraphs for w in p])
         starts = np.concatenate([[0], np.cumsum(lengths[filled])[:-1]])
         n, rows = len(LATIN), self.told.table[ids]
         is_latin = rows[:, n] > 0
@@ -448,7 +476,7 @@ class Counter:
 
 def train(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     """From ``(text, format)``: function words label the first paragraphs, then the model labels all of them again."""
-    paragraphs = [words_of(_strip(p)) for text, own in texts for p in prose_paragraphs(text, own)]
+    paragraphs = Said.of([words_of(_strip(p)) for text, own in texts for p in prose_paragraphs(text, own)])
     model, han = None, {}
     for _ in range(rounds + 1):
         counter = Counter(model)
@@ -460,39 +488,44 @@ def train(texts: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     return model
 
 
-PACKED = "packed binary"
+#: A row holds the paragraphs of many texts: their calls and numbers, and what they say as in :class:`Said`.
+PACKED = "calls array<bigint>, numbers array<int>, lengths array<int>, words array<string>, ids binary"
 
 
 def packed_words(calls: DataFrame) -> DataFrame:
-    """The words of all paragraphs, packed: texts are parsed here and nowhere else.
+    """The words of all paragraphs, packed as ``PACKED``: texts are parsed here and nowhere else.
 
-    A line is ``call, paragraph, words``.  A text without prose has one line numbered -1 with the words of all it has.
+    A text without prose has one paragraph numbered -1 with the words of all it has.
     """
 
     def pack(b: pa.RecordBatch) -> dict:
-        lines = []
+        ids, numbers, paragraphs = [], [], []
         for call, text, own in zip(*(b.column(c).to_pylist() for c in ("call_id", "text", "own"))):
-            call, prose = "" if call is None else call, False
+            before = len(ids)
             for k, paragraph in enumerate(prose_paragraphs(text, own)):
                 if words := words_of(_strip(paragraph)):
-                    prose = True
-                    lines.append(f"{call}\t{k}\t{' '.join(words)}")
-            if not prose and (words := words_of(_strip(masked(text.replace("\r\n", "\n"), own)[0]))):
-                lines.append(f"{call}\t-1\t{' '.join(words)}")
-        return {"packed": [zlib.compress("\n".join(lines).encode(), 1)] if lines else []}
+                    ids.append(call)
+                    numbers.append(k)
+                    paragraphs.append(words)
+            if len(ids) == before and (words := words_of(_strip(masked(text.replace("\r\n", "\n"), own)[0]))):
+                ids.append(call)
+                numbers.append(-1)
+                paragraphs.append(words)
+        said = Said.of(paragraphs)
+        width = np.uint16 if len(said.words) <= 1 << 16 else np.uint32
+        return {"calls": [ids], "numbers": [numbers], "lengths": [said.lengths], "words": [said.words], "ids": [said.ids.astype(width).tobytes()]}
 
     texts = spread(calls.where(F.col("text").isNotNull()).select("call_id", "text", format_key(F.col("format")).alias("own")))
     return map_rows(texts, pack, PACKED)
 
 
-def unpacked(packed: bytes) -> tuple[list[int | None], list[int], list[list[str]]]:
-    calls, numbers, words = [], [], []
-    for line in zlib.decompress(packed).decode().split("\n"):
-        call, k, rest = line.split("\t")
-        calls.append(int(call) if call else None)
-        numbers.append(int(k))
-        words.append(rest.split(" "))
-    return calls, numbers, words
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], np.ndarray, Said]]:
+    """Of each packed row: calls, numbers of paragraphs, and what they say."""
+    for calls, numbers, lengths, words, ids in zip(*(batch.column(c) for c in ("calls", "numbers", "lengths", "words", "ids"))):
+        sizes = lengths.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        raw, n = ids.as_py(), int(sizes.sum())
+        of = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
+        yield calls.as_py(), numbers.values.to_numpy(zero_copy_only=False), Said(sizes, words.as_py(), of)
 
 
 def fitted(packed: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -512,9 +545,9 @@ def fitted(packed: DataFrame, rounds: int = ROUNDS) -> Model:
                 vars(known).update(shared.value)
             counter = Counter(known)
             for batch in batches:
-                for blob in batch.column("packed"):
-                    _, numbers, words = unpacked(blob.as_py())
-                    counter.add([w for k, w in zip(numbers, words) if k >= 0])
+                for _, numbers, said in unpacked(batch):
+                    prose = numbers >= 0
+                    counter.add(Said(said.lengths[prose], said.words, said.ids[np.repeat(prose, said.lengths)]))
             counts, han = counter.result()
             lang, bucket = np.nonzero(counts)
             rows = [*zip(map(LATIN.__getitem__, lang.tolist()), map(str, bucket.tolist()), counts[lang, bucket].tolist())]
@@ -562,9 +595,8 @@ def segments(calls: DataFrame, model: Model | None = None) -> DataFrame:
             cache["labeller"] = stamp, Labeller(known)
         labeller = cache["labeller"][1]
         rows = []
-        for blob in b.column("packed"):
-            ids, numbers, words = unpacked(blob.as_py())
-            for call, p, found in zip(ids, numbers, labeller.label(words)):
+        for ids, numbers, said in unpacked(b):
+            for call, p, found in zip(ids, numbers.tolist(), labeller.label_all(said)):
                 whole = paragraph_language(found) if p >= 0 else None
                 rows += [(call, p, s, lang, size, confidence, whole) for s, (lang, size, confidence) in enumerate(found)]
         names = SEGMENTS.replace(",", "").split()[::2]
