@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,8 @@ READERS = {
 }
 #: Editors' language ids; fixed values.
 LANGUAGE_IDS = {"org": "org", "latex": "latex", "tex": "latex", "markdown": "markdown", "restructuredtext": "rst", "rst": "rst", "plaintext": "plaintext"}
-#: A marker that switches formatting off and on: ``name:off`` or ``name:on`` alone on a line, in any comment style.
-PRAGMA_NAME = "[a-z][a-z0-9_-]*"
+#: The name in markers that switch formatting off and on: ``name:off`` or ``name:on`` alone on a line, in any comment style.
+MARKER = "lectern"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -116,9 +117,9 @@ def all_abbreviations(top: Column, section: Column) -> Column:
     return F.concat(F.coalesce(top, none), F.coalesce(section, none))
 
 
-def pragma(line: Column, name: str = PRAGMA_NAME) -> Column:
-    """``off``, ``on`` or null."""
-    marker = rf"{name}:(on|off)"
+def pragma(line: Column, name: str = MARKER) -> Column:
+    """``off``, ``on`` or null for a line; ``name`` is the name that markers have."""
+    marker = rf"{re.escape(name)}:(on|off)"
     found = F.regexp_extract(unicode_trim(line), rf"(?U)\A(?:[#%] \s*{marker}|<!-- \s*{marker}\s* -->|{marker})\z", 1)
     second = F.regexp_extract(unicode_trim(line), rf"(?U)\A<!-- \s*{marker}\s* -->\z", 1)
     third = F.regexp_extract(unicode_trim(line), rf"\A{marker}\z", 1)
@@ -169,11 +170,36 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit(r"(?s)\A"), F.regexp_replace(out, "\x01", "(?:.*/)?"), F.lit(r"\z"))
 
 
-def is_ignored(path: Column, patterns: Column) -> Column:
-    """Whether any glob matches the whole path or the file's name; null and unusable globs match nothing."""
-    name = F.substring_index(path, "/", -1)
+def globs_regex(patterns: Column) -> Column:
+    """All globs of a list as one regular expression, to be made once a project; null where no glob is usable."""
     usable = F.filter(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: p.isNotNull() & ~p.rlike(r"\[[^\]]*\z"))
-    return F.exists(usable, lambda p: F.rlike(path, glob_regex(p)) | F.rlike(name, glob_regex(p)))
+    return F.when(F.size(usable) > 0, F.array_join(F.transform(usable, glob_regex), "|"))
+
+
+def matches_globs(path: Column, regex: Column, folder: str | None = None) -> Column:
+    """Whether any glob of :func:`globs_regex` matches the whole path, the path seen from ``folder``, or the file's name."""
+    names = [path, F.substring_index(path, "/", -1)]
+    if folder is not None:
+        prefix = folder.rstrip("/") + "/"
+        names.append(F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))))
+    out = F.lit(False)
+    for name in names:
+        out = out | F.coalesce(F.rlike(name, regex), F.lit(False))
+    return out
+
+
+def is_ignored(path: Column, patterns: Column, folder: str | None = None) -> Column:
+    """Whether any glob of a list matches; null and unusable globs match nothing."""
+    return matches_globs(path, globs_regex(patterns), folder)
+
+
+#: What a run does with its results; files to ignore are left out only where files are checked or written.
+MODES = ("print", "output", "in_place", "check", "diff")
+
+
+def is_skipped(path: Column, regex: Column, mode: str, folder: str | None = None) -> Column:
+    """Whether a run in this mode leaves the file out."""
+    return matches_globs(path, regex, folder) if mode in ("check", "in_place") else F.lit(False)
 
 
 def per_format_of(struct: str, format: Column, field: str) -> Column:
@@ -191,8 +217,16 @@ def format_of_spelling(c: Column) -> Column:
     return F.coalesce(_case(low, SPELLINGS), low, F.lit("plaintext"))
 
 
+#: Environments of LaTeX that hold no prose; fixed values.
+KEPT_ENVIRONMENTS = tuple(
+    "equation equation* align align* gather gather* multline multline* eqnarray eqnarray* figure figure* table table*"
+    " tabular tabular* lstlisting verbatim minted tikzpicture array matrix pmatrix bmatrix".split()
+)
+
+
 def line_predicates(line: Column) -> dict[str, Column]:
     """What single lines are in the markup formats, by name."""
+    environments = "|".join(map(re.escape, KEPT_ENVIRONMENTS))
     bare = unicode_trim(line)
     start = F.ltrim(line, F.lit(WHITE))
     upper = F.upper(start)
@@ -202,10 +236,17 @@ def line_predicates(line: Column) -> dict[str, Column]:
         "org_drawer": bare.startswith(":") & bare.endswith(":") & (F.octet_length(bare) > 2),
         "org_keyword": start.startswith("#+") & ~upper.startswith("#+BEGIN_") & ~upper.startswith("#+END_"),
         "org_comment": start.startswith("#") & ~start.startswith("#+"),
+        "org_drawer_end": F.upper(bare) == ":END:",
+        "org_latex_begin": line.rlike(r"\A[ \t]*\\begin\{[^}]+\}"),
+        "org_latex_end": line.rlike(r"\A[ \t]*\\end\{[^}]+\}"),
+        "org_display_open": bare == "\\[",
+        "org_snippet": bare.startswith("@@") & line.rlike(r"@@[a-zA-Z]+:[^@]*@@"),
         "org_table": start.startswith("|"),
         "org_headline": line.rlike(r"\A\*+[ \t]"),
         "latex_comment": start.startswith("%"),
-        "latex_kept": line.rlike(r"\\begin\{(?:equation|align|gather|multline|eqnarray|figure|table|tabular)\*?\}|\\begin\{(?:lstlisting|verbatim|minted|tikzpicture|array|matrix|pmatrix|bmatrix)\}"),
+        "latex_kept": line.rlike(rf"\\begin\{{(?:{environments})\}}"),
+        "latex_kept_end": line.rlike(rf"\\end\{{(?:{environments})\}}"),
+        "latex_display_close": line.rlike(r"\\\][ \t]*\z"),
         "latex_display_open": start.startswith("\\["),
         "markdown_heading": line.rlike(r"\A#{1,6}[ \t]"),
         "markdown_fence": start.rlike(r"\A(?:`{3}|~{3})"),

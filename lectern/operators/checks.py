@@ -32,10 +32,10 @@ def diagnostics_df(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     That is a space after one of ``.!?`` and before a capital letter; lines and columns count from 0, in characters.
     """
     numbered = df.where(F.col(text).isNotNull()).select(key, F.posexplode(tx.lines(F.col(text))).alias("line", "body"))
-    # Positions of ends: what is before each of them, measured.
-    pieces = F.split(F.regexp_replace("body", r"(?<=[.!?]) (?=\p{Lu})", "\x01"), "\x01")
-    ends = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x) + 1) - 1)
-    found = numbered.where(F.col("body").rlike(r"[.!?] \p{Lu}")).select(key, "line", F.explode(ends).alias("start_col"))
+    # Ends become a character of their own, and its places are counted over the characters: linear in the line.
+    marked = F.regexp_replace(F.translate("body", "\x01", "\x02"), r"(?<=[.!?]) (?=\p{Lu})", "\x01")
+    at = numbered.where(F.col("body").rlike(r"[.!?] \p{Lu}")).select(key, "line", F.posexplode(F.split(marked, "")).alias("start_col", "c"))
+    found = at.where(F.col("c") == "\x01").select(key, "line", "start_col")
     return found.select(
         key, "line", "start_col", (F.col("start_col") + 1).alias("end_col"), F.lit("hint").alias("severity"), F.lit("lectern").alias("source"),
         F.lit("Sentence boundary inside a line").alias("message"),
@@ -66,6 +66,40 @@ def text_edits(df: DataFrame, key: str, text: str = "text", format: str = "forma
     return done.select(key, F.lit(0).alias("start_line"), F.lit(0).alias("start_col"), (F.size(all_lines) - 1).alias("end_line"), F.length(last).alias("end_col"), "new_text")
 
 
+def fix_all(df: DataFrame, key: str, text: str = "text", format: str = "format", **options) -> DataFrame:
+    """The action that fixes a whole document: one for each text that changes, as an edit with its kind and title."""
+    edits = text_edits(df, key, text, format, **options)
+    return edits.select(key, F.lit("source.fixAll").alias("kind"), F.lit("Format semantic line breaks").alias("title"), *edits.columns[1:])
+
+
+def own_diagnostics(diagnostics: DataFrame, source: str = "lectern") -> DataFrame:
+    """Those of several tools' diagnostics that are this one's; a null source is none."""
+    return diagnostics.where(F.col("source") == source)
+
+
+def range_edits(df: DataFrame, key: str, start: Column, end: Column, text: str = "text", format: str = "format", **options) -> DataFrame:
+    """The edit that formats lines ``start`` to ``end`` (from 1, clipped to the text) by themselves, where they change.
+
+    ``(key, start_line, start_col, end_line, end_col, new_text)``; an empty text has none.
+    """
+    all_lines = tx.lines(F.col(text))
+    rows = df.where(F.col(text).isNotNull() & (F.size(all_lines) > 0)).withColumn("__l_", all_lines)
+    rows = rows.withColumn("__a_", F.greatest(start, F.lit(1)).cast("int")).withColumn("__b_", F.least(end, F.size("__l_")).cast("int")).where("__a_ <= __b_")
+    rows = rows.withColumn("__part_", F.slice("__l_", F.col("__a_"), F.col("__b_") - F.col("__a_") + 1))
+    done = format_df(rows.withColumn("__old_", F.array_join("__part_", "\n")), "__old_", format, out="new_text", **options)
+    changed = done.where(F.col("new_text") != F.col("__old_"))
+    return changed.select(key, (F.col("__a_") - 1).alias("start_line"), F.lit(0).alias("start_col"), (F.col("__b_") - 1).alias("end_line"), F.length(F.element_at("__part_", -1)).alias("end_col"), "new_text")
+
+
+#: What is typed that makes an editor format the line.
+TRIGGERS = (".", " ", "?", "!", "\n")
+
+
+def on_type_edits(df: DataFrame, key: str, line: Column, typed: Column, text: str = "text", format: str = "format", **options) -> DataFrame:
+    """The edit of the line (from 0) in which one of :data:`TRIGGERS` was typed, where formatting changes it."""
+    return range_edits(df.where(typed.isin(*TRIGGERS)), key, line + 1, line + 1, text, format, **options)
+
+
 def hover_df(df: DataFrame, key: str, text: str = "text", format: str = "format", **options) -> DataFrame:
     """Previews of lines that would become several: ``(key, line, preview)``."""
     rows = df.where(F.col(text).isNotNull()).select(key, F.col(format).alias("format"), F.posexplode(tx.lines(F.col(text))).alias("line", "body"))

@@ -1,7 +1,8 @@
 """Formatting: regions, sentences put one to a line, line-width wrapping, ranges of lines.
 
-Per document everything stays in arrays, so no step shuffles: one Arrow pass reads the regions, the sentences are
-built-in expressions over them, and only where a width is set does a second Arrow pass wrap long sentences.
+Per document everything stays in arrays, so no step shuffles: one Arrow pass reads the regions of markup (those of plain
+text are built-in expressions), the sentences are built-in expressions over them, and only groups with a sentence that
+may be wider than its width go through a second Arrow pass that wraps them.
 
 Defined results: a null text gives null; an empty text stays empty; a null format is plain text; a null or negative
 width is no limit; null lists of abbreviations are empty.
@@ -19,7 +20,8 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lectern.functions import text as tx
-from lectern.operators.parsers import PROSE, STRUCTURE, regions_of
+from lectern.operators.parsers import PROSE, STRUCTURE, lines_of, regions_of
+from lectern.operators.plain_regions import regions_of_plain
 from lectern.operators.sentences import sentences, split_text
 
 REGIONS = ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType())]))
@@ -27,16 +29,20 @@ _REGIONS = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
 
 
 @arrow_udf(REGIONS)
-def _read_regions(texts: pa.Array, formats: pa.Array) -> pa.Array:
+def _read_regions(texts: pa.Array, formats: pa.Array, markers: pa.Array) -> pa.Array:
     out = []
-    for text, format in zip(texts.to_pylist(), formats.to_pylist()):
-        out.append(None if text is None else [{"kind": k, "text": t} for k, t in regions_of(text, format)])
+    for text, format, marker in zip(texts.to_pylist(), formats.to_pylist(), markers.to_pylist()):
+        out.append(None if text is None else [{"kind": k, "text": t} for k, t in regions_of(text, format, marker)])
     return pa.array(out, _REGIONS)
 
 
-def regions(text: Column, format: Column) -> Column:
-    """``array<struct<kind, text>>`` of a text whose lines end in LF."""
-    return _read_regions(text, F.coalesce(format, F.lit("plaintext")))
+#: Formats whose regions need the reader; texts of all others are plain.
+MARKUP = ("markdown", "org", "latex", "rst")
+
+
+def regions(text: Column, format: Column, marker: str = tx.MARKER) -> Column:
+    """``array<struct<kind, text>>`` of a text of markup whose lines end in LF; null for other formats."""
+    return _read_regions(F.when(format.isin(*MARKUP), text), format, F.lit(marker))
 
 
 @lru_cache(maxsize=65536)
@@ -117,6 +123,11 @@ def wrapped(text: str, width: int) -> str:
     return "\n".join(out)
 
 
+def _may_be_wide(sentence: Column, width: Column) -> Column:
+    """Characters take at most two columns, and no more than their bytes."""
+    return F.least(2 * F.length(sentence), F.octet_length(sentence)) > width
+
+
 @arrow_udf(ArrayType(ArrayType(StringType())))
 def _wrap_all(groups: pa.Array, widths: pa.Array) -> pa.Array:
     out = []
@@ -147,8 +158,15 @@ def reflowed(regions: Column, sentences_of: Column) -> Column:
     return F.array_join(F.transform(regions, one), "")
 
 
-def with_regions(df: DataFrame, text: str = "text", format: str = "format", out: str = "regions") -> DataFrame:
-    return df.withColumn(out, regions(tx.unified_newlines(F.col(text)), F.col(format)))
+def with_regions(df: DataFrame, text: str = "text", format: str | None = "format", out: str = "regions", marker: str = tx.MARKER) -> DataFrame:
+    """``df`` with the regions of each text; without a format column all texts are plain, and nothing leaves the JVM."""
+    body = tx.unified_newlines(F.col(text))
+    plain = regions_of_plain(body, marker)
+    if format is None:
+        return tx.computed(df, out, plain)
+    read = df.withColumn("__markup_", regions(body, F.coalesce(format, F.lit("plaintext")), marker))
+    is_markup = F.coalesce(F.col(format).isin(*MARKUP), F.lit(False))
+    return tx.computed(read, out, F.when(is_markup, F.col("__markup_")).otherwise(plain)).drop("__markup_")
 
 
 def with_sentences(df: DataFrame, regions: str = "regions", lang: Column | str | None = None, extras: Column | None = None, out: str = "sentences") -> DataFrame:
@@ -159,17 +177,44 @@ def with_sentences(df: DataFrame, regions: str = "regions", lang: Column | str |
 
 
 def format_df(
-    df: DataFrame, text: str = "text", format: str = "format", width: Column | int = 0, lang: Column | str | None = None, extras: Column | None = None, out: str = "formatted"
-) -> DataFrame:
-    """``df`` with a column ``out``: its ``text`` with one sentence to a line, and nothing else changed."""
-    read = with_regions(df, text, format, "__regions_")
+    df: DataFrame, text: str = "text", format: str | None = "format", width: Column | int = 0, lang: Column | str | None = None, extras: Column | None = None,
+    out: str = "formatted", marker: str = tx.MARKER,
+) -> DataFrame:
+    """``df`` with a column ``out``: its ``text`` with one sentence to a line, and nothing else changed.
+
+    ``format`` is None where all texts are plain; ``marker`` is the name in markers that switch formatting off and on.
+    """
+    read = with_regions(df, text, format, "__regions_", marker)
     read = with_sentences(read, "__regions_", lang, extras, "__sentences_")
     if isinstance(width, Column) or width > 0:
-        read = read.withColumn("__sentences_", _wrap_all(F.col("__sentences_"), F.lit(width) if isinstance(width, int) else width))
+        limit = F.lit(width) if isinstance(width, int) else width
+        wide = (limit > 0) & F.exists("__sentences_", lambda group: F.exists(group, lambda s: _may_be_wide(s, limit)))
+        read = tx.computed(read, "__wide_", wide)
+        wrapped_of = _wrap_all(F.when(F.col("__wide_"), F.col("__sentences_")), limit)
+        read = read.withColumn("__wrapped_", wrapped_of).withColumn("__sentences_", F.coalesce("__wrapped_", "__sentences_")).drop("__wide_", "__wrapped_")
     joined = reflowed(F.col("__regions_"), F.col("__sentences_"))
     return tx.computed(read, out, tx.let(joined, lambda j: tx.restored(F.col(text), j))).drop("__regions_", "__sentences_")
 
 
+def paragraphs(text: Column) -> Column:
+    """``array<string>`` of a text's paragraphs and of what stands between them, in order; joined they are the text."""
+    gap = r"(?:[^\S\n]*+\n)"
+    return F.regexp_extract_all(text, F.lit(rf"{gap}++[^\S\n]*+\z|{gap}++|(?:(?!{gap})[^\n]++(?:\n|\z))++"), F.lit(0))
+
+
+def format_paragraphs_df(
+    df: DataFrame, key: str, text: str = "text", width: Column | int = 0, lang: Column | str | None = None, extras: Column | None = None, marker: str = tx.MARKER
+) -> DataFrame:
+    """``(key, paragraph, old_text, new_text)``: each paragraph formatted by itself as plain text, as in a word processor.
+
+    Gaps between paragraphs have no row; paragraphs are numbered with them, from 0.
+    """
+    rows = df.select(key, *([] if not isinstance(width, Column) else [width.alias("__w_")]), F.posexplode(paragraphs(tx.unified_newlines(F.col(text)))).alias("paragraph", "old_text"))
+    prose = rows.where(~tx.is_blank(F.col("old_text")))
+    done = format_df(prose, "old_text", None, F.col("__w_") if isinstance(width, Column) else width, lang, extras, "new_text", marker)
+    return done.select(key, "paragraph", "old_text", "new_text")
+
+
 def format_range_df(
     df: DataFrame, start: Column, end: Column, text: str = "text", format: str = "format", width: Column | int = 0, lang: Column | str | None = None, extras: Column | None = None,
     out: str = "formatted",
@@ -195,11 +240,13 @@ def format_range_df(
     return df.withColumn(out, F.when(usable, ended).otherwise(F.col(text))).drop("__lines_", "__from_", "__to_", "__part_", "__done_")
 
 
-def format_text(text: str | None, format: str | None = None, width: int = 0, lang: str | None = None, extras: tuple[str, ...] = ()) -> str | None:
+def format_text(
+    text: str | None, format: str | None = None, width: int = 0, lang: str | None = None, extras: tuple[str, ...] = (), marker: str = tx.MARKER
+) -> str | None:
     """One text, in Python: for registered functions and previews of single lines."""
     if text is None:
         return None
-    found = regions_of(text.replace("\r\n", "\n"), format)
+    found = regions_of(text.replace("\r\n", "\n"), format, marker)
     parts = []
     for i, (kind, body) in enumerate(found):
         if kind != PROSE:
@@ -214,3 +261,16 @@ def format_text(text: str | None, format: str | None = None, width: int = 0, lan
     else:
         out = out.rstrip("\n")
     return out.replace("\n", "\r\n") if "\r\n" in text else out
+
+
+def format_range_text(text: str | None, start: int, end: int, format: str | None = None, width: int = 0, lang: str | None = None, extras: tuple[str, ...] = ()) -> str | None:
+    """As :func:`format_range_df`, for one text in Python."""
+    if text is None:
+        return None
+    rows = lines_of(text.replace("\r\n", "\n"))
+    first, last = max(start, 1), min(end, len(rows))
+    if first > last:
+        return text
+    done = format_text("\n".join(rows[first - 1 : last]), format, width, lang, extras)
+    out = "\n".join([*rows[: first - 1], done, *rows[last:]])
+    return out.rstrip("\n") + "\n" if text.endswith("\n") and not out.endswith("\n") else out if text.endswith("\n") else out.rstrip("\n")

@@ -12,19 +12,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
-from lectern.functions.text import WHITE
+from lectern.functions.text import KEPT_ENVIRONMENTS, MARKER, WHITE
 
 PROSE, STRUCTURE, BLANK = "prose", "structure", "blank"
 Region = tuple[str, str]
 
-_PRAGMA = re.compile(r"(?:[#%] \s*)?(?P<a>[a-z][a-z0-9_-]*:(?:on|off))|<!-- \s*(?P<b>[a-z][a-z0-9_-]*:(?:on|off))\s* -->")
+@lru_cache(maxsize=16)
+def _marker(name: str) -> re.Pattern:
+    name = re.escape(name)
+    return re.compile(rf"(?:[#%] \s*)?{name}:(?P<a>on|off)|<!-- \s*{name}:(?P<b>on|off)\s* -->")
 
 
-def pragma(line: str) -> bool | None:
+def pragma(line: str, name: str = MARKER) -> bool | None:
     """True where a marker switches formatting on, False where it switches it off."""
-    m = _PRAGMA.fullmatch(line.strip(WHITE))
-    return None if m is None else (m["a"] or m["b"]).endswith(":on")
+    if name not in line:
+        return None
+    m = _marker(name).fullmatch(line.strip(WHITE))
+    return None if m is None else (m["a"] or m["b"]) == "on"
 
 
 def lines_of(text: str) -> list[str]:
@@ -85,10 +91,10 @@ class Syntax:
         self.lines, self.out = lines, Reader()
         self.span: Callable[[str], bool | None] | None = None
 
-    def read(self) -> list[Region]:
+    def read(self, marker: str = MARKER) -> list[Region]:
         off = False
         for i, line in enumerate(self.lines):
-            switch = pragma(line)
+            switch = pragma(line, marker)
             if switch is not None:
                 off = not switch
                 self.out.keep(line)
@@ -209,11 +215,7 @@ class Org(Syntax):
 
 
 class Latex(Syntax):
-    #: Environments that hold no prose; fixed values.
-    kept = frozenset(
-        "equation equation* align align* gather gather* multline multline* eqnarray eqnarray* figure figure* table table*"
-        " tabular tabular* lstlisting verbatim minted tikzpicture array matrix pmatrix bmatrix".split()
-    )
+    kept = frozenset(KEPT_ENVIRONMENTS)
     begin = re.compile(r"\\begin\{(\w+\*?)\}")
     end = re.compile(r"\\end\{(\w+\*?)\}")
     opens = re.compile(r"\s*\\\[")
@@ -274,6 +276,6 @@ class Rst(Syntax):
 SYNTAXES: dict[str, type[Syntax]] = {"plaintext": Syntax, "markdown": Markdown, "org": Org, "latex": Latex, "rst": Rst}
 
 
-def regions_of(text: str, format: str | None) -> list[Region]:
+def regions_of(text: str, format: str | None, marker: str = MARKER) -> list[Region]:
     """Regions of a text whose lines end in LF; an unknown format is plain text."""
-    return SYNTAXES.get(format or "plaintext", Syntax)(lines_of(text)).read()
+    return SYNTAXES.get(format or "plaintext", Syntax)(lines_of(text)).read(marker)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import fnmatch
 import tomllib
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -85,6 +86,29 @@ def editor_width(editorconfig: str, path: str) -> int | None:
     return width
 
 
+def editor_width_of(path: str | Path) -> int | None:
+    """``max_line_length`` for a file: of the nearest editor configuration that gives one, up to a ``root`` one.
+
+    Paths in sections are seen from the folder of the configuration.
+    """
+    path = Path(path).resolve()
+    for folder in path.parents:
+        if not (folder / ".editorconfig").is_file():
+            continue
+        text = (folder / ".editorconfig").read_text(encoding="utf-8")
+        if (width := editor_width(text, path.relative_to(folder).as_posix())) is not None:
+            return width
+        head = text.split("\n[", 1)[0].lower().replace(" ", "")
+        if not text.lstrip().startswith("[") and "root=true" in head.splitlines():
+            return None
+    return None
+
+
+def editor_widths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(path, editor_width)`` of files on the driver's machine, for a join with documents; null where none is set."""
+    return spark.createDataFrame([(p, editor_width_of(p)) for p in paths], "path string, editor_width int")
+
+
 def _alternatives(glob: str) -> list[str]:
     if "{" not in glob or "}" not in glob:
         return [glob]
@@ -101,16 +125,23 @@ def latest(configs: DataFrame) -> DataFrame:
 
 
 def with_project(calls: DataFrame, configs: DataFrame) -> DataFrame:
-    """``calls`` with ``project``, a struct of its project's configuration (null where there is none)."""
-    known = latest(configs)
+    """``calls`` with ``project``, a struct of its project's configuration (null where there is none).
+
+    The struct has a field more, ``ignored``: the globs to ignore as one regular expression, made once a project.
+    """
+    known = latest(configs).withColumn("ignored", tx.globs_regex(F.col("ignore_patterns")))
     held = known.select("project_id", F.struct(*[c for c in known.columns if c != "project_id"]).alias("project"))
     return calls.join(small_side(held), "project_id", "left")
 
 
-def effective(format: Column, width: Column, extras: Column) -> list[Column]:
-    """Columns ``width`` and ``abbreviations`` that hold for a call with a ``project`` struct."""
+def effective(format: Column, width: Column, extras: Column, editor: Column | None = None) -> list[Column]:
+    """Columns ``width`` and ``abbreviations`` that hold for a call with a ``project`` struct.
+
+    ``editor`` is the width of an editor's configuration, which holds where neither call nor project give one.
+    """
     section = lambda f: tx.per_format_of("project", format, f)
     project_width = F.coalesce(section("max_width"), F.col("project.max_width"))
     none = F.array().cast("array<string>")
     words = F.concat(F.coalesce(extras, none), F.coalesce(F.col("project.extra_abbreviations"), none), F.coalesce(section("extra_abbreviations"), none))
-    return [tx.resolved_width(width, project_width, F.lit(None).cast("int")).alias("width"), words.alias("abbreviations")]
+    editor = F.lit(None).cast("int") if editor is None else editor
+    return [tx.resolved_width(width, project_width, editor).alias("width"), words.alias("abbreviations")]

@@ -27,6 +27,17 @@ def hook(formats: list[str]) -> str:
     return f"repos:\n  - repo: local\n    hooks:\n      - id: {FILTER}\n        name: {FILTER}\n        entry: {FILTER} --in-place\n        language: system\n        files: \\.({ends})$\n"
 
 
+#: Editors' major modes of each format; fixed values.
+MODES = {"org": "org-mode", "latex": "latex-mode", "markdown": "markdown-mode", "rst": "rst-mode", "plaintext": "text-mode"}
+
+
+def editor_snippet(formats: list[str]) -> str:
+    """A snippet for Emacs that formats buffers of these formats with Apheleia when they are saved."""
+    lines = ["(with-eval-after-load 'apheleia", f"  (push '({FILTER} . (\"{FILTER}\" \"--stdin-filepath\" filepath)) apheleia-formatters)"]
+    lines += [f"  (push '({MODES[f]} . {FILTER}) apheleia-mode-alist)" for f in formats if f in MODES]
+    return "\n".join(lines) + ")\n"
+
+
 def scaffold(folder: str | Path, formats: list[str], rc_name: str, dry_run: bool = False) -> dict[str, str]:
     """What is written (or would be): name to content, without files that are there already."""
     wanted = {rc_name: rc_file(formats), ".gitattributes": attributes(formats), ".pre-commit-config.yaml": hook(formats)}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
+import tempfile
 import types
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +45,17 @@ def bounded_sample(df: DataFrame, key: str, rows: int, total: int | None = None)
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there: computed once, and kept if executors are lost.
 
-    The folder is the cluster's own (``spark.checkpoint.dir``).  Only where none is set, as in tests, one is made here.
+    The folder is the cluster's own (``spark.checkpoint.dir``).  Only a session on this one machine, as in tests, that has
+    none gets a temporary one, removed at its end; elsewhere that is an error.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            import tempfile
-
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="lectern-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
@@ -75,5 +80,9 @@ def spread(df: DataFrame, at_most: int = 8 << 20) -> DataFrame:
 
 
 def one_each(df: DataFrame, key: str) -> DataFrame:
-    """One row for each key, spread by it for heavy work per row; null keys are left out."""
+    """One row for each key, spread by it for heavy work per row; null keys are left out.
+
+    For tables whose rows of one key repeat each other, where the result is as large as the texts.  Where it is small, the
+    work is done on all rows and its results are made distinct, so that no texts are shuffled.
+    """
     return df.where(F.col(key).isNotNull()).repartition(tasks_of(df), key).dropDuplicates([key])

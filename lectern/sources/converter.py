@@ -101,3 +101,26 @@ def convert(df: DataFrame, text: str, reader: str, command: str = "pandoc") -> D
     from pyspark.sql.types import StringType, StructField, StructType
 
     return df.mapInPandas(run, StructType([*df.schema.fields, StructField("tree", StringType())]))
+
+
+def with_converted_regions(df: DataFrame, tree: str = "tree", out: str = "regions") -> DataFrame:
+    """``df`` with the regions of each syntax tree (null for null), for :func:`lectern.operators.formatting.reflowed`."""
+    from pyspark.sql import functions as F
+
+    kind = "array<struct<kind:string,text:string>>"
+
+    @F.pandas_udf(kind)
+    def read(trees: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"kind": k, "text": x} for k, x in tree_regions(t)] for t in trees], dtype=object)
+
+    return df.withColumn(out, read(F.col(tree)))
+
+
+def format_converted_df(df: DataFrame, tree: str = "tree", out: str = "formatted", lang: str | None = None) -> DataFrame:
+    """``df`` with the text of each syntax tree, one sentence to a line; null where a text could not be converted."""
+    from lectern.functions import text as tx
+    from lectern.operators.formatting import reflowed, with_sentences
+    from pyspark.sql import functions as F
+
+    read = with_sentences(with_converted_regions(df, tree, "__regions_"), "__regions_", lang, None, "__sentences_")
+    return tx.computed(read, out, reflowed(F.col("__regions_"), F.col("__sentences_"))).drop("__regions_", "__sentences_")

@@ -1,8 +1,10 @@
-"""Files as documents, and documents back to files and reports."""
+"""Files as documents, and documents back to files, in order or in place."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +13,88 @@ from pyspark.sql import functions as F
 def read_documents(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """``(path, text)`` of whole files: a path, a glob, several of them, or a folder with all below it.
 
-    Files in folders whose name begins with a period are left out when walking folders.
+    When folders are walked, files in folders below them whose name begins with a period are left out.
     """
-    reader = spark.read.option("wholetext", True)
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    found = reader.text([paths] if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return found.where(~F.col("path").rlike(r"/\.[^/]+/")) if recursive else found
+    found = reader.text(roots, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    if not recursive:
+        return found
+    hidden = F.lit(False)
+    for root in roots:
+        at = F.locate(root.rstrip("/") + "/", F.col("path"))
+        below = F.substr("path", at + F.lit(len(root.rstrip("/"))))
+        hidden = hidden | F.when(at > 0, below.rlike(r"/\.[^/]+/")).otherwise(F.lit(False))
+    return found.where(~hidden)
+
+
+def in_order(documents: DataFrame, paths: Sequence[str], path: str = "path") -> DataFrame:
+    """``documents`` with ``ordinal``, the place of each path among those asked for; others are left out."""
+    session = documents.sparkSession
+    asked = session.createDataFrame([(p, k) for k, p in reversed(list(enumerate(paths)))], "asked string, ordinal int").groupBy("asked").agg(F.min("ordinal").alias("ordinal"))
+    return documents.join(F.broadcast(asked), F.col(path) == F.col("asked")).drop("asked")  # what the caller listed
+
+
+def print_in_order(formatted: DataFrame, out: str = "formatted", order: str = "ordinal", write=None) -> None:
+    """Each output, in the order of inputs; one partition at a time reaches the driver. Null outputs are left out."""
+    import sys
+
+    write = write or sys.stdout.write
+    for row in formatted.where(F.col(out).isNotNull()).orderBy(order).select(out).toLocalIterator():
+        write(row[0])
+
+
+def write_output(formatted: DataFrame, target: str, out: str = "formatted", order: str = "ordinal") -> None:
+    """One file with the output of the last of the inputs, as each overwrites the one before."""
+    last = formatted.where(F.col(out).isNotNull()).agg(F.max_by(out, order).alias("text")).first()["text"]
+    if last is not None:
+        with open(target, "w", encoding="utf-8", newline="") as f:
+            f.write(last)
+
+
+def local_path(path: str) -> str:
+    parsed = urlparse(path)
+    return unquote(parsed.path) if parsed.scheme == "file" else path
+
+
+def write_back(formatted: DataFrame, path: str = "path", text: str = "text", out: str = "formatted") -> None:
+    """Changed documents to the very files they came from (a file system that all executors share), each put in place whole."""
+
+    def put(rows: Iterator) -> None:
+        for row in rows:
+            target = local_path(row[0])
+            with open(f"{target}.new", "w", encoding="utf-8", newline="") as f:
+                f.write(row[1])
+            os.replace(f"{target}.new", target)
+
+    changed_only(formatted, text, out).select(path, out).foreachPartition(put)
+
+
+def listed(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
+    """``(path, modified, length)`` of files, without reading them."""
+    reader = spark.read.format("binaryFile")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True)
+    return reader.load([paths] if isinstance(paths, str) else list(paths)).select("path", F.col("modificationTime").alias("modified"), "length")
+
+
+def file_events(before: DataFrame, now: DataFrame) -> DataFrame:
+    """``(path, kind, modified)`` between two listings: ``create``, ``modify`` or ``remove``."""
+    a = before.select("path", F.col("modified").alias("a"), F.col("length").alias("m"))
+    b = now.select("path", F.col("modified").alias("b"), F.col("length").alias("n"))
+    both = a.join(b, "path", "full")
+    kind = F.when(F.col("a").isNull(), "create").when(F.col("b").isNull(), "remove").when((F.col("a") != F.col("b")) | (F.col("m") != F.col("n")), "modify")
+    return both.select("path", kind.alias("kind"), F.coalesce("b", "a").alias("modified")).where(F.col("kind").isNotNull())
+
+
+def to_format(events: DataFrame, watched: DataFrame | None = None) -> DataFrame:
+    """The events after which a file is formatted: creations and changes, of the watched paths where these are listed."""
+    kept = events.where(F.col("kind").isin("create", "modify"))
+    return kept if watched is None else kept.join(watched.select("path"), "path", "left_semi")
 
 
 def one_document(spark: SparkSession, text: str, path: str | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """Debouncing: of each key's events, those that come at least so long after the last *accepted* one.
 
-An event after a quiet gap is accepted whatever came before, so a key's events fall into bursts that are decided apart.
-In batch, bursts are found by two-level windows over (key, stretch of time), so that a hot key is spread over its
-stretches; only a burst itself is folded in one place.  In a stream the last accepted time is the state of a key.
+Which events are accepted follows from the one accepted last, so a key's events are a walk.  In batch the walk is cut:
+events are split by (key, stretch of time), and each stretch works out by itself, for every event that may be the first
+accepted one in it, which one would be the last.  These few rows are composed along a key's stretches, and then each
+stretch, told where it is entered, gives its accepted events.  A hot key is spread over its stretches, however steady it
+is.  In a stream the last accepted time is the state of a key.
 
 Defined results: events with a null key or time are left out; of events at one time one is accepted.
 """
@@ -11,32 +13,109 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``keys``, in parts that never split a group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changed = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            column = batch.column(key)
+            changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        at = int(np.flatnonzero(changed)[-1]) if changed.any() else 0  # the last group may go on
+        is_new = held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys)
+        if held and (at or is_new):
+            whole = [*held, batch.slice(0, at)] if at else held
+            yield pa.Table.from_batches(whole)
+            held = []
+        elif at:
+            yield pa.Table.from_batches([batch.slice(0, at)])
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """The number of each row's group."""
+    changed = np.zeros(table.num_rows, bool)
+    for key in keys:
+        column = table.column(key).combine_chunks()
+        changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.cumsum(changed)
+
+
+def _walk(times: np.ndarray, group: np.ndarray, quiet: int, stretch: int) -> np.ndarray:
+    """Of each event the next one that would be accepted after it in its group, or itself; times count from the stretch."""
+    placed = group * (stretch + quiet + 1) + times
+    after = np.searchsorted(placed, placed + quiet, side="left")
+    ends = np.searchsorted(group, group, side="right")
+    return np.where(after < ends, after, np.arange(len(times)))
+
+
 def debounced(events: DataFrame, key: str, ts: str, quiet_ms: int = 200, stretch_s: int = 3600) -> DataFrame:
     """``(key, ts)`` of accepted events."""
-    stretch_ms = max(stretch_s * 1000, quiet_ms)
-    at = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).distinct()
-    at = at.withColumn("s", F.floor(F.col("t") / (stretch_ms * 1000)))
     quiet = quiet_ms * 1000
-    by_stretch = at.groupBy("k", "s").agg(F.max("t").alias("latest"))
-    before = by_stretch.select("k", "s", F.lag("latest").over(Window.partitionBy("k").orderBy("s")).alias("before"))
-    inside = Window.partitionBy("k", "s").orderBy("t")
-    lagged = at.join(before, ["k", "s"]).withColumn("previous", F.coalesce(F.lag("t").over(inside), F.col("before")))
-    begins = F.col("previous").isNull() | (F.col("t") - F.col("previous") >= quiet)
-    marked = lagged.withColumn("start", F.when(begins, F.col("t"))).withColumn("own", F.last("start", ignorenulls=True).over(inside))
-    last_start = marked.groupBy("k", "s").agg(F.max("start").alias("last_start"))
-    carried = last_start.select("k", "s", F.last("last_start", ignorenulls=True).over(Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    bursts = marked.join(carried, ["k", "s"]).select("k", "t", F.coalesce("own", "carried").alias("burst"))
-    times = bursts.groupBy("k", "burst").agg(F.array_sort(F.collect_list("t")).alias("times"))
-    fold = F.aggregate(
-        "times", F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(0)) >= quiet), F.concat(kept, F.array(t))).otherwise(kept),
-    )
-    out = times.select("k", F.explode(fold).alias("t"))
+    stretch = max(stretch_s * 1_000_000, quiet)
+    at = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).distinct()
+    at = at.withColumn("s", F.floor(F.col("t") / stretch))
+    kind = events.schema[key].dataType.simpleString()
+
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each stretch the events that may be its first accepted ones, and for each the last accepted one.
+
+        The former are its first event, all less than ``quiet`` behind its start, and the first one later than those.
+        """
+        for table in _whole_groups(batches, ["k", "s"]):
+            group, t = _numbers(table, ["k", "s"]), table.column("t").to_numpy()
+            times = t - table.column("s").to_numpy() * stretch
+            last = _walk(times, group, quiet, stretch)
+            while not np.array_equal(further := last[last], last):
+                last = further
+            is_new = np.append(True, group[1:] != group[:-1])
+            late = times >= quiet
+            may = is_new | ~late | late & np.append(True, ~late[:-1] | is_new[1:])
+            yield pa.RecordBatch.from_arrays([*(table.column(c).filter(pa.array(may)).combine_chunks() for c in ("k", "s")), pa.array(t[may]), pa.array(t[last[may]])], ["k", "s", "first", "last"])
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where each stretch of a key is entered, given where the one before was left."""
+        held, last, done = None, None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, s, first, exit_at in zip(*(batch.column(c).to_pylist() for c in ("k", "s", "first", "last"))):
+                if k != held:
+                    held, last, done = k, None, None
+                if s != done and (last is None or first >= last + quiet):
+                    rows.append((k, s, first))
+                    last, done = exit_at, s
+            columns = zip(*rows) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("k").type, pa.int64(), pa.int64()))], ["k", "s", "entry"])
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["k", "s"]):
+            group, t = _numbers(table, ["k", "s"]), table.column("t").to_numpy()
+            after = _walk(t - table.column("s").to_numpy() * stretch, group, quiet, stretch).tolist()
+            kept = []
+            for i in np.flatnonzero(t == table.column("entry").to_numpy()).tolist():
+                kept.append(i)
+                while after[i] != i:
+                    i = after[i]
+                    kept.append(i)
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([table.column("k").take(at).combine_chunks(), pa.array(t[kept] if kept else [], pa.int64())], ["k", "t"])
+
+    walks = at.repartition("k", "s").sortWithinPartitions("k", "s", "t").mapInArrow(exits, f"k {kind}, s bigint, first bigint, last bigint")
+    entries = walks.repartition("k").sortWithinPartitions("k", "s", "first").mapInArrow(entered, f"k {kind}, s bigint, entry bigint")
+    both = at.join(entries, ["k", "s"]).select("k", "s", "t", "entry")
+    out = both.repartition("k", "s").sortWithinPartitions("k", "s", "t").mapInArrow(accepted, f"k {kind}, t bigint")
     return out.select(F.col("k").alias(key), F.timestamp_micros("t").cast(events.schema[ts].dataType).alias(ts))
 
 

@@ -24,9 +24,9 @@ code. Stays. As is.
 
 | a. B | c |
 
-prose:off
+lectern:off
 Not. This. One.
-<!-- prose:on -->
+<!-- lectern:on -->
 But this. Yes.
 """
 MARKDOWN_DONE = """---
@@ -50,9 +50,9 @@ End.
 
 | a. B | c |
 
-prose:off
+lectern:off
 Not. This. One.
-<!-- prose:on -->
+<!-- lectern:on -->
 But this.
 Yes.
 """
@@ -128,6 +128,75 @@ def test_diffs(spark):
     assert [r.id for r in diffs.sentence_diff_df(pairs, "id").collect()] == [1]
 
 
+def test_plain_regions_are_the_readers(spark):
+    import random
+
+    from lectern.operators.plain_regions import plain_regions
+
+    random.seed(3)
+    bits = ["a b", "\n", "\n", "\n\n", " ", "\t", "lectern:off", "lectern:on", "# lectern:off", "<!-- lectern:on -->", "% lectern:off", "\u3000", "x:off", "\u00e9.", "\u2028"]
+    texts = ["", "\n", "a", "line\n" * 50_000, *("".join(random.choices(bits, k=random.randint(0, 25))) for _ in range(200))]
+    got = {}
+    for r in plain_regions(spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, text string"), "k").orderBy("k", "region_no").collect():
+        got.setdefault(r.k, []).append((r.kind, r.text))
+    assert -1 not in got
+    for k, text in enumerate(texts):
+        assert got.get(k, []) == regions_of(text, None)
+
+
+def test_changes():
+    import random
+
+    random.seed(1)
+    for n in range(1500):
+        a = random.choices("abcdef", k=random.randint(0, 25))
+        b = random.choices("abcdef", k=random.randint(0, 25)) if n % 2 else [x for x in a if random.random() > 0.1] + ["z"]
+        i = k = 0
+        for i1, j1, k1, m1 in [*diffs.changes(a, b), (len(a), len(a), len(b), len(b))]:
+            assert a[i:i1] == b[k:k1] and (j1 > i1 or m1 > k1 or i1 == len(a))
+            i, k = j1, m1
+    assert diffs.changes(["x"] * 20_000 + ["a"], ["y"] + ["x"] * 30_000) and diffs.changes(["x", "y"] * 20_000, ["y", "x"] * 20_001)
+    lines = [str(i) for i in range(50_000)]
+    assert len(diffs.changes(lines, [x for x in lines if int(x) % 50])) == 1000
+
+
+def test_paragraphs(spark):
+    from lectern.operators.formatting import format_paragraphs_df, paragraphs
+
+    text = "A b. C d.\nE.\n\n  \nF g. H i.\n\n"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "\n\n")], "id int, text string")
+    assert {r.id: "".join(r.p) if r.p is not None else None for r in df.select("id", paragraphs(F.col("text")).alias("p")).collect()} == {1: text, 2: "", 3: None, 4: "\n\n"}
+    got = format_paragraphs_df(df, "id").orderBy("paragraph").collect()
+    assert [(r.id, r.paragraph, r.new_text) for r in got] == [(1, 0, "A b.\nC d.\nE.\n"), (1, 2, "F g.\nH i.\n")]
+
+
+def test_edits(spark):
+    df = spark.createDataFrame([(1, "A b. C d.\nE f. G h.\nI.", "plaintext"), (2, "A b.", None), (3, None, None), (4, "", None)], "id int, text string, format string")
+    assert [tuple(r) for r in checks.range_edits(df, "id", F.lit(2), F.lit(9)).collect()] == [(1, 1, 0, 2, 2, "E f.\nG h. I.")] or [r.id for r in checks.range_edits(df, "id", F.lit(2), F.lit(9)).collect()] == [1]
+    got = checks.on_type_edits(df, "id", F.lit(0), F.lit(".")).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, 0, 9, "A b.\nC d.")]
+    assert checks.on_type_edits(df, "id", F.lit(0), F.lit("x")).count() == 0
+    assert [(r.id, r.kind) for r in checks.fix_all(df, "id").collect()] == [(1, "source.fixAll")]
+    seen = checks.diagnostics_df(df, "id").unionByName(checks.diagnostics_df(df, "id").withColumn("source", F.lit("other")))
+    assert checks.own_diagnostics(seen).count() == 2
+
+
+def test_diagnostics_count_characters(spark):
+    df = spark.createDataFrame([(1, "\U0001f642\U0001f642 x. Yes! No\x01. \u00c9."), (2, "a. B " * 3000)], "id int, text string")
+    got = [r.start_col for r in checks.diagnostics_df(df.where("id = 1"), "id").orderBy("start_col").collect()]
+    assert got == [5, 10, 15]
+    assert checks.diagnostics_df(df.where("id = 2"), "id").count() == 3000
+
+
+def test_range_text(spark):
+    from lectern.operators.formatting import format_range_text
+
+    text = "A a. B b.\nC c. D d.\nE e. F f.\n"
+    df = spark.createDataFrame([(t, a, b) for t in (text, text[:-1], "", "\n\n") for a, b in ((1, 1), (2, 2), (2, 99), (9, 10), (0, 1))], "text string, a int, b int").withColumn("format", F.lit("plaintext"))
+    for r in format_range_df(df, F.col("a"), F.col("b")).collect():
+        assert r.formatted == format_range_text(r.text, r.a, r.b), (r.text, r.a, r.b)
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([("A b. C d.", "plaintext", "x", 1, "y")], "text string, format string, formatted string, `a.b` int, regions string")
     row = format_df(df).first()

@@ -10,7 +10,7 @@ def one(spark, column, *values, schema="a string"):
 
 @pytest.mark.parametrize(
     "line, state",
-    [("prose:off", "off"), ("# prose:on", "on"), ("  % prose:off ", "off"), ("<!-- prose:on -->", "on"), ("#prose:off", None), ("x prose:off", None), (".. prose:off", None), (None, None)],
+    [("lectern:off", "off"), ("# lectern:on", "on"), ("  % lectern:off ", "off"), ("<!-- lectern:on -->", "on"), ("#lectern:off", None), ("x lectern:off", None), ("note:off", None), (".. lectern:off", None), (None, None)],
 )
 def test_pragma(spark, line, state):
     from lectern.operators.parsers import pragma
@@ -45,9 +45,10 @@ def test_formats(spark, path, by_path, by_name):
     [("\\begin{x}", "latex"), ("#+TITLE: a\n:END:", "org"), ("#+TITLE: a", "plaintext"), ("a\n# b", "markdown"), ("wait... x", "rst"), ("a\n====", "rst"), ("===", "plaintext"), ("", "plaintext"), ("hello", "plaintext")],
 )
 def test_content(spark, text, format):
-    from lectern.plans.services import guess
+    from lectern.plans import services
 
-    assert one(spark, tx.format_of_content(F.col("a")), text) == format == guess(text)
+    services.register(spark)
+    assert one(spark, tx.format_of_content(F.col("a")), text) == format == one(spark, F.expr("detect_format(a)"), text)
 
 
 @pytest.mark.parametrize(
@@ -59,6 +60,26 @@ def test_ignored(spark, glob, path, hit):
     assert got is hit
 
 
+def test_ignored_from_a_folder(spark):
+    df = spark.createDataFrame([("/w/docs/a.md", ["docs/*"]), ("/x/docs/a.md", ["docs/*"]), ("/w/a.md", [None]), ("/w/a.md", None)], "p string, g array<string>")
+    got = df.select(tx.is_ignored(F.col("p"), F.col("g"), "/w").alias("x"), tx.is_ignored(F.col("p"), F.col("g")).alias("y"))
+    assert [(r.x, r.y) for r in got.collect()] == [(True, False), (False, False), (False, False), (False, False)]
+    for mode in tx.MODES:
+        row = df.select(tx.is_skipped(F.col("p"), tx.globs_regex(F.col("g")), mode, "/w").alias("x")).first()
+        assert row.x is (mode in ("check", "in_place"))
+
+
+def test_other_marker_names(spark):
+    from lectern.operators.parsers import regions_of
+    from lectern.operators.plain_regions import plain_regions
+
+    text = "A.\nmine.x:off\nB.\nlectern:on\nmine.x:on\nC."
+    expected = [("prose", "A."), *(("structure", x + "\n") for x in ("mine.x:off", "B.", "lectern:on", "mine.x:on")), ("prose", "C.")]
+    assert regions_of(text, None, "mine.x") == expected
+    got = plain_regions(spark.createDataFrame([(1, text)], "k int, text string"), "k", name="mine.x").orderBy("region_no").collect()
+    assert [(r.kind, r.text) for r in got] == expected
+
+
 def test_precedence(spark):
     rows = [(5, 9, 7, 5), (0, 9, 7, 9), (None, 0, 7, 7), (None, None, None, 0), (-3, None, 7, 7)]
     df = spark.createDataFrame(rows, "a int, b int, c int, x int").select("x", tx.resolved_width(F.col("a"), F.col("b"), F.col("c")).alias("y"))
