@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import map_rows
-from lectern.runtime import spread, worker_cache
+from lectern.runtime import checkpointed, spread, worker_cache
 
 #: Folder of the vocabulary files; a parameter of every function here.
 VOCABULARIES = "/opt/tokenizers"
@@ -64,17 +64,23 @@ def _slices(chunk: int, overlap: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py()
-                of = [batch.column(c).slice(i, 1) for c in ("doc_id", "h")]
+                of = [batch.column(c).slice(i, 1) for c in ("doc_id", "r")]
                 starts = list(range(0, max(len(text) - overlap, 1), chunk))
                 for a in range(0, len(starts), 256):  # a few MB at a time
                     some = starts[a : a + 256]
                     rows = pa.array([text[s : s + chunk + overlap] for s in some], pa.string())
                     keys = [pa.concat_arrays([x] * len(some)) for x in of]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array([s // chunk for s in some], pa.int32()), rows], ["doc_id", "h", "k", "chunk"])
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([s // chunk for s in some], pa.int32()), rows], ["doc_id", "r", "k", "chunk"])
 
     return run
 
 
+def sliced(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``(doc_id, r, k, chunk)`` of each row's text; ``r`` tells rows apart, also those of null and repeated ids."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("r"), "text")
+    return rows.mapInArrow(_slices(chunk, overlap), "doc_id bigint, r bigint, k int, chunk string")
+
+
 def _boundaries(chunk: int, overlap: int):
     """Of each chunk: boundaries in what it shares with the chunk before, and with the one after, both counted from the
     start of the text. The last two of a chunk may depend on what follows it, so they are no evidence."""
@@ -85,7 +91,7 @@ def _boundaries(chunk: int, overlap: int):
             ends = pretoken_ends(text)
             heads.append([k * chunk + e for e in ends if e <= overlap][:256] if k else [])
             tails.append([k * chunk + e for e in ends[:-2] if e > chunk])
-        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "k": ks, "head": heads, "tail": tails}
+        return {"r": batch.column("r"), "k": ks, "head": heads, "tail": tails}
 
     return of_batch
 
@@ -96,7 +102,7 @@ def _encode_pieces(name: str, folder: str, chunk: int):
         ids = []
         for k, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("k", "begin", "stop", "chunk"))):
             ids.append(enc.encode_ordinary(text[a - k * chunk : None if b is None else b - k * chunk]))
-        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "k": batch.column("k"), "ids": _lists(ids)}
+        return {"doc_id": batch.column("doc_id"), "r": batch.column("r"), "k": batch.column("k"), "ids": _lists(ids)}
 
     return of_batch
 
@@ -118,37 +124,32 @@ def encode(docs: DataFrame, name: str = VOCABULARY, folder: str = VOCABULARIES,
     return short.unionByName(_encode_long(docs.where(is_long), name, folder, chunk, overlap))
 
 
-def stitched_pieces(chunks: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """The stitches: ``(doc_id, h, k, begin, stop)``, and the keys of texts that have a joint without a stitch."""
-    bounds = map_rows(chunks, _boundaries(chunk, overlap), "doc_id bigint, h string, k int, head array<bigint>, tail array<bigint>")
-    in_text = Window.partitionBy("doc_id", "h").orderBy("k")
+def stitched_pieces(chunks: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``(r, k, begin, stop, is_stitched)``: where the piece of each chunk begins and stops, counted from the text's start.
+
+    A text with a joint that has no stitch is not stitched; its pieces mean nothing.
+    """
+    bounds = map_rows(chunks, _boundaries(chunk, overlap), "r bigint, k int, head array<bigint>, tail array<bigint>")
+    in_text = Window.partitionBy("r").orderBy("k")
     joint = F.array_min(F.array_intersect("head", F.lag("tail").over(in_text)))
-    begun = bounds.select("doc_id", "h", "k", F.when(F.col("k") == 0, F.lit(0).cast("bigint")).otherwise(joint).alias("begin"))
+    begun = bounds.select("r", "k", F.when(F.col("k") == 0, F.lit(0).cast("bigint")).otherwise(joint).alias("begin"))
     stitches = begun.withColumn("stop", F.lead("begin").over(in_text))
-    return stitches, begun.where("begin IS NULL").select("doc_id", "h").distinct()
+    return stitches.withColumn("is_stitched", F.min(F.col("begin").isNotNull()).over(Window.partitionBy("r")))
 
 
 def _encode_long(docs: DataFrame, name: str, folder: str, chunk: int, overlap: int) -> DataFrame:
-    docs = docs.withColumn("h", F.md5("text"))
-    each = docs.dropDuplicates(["doc_id", "h"])
-    chunks = each.select("doc_id", "h", "text").mapInArrow(_slices(chunk, overlap), "doc_id bigint, h string, k int, chunk string")
-    chunks = chunks.repartition("doc_id", "h", "k")
-    stitches, unstitched = stitched_pieces(chunks, chunk, overlap)
-    whole_keys = unstitched.select(F.col("doc_id").alias("d"), F.col("h").alias("g"))
-    is_whole = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("h") == F.col("g")]
-    s = stitches.join(whole_keys, is_whole, "left_anti")
-    parts = chunks.alias("c").join(s.alias("s"), [F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("c.h") == F.col("s.h"), F.col("c.k") == F.col("s.k")])
-    parts = parts.select("c.doc_id", "c.h", "c.k", "s.begin", "s.stop", "c.chunk")
-    encoded = map_rows(parts, _encode_pieces(name, folder, chunk), "doc_id bigint, h string, k int, ids array<int>")
-    joined = encoded.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    joined = joined.select("doc_id", "h", F.flatten("parts.ids").alias("ids"))
-    rest = each.join(whole_keys, is_whole, "left_semi").select("doc_id", "h", "text")
-    whole = map_rows(rest, _encode(name, folder), "doc_id bigint, h string, ids array<int>", rows=1)
-    copies = docs.groupBy("doc_id", "h").count().where("count > 1")
-    done = joined.unionByName(whole)
-    again = done.alias("e").join(copies.alias("n"), [F.col("e.doc_id").eqNullSafe(F.col("n.doc_id")), F.col("e.h") == F.col("n.h")], "left")
-    times = F.coalesce(F.col("n.count"), F.lit(1)).cast("int")
-    return again.select("e.doc_id", "e.ids", F.explode(F.sequence(F.lit(1), times)).alias("i")).drop("i")
+    """Long texts are read once: their chunks are written, and all that follows is made of these."""
+    chunks = checkpointed(sliced(docs, chunk, overlap).repartition("r", "k"))
+    parts = chunks.join(stitched_pieces(chunks, chunk, overlap), ["r", "k"])
+    encoded = map_rows(parts.where("is_stitched").drop("is_stitched"), _encode_pieces(name, folder, chunk), "doc_id bigint, r bigint, k int, ids array<int>")
+    joined = encoded.groupBy("r", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    # Without a stitch somewhere, the text is put together again and encoded in one go.
+    own = F.when(F.col("stop_k"), F.col("chunk")).otherwise(F.substring("chunk", 1, chunk))
+    last = Window.partitionBy("r")
+    apart = parts.where("NOT is_stitched").withColumn("stop_k", F.col("k") == F.max("k").over(last)).select("doc_id", "r", "k", own.alias("own"))
+    texts = apart.groupBy("r", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "own"))).alias("parts"))
+    whole = map_rows(texts.select("doc_id", F.array_join("parts.own", "").alias("text")), _encode(name, folder), "doc_id bigint, ids array<int>", rows=1)
+    return joined.select("doc_id", F.flatten("parts.ids").alias("ids")).unionByName(whole)
 
 
 def _counts(name: str, folder: str):

@@ -36,7 +36,7 @@ def test_library_agrees():
 def test_repeated_and_null_keys(spark):
     rows = [(1, "ab " * 200), (1, "ab " * 200), (None, "cd " * 200), (1, "ab " * 300), (None, None)]
     got = ids(spark, rows, chunk=100, overlap=40)
-    assert len(got) == 5 and sum(x == (1, expected(["ab " * 200])[0]) for x in got) == 2
+    assert len(got) == 5 and got[0][0] == -1 and sum(x == (1, expected(["ab " * 200])[0]) for x in got) == 2
     assert tokens.encode(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
@@ -55,8 +55,12 @@ def test_sizes(spark):
 @pytest.mark.parametrize("last", [tokens.OVERLAP + 1, 3000, tokens.CHUNK, tokens.CHUNK + 1])
 def test_short_last_chunk_is_stitched(spark, last):
     text = ("Ordinary words, don't they? 12 of them. " * 1000)[: 2 * tokens.CHUNK + last]
-    docs = spark.createDataFrame([(1, "h", text)], "doc_id bigint, h string, text string")
-    chunks = docs.mapInArrow(tokens._slices(tokens.CHUNK, tokens.OVERLAP), "doc_id bigint, h string, k int, chunk string")
-    stitches, unstitched = tokens.stitched_pieces(chunks, tokens.CHUNK)
-    assert stitches.count() == 3 and unstitched.count() == 0
+    pieces = tokens.stitched_pieces(tokens.sliced(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))).collect()
+    assert len(pieces) == 3 and all(p.is_stitched and p.begin is not None for p in pieces)
     assert ids(spark, [(1, text)]) == [(1, expected([text])[0])]
+
+
+def test_long_texts_of_the_corpus_are_stitched(spark, data):
+    docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet").where(f"length(text) > {tokens.CHUNK + tokens.OVERLAP}")
+    found = tokens.stitched_pieces(tokens.sliced(docs)).groupBy("r").agg({"is_stitched": "min"}).collect()
+    assert found and sum(not r[1] for r in found) < 0.01 * len(found) + 1
