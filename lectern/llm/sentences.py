@@ -3,9 +3,11 @@
 The characters of a block of text are tagged B (a unit begins here) or I by a linear chain with Viterbi decoding.  A
 character can only be B where a terminator, a closing mark or, in scripts without periods, a space stands before it;
 elsewhere its score for B is minus infinity, so runs of such characters collapse and decoding walks over candidates.
-Scores come from the kind of mark, from abbreviations (declared, known, and learnt: words whose period is mostly
-followed by no beginning) and from how likely the next words or characters begin a unit.  The last is learnt from all
-texts, after punctuation is stripped, from how paragraphs begin as against what stands inside them; it is what finds the boundaries of scripts without periods.
+A score adds the weight of the context (kind of mark, kind of what follows, an abbreviation before it) and that of the
+evidence: how likely the next words or characters begin a unit.  All is learnt from all texts: beginnings from how
+paragraphs begin as against what stands inside them once punctuation is stripped, which is what finds the boundaries of
+scripts without periods; the weights of evidence from both of these; abbreviations as words whose period is mostly
+followed by no beginning (others are declared or known); the weights of contexts by expectation and maximisation.
 
 Blank lines and list items part blocks before that; pairs of brackets and quotation marks, code, formulas, links and
 addresses are taken as single characters, so nothing inside them is B.
@@ -18,7 +20,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.abbreviations import DOTTED, WORDS
 from lectern.llm.common import map_rows, with_config
-from lectern.runtime import spread
+from lectern.runtime import checkpointed, small_side, spread
 
 #: So many texts at most are counted in one step before their counts are summed.
 COUNTED_ROWS = 8192
@@ -64,9 +68,13 @@ def parted_by_spaces(s: str) -> bool:
     return THAI.search(s) is not None or MARKLESS.search(s) is not None and EVENT.search(s) is None
 
 
-#: What may be an abbreviation with its period.
+#: What may be learnt as an abbreviation.
 _LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0900-\u0903\u093a-\u094f])"
-PERIOD = re.compile(rf"(?<![\w.\u0900-\u094f])({_LETTER}{{1,8}}(?:\.{_LETTER}{{1,3}})*)\. (?=\S)")
+WORD_BEFORE = re.compile(rf"{_LETTER}{{1,8}}(?:\.{_LETTER}{{1,3}})*")
+TAIL = re.compile(r"[\s \-–/]")
+TWO_PARTS = re.compile(r"\w{1,2}\. \w{1,4}\.")
+#: From this class of evidence on, what follows is taken for a beginning.
+BEGINS = 4
 #: What stands before every character that decoding may make a B.
 _MARKS = "".join(re.escape(c) for c in sorted({*TERMINATORS, *CLOSERS}))
 AFTER = re.compile(f"(?<=[{_MARKS}])\\s*(?=\\S)")
@@ -142,19 +150,39 @@ def beginnings(s: str) -> list[str]:
     return [f"{first} {words[1].rstrip(',;:.')}", first] if len(words) > 1 else [first]
 
 
+#: Upper ends of the classes that log-odds of beginnings fall into; class 0 is an unknown beginning.
+BIN_ENDS = (-2.5, -0.75, 0.75, 2.5)
+#: What unknown to sure beginnings weigh before anything is learnt.
+FIRST_EVIDENCE = {"spaced": (-1.0, -3.0, -1.2, 0.0, 1.5, 3.4), "dense": (0.0, -3.0, -1.2, 0.0, 1.5, 3.4)}
+#: What evidence weighs at least and at most: no words alone outweigh a context that speaks clearly.
+LEAST_EVIDENCE, MOST_EVIDENCE = -5.0, 3.0
+#: How many observations the first weight of a context counts for.
+PRIOR = 20.0
+
+
+def bin_of(odds: float | None) -> int:
+    return 0 if odds is None else 1 + bisect_right(BIN_ENDS, odds)
+
+
 class Model:
-    """Log-odds of beginnings, and learnt abbreviations."""
+    """What is learnt: log-odds of beginnings, abbreviations, and the weights of evidence and of contexts.
+
+    A candidate's score for B is the weight of its context (the mark, what follows in kind, whether an abbreviation
+    stands before it) plus the weight of the evidence (how likely what follows begins a unit).
+    """
 
     def __init__(self) -> None:
         self.odds: dict[str, float] = {}
         self.short: frozenset[str] = frozenset()
+        self.evidence: dict[str, tuple[float, ...]] = FIRST_EVIDENCE
+        self.weights: dict[str, float] = {}
 
-    def begins(self, s: str) -> float:
-        """From the longest known beginning; 0 where nothing is known."""
+    def begins(self, s: str) -> float | None:
+        """From the longest known beginning; None where nothing is known."""
         for g in beginnings(s):
             if g in self.odds:
                 return self.odds[g]
-        return 0.0
+        return None
 
 
 def paragraphs_of(text: str) -> list[str]:
@@ -188,16 +216,6 @@ def log_odds(yes: int, no: int) -> float:
     return max(-4.0, min(4.0, math.log((yes + 0.2) / (no + 0.2))))
 
 
-def followers(paragraphs: list[str], model: Model) -> dict[str, list[int]]:
-    """Of each word with a period: how often no beginning follows, and how often one does."""
-    after: dict[str, list[int]] = {}
-    for p in paragraphs:
-        for m in PERIOD.finditer(p):
-            n = after.setdefault(m[1], [0, 0])
-            n[model.begins(p[m.end() :]) > 1.0] += 1
-    return after
-
-
 def asked(text: str) -> set[str]:
     """All beginnings whose odds decoding this text, or learning from it, may ask for."""
     out: set[str] = set()
@@ -205,12 +223,101 @@ def asked(text: str) -> set[str]:
         if not item:
             s = text[a:b]
             after = AFTER_THAI if parted_by_spaces(s) else AFTER
-            for x in {s, " ".join(s.split())}:
+            joined = " ".join(s.split())
+            out.update(beginnings(joined[:60]))
+            out.update(beginnings(middle_of(joined)))
+            for x in {s, joined}:
                 for m in after.finditer(x):
                     out.update(beginnings(x[m.end() : m.end() + 60]))
     return out
 
 
+def evidence_weights(seen: dict[tuple[str, int], int]) -> dict[str, tuple[float, ...]]:
+    """Of each class of evidence the log-likelihood ratio, for scripts with and without spaces between words.
+
+    What surely begins units is what begins paragraphs or follows a mark that ends units only; what stands inside is
+    seen in the middle of paragraphs.
+    """
+    out = {}
+    for script in FIRST_EVIDENCE:
+        counts = [[1.0, 1.0] for _ in range(len(BIN_ENDS) + 2)]
+        for (context, k), n in seen.items():
+            kind, following, *_ = context.split(" ")
+            if kind in ("start", "inside", "hard") and script_of(following) == script and (kind != "hard" or following not in ("lower", "digit")):
+                counts[k][kind == "inside"] += n
+        totals = [sum(c[j] for c in counts) for j in (0, 1)]
+        if min(totals) > 500:
+            out[script] = tuple(max(LEAST_EVIDENCE, min(MOST_EVIDENCE, math.log(b / totals[0]) - math.log(i / totals[1]))) for b, i in counts)
+    return {**FIRST_EVIDENCE, **out}
+
+
+def script_of(following: str) -> str:
+    return "dense" if following in ("dense", "particle") else "spaced"
+
+
+def is_learnable(word: str) -> bool:
+    """Whether a word before a period may be learnt as an abbreviation."""
+    return WORD_BEFORE.fullmatch(word) is not None
+
+
+def abbreviations(seen: dict[tuple[str, str, int], int]) -> frozenset[str]:
+    """Words whose period is mostly followed by something that begins no unit, from counts by (word, context, class)."""
+    after: dict[str, list[int]] = {}
+    for (word, _, k), n in seen.items():
+        if word:
+            after.setdefault(word, [0, 0])[k >= BEGINS] += n
+    return frozenset(w for w, (other, begin) in after.items() if other >= max(3, 1.5 * begin))
+
+
+def context_weights(seen: dict[tuple[str, int], int], evidence: dict[str, tuple[float, ...]]) -> dict[str, float]:
+    """The prior log-odds of B in each context, by expectation and maximisation over the classes of evidence seen there.
+
+    Each context starts at its first weight, which counts for ``PRIOR`` observations.
+    """
+    by_context: dict[str, dict[int, int]] = {}
+    for (context, k), n in seen.items():
+        if not context.startswith(("start ", "inside ")):
+            by_context.setdefault(context, {})[k] = n
+    sigmoid = lambda x: 1.0 / (1.0 + math.exp(-x))
+    out = {}
+    for context, bins in by_context.items():
+        first = share = sigmoid(first_weight(context))
+        total, weight_of = sum(bins.values()), evidence[script_of(context.split(" ")[1])]
+        for _ in range(50):
+            odds = math.log(share / (1.0 - share))
+            expected = sum(n * sigmoid(odds + weight_of[k]) for k, n in bins.items())
+            share = min(max((PRIOR * first + expected) / (PRIOR + total), 1e-3), 1.0 - 1e-3)
+        out[context] = math.log(share / (1.0 - share))
+    return out
+
+
+def middle_of(p: str) -> str:
+    """What stands at a word in the middle of a paragraph; nothing if that is right behind a mark."""
+    at = len(p) // 2 if UNSPACED.search(p[:3]) else p.find(" ", len(p) // 2) + 1
+    return p[at : at + 60] if at and p[:at].rstrip()[-1:].isalnum() else ""
+
+
+def observed(paragraphs: list[str], model: Model) -> Counter:
+    """How often each ``(word, context, class of evidence)`` is a candidate; the word is one that may be learnt as short."""
+    seen: Counter = Counter()
+    for p in paragraphs:
+        seen["", f"start {following_of(p)}", bin_of(model.begins(p))] += 1
+        if inside := middle_of(p):
+            seen["", f"inside {following_of(inside)}", bin_of(model.begins(inside))] += 1
+        for c in candidates(p, model, frozenset()):
+            word = c.word if c.context.startswith("dot ") and not c.short and is_learnable(c.word) else ""
+            seen[word, c.context + " short" if c.short else c.context, bin_of(c.begins)] += 1
+    return seen
+
+
+def contexts(seen: dict[tuple[str, str, int], int], short: frozenset[str]) -> Counter:
+    """The same by context alone, abbreviations told."""
+    out: Counter = Counter()
+    for (word, context, k), n in seen.items():
+        out[context + " short" if word in short else context, k] += n
+    return out
+
+
 def train(texts: list[str], least: int = 2) -> Model:
     model = Model()
     paragraphs = [p for text in texts for p in paragraphs_of(text)]
@@ -218,59 +325,97 @@ def train(texts: list[str], least: int = 2) -> Model:
     for g in set(yes) | {x for x, n in no.items() if n >= 3}:
         if yes[g] + no[g] >= least:
             model.odds[g] = log_odds(yes[g], no[g])
-    # A word is an abbreviation if its period is mostly followed by something that begins no unit.
-    model.short = frozenset(w for w, (other, begin) in followers(paragraphs, model).items() if other >= max(3, 1.5 * begin))
+    seen = observed(paragraphs, model)
+    model.short = abbreviations(seen)
+    by_context = contexts(seen, model.short)
+    model.evidence = evidence_weights(by_context)
+    model.weights = context_weights(by_context, model.evidence)
     return model
 
 
-def score(s: str, kind: str, mark: int, after: int, model: Model, declared: frozenset[str], alone: bool, opens: bool, spaced: bool) -> float:
-    """The score for B at ``after``; the mark begins (or what is closed ends) at ``mark``."""
-    rest = s[after : after + 60]
-    begins = model.begins(rest)
-    first = rest.lstrip("\"'([{“„«‘「『（《¿¡")[:1]
-    total = 0.9 * begins
-    if first.islower():
-        total -= 4.0
-    elif first.isdigit():
-        total -= 3.0
-    elif first.isupper():
-        total += 0.5
-    if opens:  # a pair with a terminator inside stands alone here
+class Candidate(NamedTuple):
+    """A character that may be B: where, in what context, before what, and which word stands before its mark."""
+
+    at: int
+    context: str
+    begins: float | None
+    word: str
+    short: bool
+
+    def score(self, model: Model) -> float:
+        short = self.short or self.context.startswith("dot ") and self.word in model.short
+        context = self.context + " short" if short else self.context
+        weight = model.weights.get(context)
+        return (first_weight(context) if weight is None else weight) + model.evidence[script_of(context.split(" ", 2)[1])][bin_of(self.begins)]
+
+
+def first_weight(context: str) -> float:
+    """The weight of a context before anything is learnt."""
+    kind, following, *rest = context.split(" ")
+    total = {"lower": -4.0, "digit": -3.0, "upper": 0.5}.get(following, 0.0)
+    if "opens" in rest:  # a pair with a terminator inside stands alone here
         total = max(total, 0.0) + 2.0
     if kind == "space":
-        return total + (0.5 if UNSPACED.match(s[mark - 1]) else -2.0)
+        return total + (0.5 if "unspaced" in rest else -2.0)
     if kind == "close":
-        if not alone:
-            return total - 1.0
-        return total + (2.0 if first in PARTICLES else 5.0)
+        return total + (-1.0 if "alone" not in rest else 2.0 if following == "particle" else 5.0)
     if kind == "hard":
         return total + 3.0
-    if kind == "dots":
-        # Before a capital an ellipsis may end a unit; in scripts without case it mostly does.
-        return total + (2.5 if UNSPACED.match(first or " ") else 0.5 if not first.islower() else -0.5)
-    # a period
+    if kind == "dots":  # before a capital an ellipsis may end a unit; in scripts without case it mostly does
+        return total + (2.5 if following in ("dense", "particle") else 0.5 if following != "lower" else -0.5)
     total += 2.0
-    word = LAST_WORD.search(s, max(0, mark - 40), mark)[0].rstrip(".．")
-    short = False
-    if word:
-        low = word.lower()
-        tail = re.split(r"[\s \-–/]", low)[-1]
-        previous = s[max(0, mark - len(word) - 12) : mark - len(word) - 1].split()
-        two = f"{previous[-1]} {word}." if previous else ""
-        short = (
-            word in declared or low in declared or low in KNOWN or tail in KNOWN or word in model.short
-            or len(word) == 1 and word.isalpha() or "." in word and not word[0].isdigit() and all(len(x) <= 3 for x in word.split("."))
-            or bool(two) and re.fullmatch(r"\w{1,2}\. \w{1,4}\.", two) is not None
-        )
-        if not short and word.isdigit() and len(word) <= 2:
-            short = begins <= 0.5
-    if short:
+    if "short" in rest:
         total -= 4.0
-    if not spaced:  # nothing between the period and what follows
-        total -= 1.5 if opens or begins > 0.5 or UNSPACED.match(first or " ") else 8.0
+    if "joined" in rest:  # nothing between the period and what follows
+        total -= 1.5 if following == "dense" or "opens" in rest else 4.0
     return total
 
 
+def is_short(word: str, s: str, mark: int, declared: frozenset[str]) -> bool:
+    """Whether a word before a period is an abbreviation by what is known, declared or seen in it."""
+    if not word:
+        return False
+    low = word.lower()
+    tail = TAIL.split(low)[-1]
+    if word in declared or low in declared or low in KNOWN or tail in KNOWN or len(word) == 1 and word.isalpha():
+        return True
+    if "." in word and not word[0].isdigit() and all(len(x) <= 3 for x in word.split(".")):
+        return True
+    previous = s[max(0, mark - len(word) - 12) : mark - len(word) - 1].split()
+    return bool(previous) and TWO_PARTS.fullmatch(f"{previous[-1]} {word}.") is not None
+
+
+def following_of(rest: str) -> str:
+    """What kind of character follows, opening marks apart."""
+    first = rest.lstrip("\"'([{“„«‘「『（《¿¡")[:1]
+    if first.islower():
+        return "lower"
+    if first.isdigit():
+        return "digit"
+    if first.isupper():
+        return "upper"
+    return "particle" if first in PARTICLES else "dense" if first and UNSPACED.match(first) else "other"
+
+
+def candidate(s: str, kind: str, mark: int, after: int, model: Model, declared: frozenset[str], alone: bool, opens: bool, spaced: bool) -> Candidate:
+    """The candidate at ``after``; the mark begins (or what is closed ends) at ``mark``."""
+    rest = s[after : after + 60]
+    begins = model.begins(rest)
+    following = following_of(rest)
+    context, word, short = f"{kind} {following}", "", False
+    if opens:
+        context += " opens"
+    if kind == "space":
+        context += " unspaced" if UNSPACED.match(s[mark - 1]) else ""
+    elif kind == "close":
+        context += " alone" if alone else ""
+    elif kind == "dot":
+        context += "" if spaced else " joined"
+        word = LAST_WORD.search(s, max(0, mark - 40), mark)[0].rstrip(".．")
+        short = is_short(word, s, mark, declared) or word.isdigit() and len(word) <= 2 and (begins or 0.0) <= 0.5
+    return Candidate(after, context, begins, word, short)
+
+
 def viterbi(scores: list[float], gaps: list[int]) -> list[bool]:
     """Tags of the candidates: B pays its score, two B within three characters pay for being close."""
     best_i, best_b = 0.0, scores[0] if scores else 0.0
@@ -288,10 +433,20 @@ def viterbi(scores: list[float], gaps: list[int]) -> list[bool]:
 
 def unit_starts(s: str, model: Model, declared: frozenset[str]) -> list[int]:
     """Where units begin in a block, the first included."""
+    found = candidates(s, model, declared)
+    if not found:
+        return [0]
+    gaps = [0, *(b.at - a.at for a, b in zip(found, found[1:]))]
+    tags = viterbi([c.score(model) for c in found], gaps)
+    return [0, *(c.at for c, t in zip(found, tags) if t)]
+
+
+def candidates(s: str, model: Model, declared: frozenset[str]) -> list[Candidate]:
+    """The characters of a block that may be B, in order."""
     whole, pairs = covered(s)
     inside = sorted([*whole, *pairs])
     opening = {a: b for a, b in pairs}
-    candidates: list[tuple[int, float]] = []
+    found: list[Candidate] = []
     i, n, last = 0, len(s), 0
     k = 0
     by_spaces = parted_by_spaces(s)
@@ -309,7 +464,7 @@ def unit_starts(s: str, model: Model, declared: frozenset[str]) -> list[int]:
                 while j < n and s[j].isspace():
                     j += 1
                 if j < n and not (s[b] in TERMINATORS + ",;:，、：；"):
-                    candidates.append((j, score(s, "close", b, j, model, declared, a in standing, False, j > b)))
+                    found.append(candidate(s, "close", b, j, model, declared, a in standing, False, j > b))
                     standing.add(j)
             i = b
             continue
@@ -327,21 +482,16 @@ def unit_starts(s: str, model: Model, declared: frozenset[str]) -> list[int]:
                 kind = "hard" if any(x not in SOFT for x in run) else "dots" if len(run) > 1 or "…" in run else "dot"
                 opens = e in opening and _ends_inside(s, e, opening[e])
                 if e > j or opens or s[e].isupper() or UNSPACED.match(s[e]):
-                    candidates.append((e, score(s, kind, i, e, model, declared, False, opens, e > j)))
+                    found.append(candidate(s, kind, i, e, model, declared, False, opens, e > j))
                     standing.add(e)
             i = max(j, i + 1)
             continue
         if i and (UNSPACED.match(s[i - 1]) or s[i - 1] in CLOSERS or s[i - 1].isalnum()):
             e = j
             if e < n and (UNSPACED.match(s[e]) or e in opening):
-                candidates.append((e, score(s, "space", i, e, model, declared, False, e in opening and _ends_inside(s, e, opening[e]), True)))
+                found.append(candidate(s, "space", i, e, model, declared, False, e in opening and _ends_inside(s, e, opening[e]), True))
         i = j
-    if not candidates:
-        return [0]
-    positions = [p for p, _ in candidates]
-    gaps = [0, *(b - a for a, b in zip(positions, positions[1:]))]
-    tags = viterbi([x for _, x in candidates], gaps)
-    return [0, *(p for p, t in zip(positions, tags) if t)]
+    return found
 
 
 def _ends_inside(s: str, a: int, b: int) -> bool:
@@ -386,18 +536,28 @@ def fitted(calls: DataFrame, least: int = 2) -> Model:
     enough = ((F.col("yes") > 0) | (F.col("no") >= 3)) & (F.col("yes") + F.col("no") >= least)
     model = Model()
     model.odds = {r["g"]: log_odds(r["yes"], r["no"]) for r in sums.where(F.col("wanted") & enough).collect()}
-    shared = calls.sparkSession.sparkContext.broadcast(model.odds)
+    shared = calls.sparkSession.sparkContext.broadcast(vars(model))
 
     def following(b: pa.RecordBatch) -> dict:
         known = Model()
-        known.odds = shared.value
-        after = followers([p for t in b.column("text").to_pylist() for p in paragraphs_of(t)], known)
-        return {"word": list(after), "other": [n[0] for n in after.values()], "begin": [n[1] for n in after.values()]}
-
-    counts = map_rows(texts, following, "word string, other bigint, begin bigint", rows=COUNTED_ROWS)
-    sums = counts.groupBy("word").agg(F.sum("other").alias("other"), F.sum("begin").alias("begin"))
-    short = sums.where(F.col("other") >= F.greatest(F.lit(3.0), 1.5 * F.col("begin"))).select("word").collect()
-    model.short = frozenset(r["word"] for r in short)
+        vars(known).update(shared.value)
+        seen = observed([p for t in b.column("text").to_pylist() for p in paragraphs_of(t)], known)
+        keys = list(seen)
+        return {"word": [w for w, _, _ in keys], "context": [c for _, c, _ in keys], "k": [k for _, _, k in keys], "n": list(seen.values())}
+
+    counts = map_rows(texts, following, "word string, context string, k int, n bigint", rows=COUNTED_ROWS)
+    sums = checkpointed(counts.groupBy("word", "context", "k").agg(F.sum("n").alias("n")))
+    after = sums.where("word <> ''").groupBy("word").agg(
+        F.sum(F.when(F.col("k") >= BEGINS, F.col("n")).otherwise(0)).alias("begin"), F.sum(F.when(F.col("k") < BEGINS, F.col("n")).otherwise(0)).alias("other")
+    )
+    short = after.where(F.col("other") >= F.greatest(F.lit(3.0), 1.5 * F.col("begin"))).select("word")
+    model.short = frozenset(r["word"] for r in short.collect())
+    told = sums.join(small_side(short.withColumn("is_short", F.lit(True))), "word", "left")
+    named = F.when(F.col("is_short"), F.concat("context", F.lit(" short"))).otherwise(F.col("context"))
+    rows = told.groupBy(named.alias("context"), "k").agg(F.sum("n").alias("n")).collect()
+    by_context = {(r["context"], r["k"]): r["n"] for r in rows}
+    model.evidence = evidence_weights(by_context)
+    model.weights = context_weights(by_context, model.evidence)
     return model
 
 
