@@ -105,7 +105,7 @@ def test_weights_are_learnt():
     seen = {("dot upper", 5): 900, ("dot upper", 1): 100, ("close lower", 1): 500, ("start upper", 5): 9, ("inside lower", 1): 9}
     got = sentences.context_weights(seen, known)
     assert set(got) == {"dot upper", "close lower"}
-    assert abs(1 / (1 + 2.718281828 ** -got["dot upper"]) - 0.9) < 0.02 and got["close lower"] < sentences.first_weight("close lower")
+    assert abs(1 / (1 + 2.718281828 ** -got["dot upper"]) - 0.9) < 0.06 and got["close lower"] < sentences.first_weight("close lower")
     sure = {("start upper", 5): 900, ("start upper", 0): 100, ("inside lower", 0): 500, ("inside lower", 1): 500}
     learnt = sentences.evidence_weights(sure)
     assert learnt["dense"] == known["dense"] and learnt["spaced"][5] == sentences.MOST_EVIDENCE and learnt["spaced"][1] == sentences.LEAST_EVIDENCE
