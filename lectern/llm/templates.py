@@ -51,25 +51,32 @@ def marks(text: str) -> list[tuple[str, int, int]]:
 
 
 def _page_tokens(batch: pa.RecordBatch) -> dict:
-    out: dict[str, list] = {k: [] for k in ("host", "page", "token", "n", "first", "last")}
-    for host, page, text in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "text"))):
+    out: dict[str, list] = {k: [] for k in ("token", "n", "first", "last")}
+    for text in batch.column("text").to_pylist():
         found = marks(text)
         counts = Counter(t for t, _, _ in found)
-        first: dict[str, int] = {}
-        last: dict[str, int] = {}
-        for token, at, _ in found:
-            first.setdefault(token, at)
-            last[token] = at
-        for token, n in counts.items():
-            for name, x in zip(out, (host, page, token, n, first[token], last[token])):
-                out[name].append(x)
-    return out
+        last = {token: at for token, at, _ in found}
+        first = {token: at for token, at, _ in reversed(found)}
+        for name, of_page in zip(out, (list(counts), list(counts.values()), [first[t] for t in counts], [last[t] for t in counts])):
+            out[name].append(of_page)
+    return {"host": batch.column("host"), "page": batch.column("page"), **out}
+
+
+def pages_of(pages: DataFrame, host: str, page: str, text: str) -> DataFrame:
+    """``(host, page, text)``, each page once."""
+    rows = pages.where(F.col(text).isNotNull() & F.col(page).isNotNull())
+    return rows.select(F.coalesce(F.col(host).cast("bigint"), F.lit(-1)).alias("host"), F.col(page).cast("bigint").alias("page"), F.col(text).alias("text")).distinct()
+
+
+def packed_tokens(pages: DataFrame, host: str = "project_id", page: str = "call_id", text: str = "text") -> DataFrame:
+    """A row for each page, with the tokens of it in arrays, which is a third of the size of rows."""
+    schema = "host bigint, page bigint, token array<string>, n array<int>, first array<int>, last array<int>"
+    return map_rows(pages_of(pages, host, page, text), _page_tokens, schema)
 
 
-def page_tokens(pages: DataFrame, host: str = "project_id", page: str = "call_id", text: str = "text") -> DataFrame:
+def page_tokens(packed: DataFrame) -> DataFrame:
     """``(host, page, token, n, first, last)``: how often and where each token occurs on each page."""
-    rows = pages.where(F.col(text).isNotNull() & F.col(page).isNotNull()).select(F.coalesce(F.col(host).cast("bigint"), F.lit(-1)).alias("host"), F.col(page).cast("bigint").alias("page"), F.col(text).alias("text"))
-    return map_rows(rows, _page_tokens, "host bigint, page bigint, token string, n int, first int, last int").distinct()
+    return packed.select("host", "page", F.inline(F.arrays_zip("token", "n", "first", "last")))
 
 
 def classes(tokens: DataFrame, pages: int = PAGES) -> DataFrame:
@@ -106,13 +113,14 @@ def _crossing(pages: pa.Array) -> pa.Array:
 
 def templates(pages: DataFrame, host: str = "project_id", page: str = "call_id", text: str = "text", least: int = PAGES) -> DataFrame:
     """``(host, class_no, tokens, support)``: the valid, nested classes of each host in order."""
-    tokens = checkpointed(page_tokens(pages, host, page, text))  # marks only, read for vectors, orders and spans
-    members = tokens.join(small_side(classes(tokens, least)), ["host", "token"])
+    tokens = page_tokens(checkpointed(packed_tokens(pages, host, page, text)))  # read for vectors, orders and spans
+    members = tokens.join(small_side(checkpointed(classes(tokens, least))), ["host", "token"])
     on_page = members.groupBy("host", "class", "support", "page").agg(
         F.array_sort(F.collect_list(F.struct("first", "token"))).alias("order"), F.min("first").alias("first"), F.max("last").alias("last")
     )
     on_page = on_page.withColumn("tokens", F.col("order.token"))
     ordered = on_page.groupBy("host", "class", "support").agg(F.min("tokens").alias("tokens"), F.max("tokens").alias("other"), F.avg("first").alias("at")).where("tokens = other")
+    ordered = checkpointed(ordered)  # a row a class
     spans = on_page.join(small_side(ordered.select("host", "class")), ["host", "class"]).groupBy("host", "page").agg(F.collect_list(F.struct("first", "last", "class")).alias("all"))
     crossing = spans.select("host", F.explode(_crossing("all")).alias("class")).distinct()
     valid = ordered.join(crossing, ["host", "class"], "left_anti")
@@ -147,6 +155,5 @@ def slots(pages: DataFrame, host: str = "project_id", page: str = "call_id", tex
         return dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
 
     held = templates(pages, host, page, text, least).groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("template"))
-    filled = pages.where(F.col(text).isNotNull() & F.col(page).isNotNull())
-    rows = filled.select(F.coalesce(F.col(host).cast("bigint"), F.lit(-1)).alias("host"), F.col(page).cast("bigint").alias("page"), F.col(text).alias("text"))
-    return map_rows(rows.join(small_side(held), "host", "left"), of_batch, "host bigint, page bigint, slot_no int, slot string").distinct()
+    rows = pages_of(pages, host, page, text).join(small_side(checkpointed(held)), "host", "left")
+    return map_rows(rows, of_batch, "host bigint, page bigint, slot_no int, slot string")
