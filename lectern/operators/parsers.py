@@ -132,6 +132,9 @@ class Syntax:
             self.out.words.append(text)
 
 
+# The patterns of the formats' lines below are fixed values: regions depend on them.
+
+
 class Markdown(Syntax):
     heading = re.compile(r"(#{1,6}\s+)(.*)")
     fence = re.compile(r"`{3,}|~{3,}")
