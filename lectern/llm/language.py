@@ -21,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import format_key, latest_configs, map_rows
@@ -574,6 +574,21 @@ def fitted(packed: DataFrame, rounds: int = ROUNDS) -> Model:
     return model
 
 
+def shared_labeller(session: SparkSession, model: Model) -> Callable[[], Labeller]:
+    """What gives a worker its labeller, which is made once and keeps the scores of the words it has met."""
+    shared, stamp = session.sparkContext.broadcast(vars(model)), uuid.uuid4().hex
+
+    def get() -> Labeller:
+        cache = worker_cache()
+        if cache.get("labeller", (None,))[0] != stamp:
+            known = Model()
+            vars(known).update(shared.value)
+            cache["labeller"] = stamp, Labeller(known)
+        return cache["labeller"][1]
+
+    return get
+
+
 SEGMENTS = "call_id bigint, paragraph int, segment int, lang string, size int, confidence double, whole string"
 
 
@@ -585,16 +600,10 @@ def segments(calls: DataFrame, model: Model | None = None) -> DataFrame:
     """
     packed = checkpointed(packed_words(calls))
     model = model or fitted(packed)
-    shared, stamp = calls.sparkSession.sparkContext.broadcast(vars(model)), uuid.uuid4().hex
+    labeller_of = shared_labeller(calls.sparkSession, model)
 
     def batch(b: pa.RecordBatch) -> dict:
-        cache = worker_cache()
-        if cache.get("labeller", (None,))[0] != stamp:
-            known = Model()
-            vars(known).update(shared.value)
-            cache["labeller"] = stamp, Labeller(known)
-        labeller = cache["labeller"][1]
-        rows = []
+        labeller, rows = labeller_of(), []
         for ids, numbers, said in unpacked(b):
             for call, p, found in zip(ids, numbers.tolist(), labeller.label_all(said)):
                 whole = paragraph_language(found) if p >= 0 else None

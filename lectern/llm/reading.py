@@ -184,12 +184,10 @@ def language_model(said: DataFrame) -> language.Model:
 
 def grades(said: DataFrame, model: language.Model) -> DataFrame:
     """``(doc_id, words, grade)`` of the English paragraphs of each message."""
-    shared = said.sparkSession.sparkContext.broadcast(vars(model))
+    labeller_of = language.shared_labeller(said.sparkSession, model)
 
     def of_batch(batch: pa.RecordBatch) -> dict:
-        known = language.Model()
-        vars(known).update(shared.value)
-        labeller, syllables_of = language.Labeller(known), worker_cache().setdefault("syllables", {})
+        labeller, syllables_of = labeller_of(), worker_cache().setdefault("syllables", {})
         paragraphs = [[p for p in m.split("\n\n") if p] for m in batch.column("message").to_pylist()]
         labels = iter(labeller.label([language.words_of(p) for ps in paragraphs for p in ps]))
         found = [grade([p for p in ps if language.main_language(next(labels)) == "en"], syllables_of) for ps in paragraphs]

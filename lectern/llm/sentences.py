@@ -226,7 +226,8 @@ def asked(text: str) -> set[str]:
             joined = " ".join(s.split())
             out.update(beginnings(joined[:60]))
             out.update(beginnings(middle_of(joined)))
-            for x in {s, joined}:
+            # Between spaced words it makes no difference how they are spaced.
+            for x in {s, joined} if UNSPACED.search(s) else (joined,):
                 for m in after.finditer(x):
                     out.update(beginnings(x[m.end() : m.end() + 60]))
     return out
