@@ -34,6 +34,8 @@ LATIN = LANGS[:7]
 LABELS = (*LANGS, "und")
 #: Features are hashed into so many buckets, which is what bounds the model.
 BUCKETS = 1 << 18
+#: Counts are summed in blocks of so many buckets.
+BLOCK = 1024
 #: How often the model labels its own lessons again.
 ROUNDS = 1
 SWITCH = 6.0
@@ -531,9 +533,25 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], np.ndarr
 def fitted(packed: DataFrame, rounds: int = ROUNDS) -> Model:
     """What :func:`train` learns, from the words of all texts; each round is one sum of partial counts.
 
-    What reaches the driver is at most ``BUCKETS`` counts for each language, and the counts of Han characters.
+    What reaches the driver is at most ``BUCKETS`` counts for each language, and for Han characters in ja and zh.
     """
     context = packed.sparkSession.sparkContext
+    # Each task gives a table of counts, so there are no more tasks than cores can use.
+    tasks = packed.coalesce(4 * context.defaultParallelism)
+    rows = ("lang", "block", "counts")
+
+    def blocks_of(tables: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        keys = list(tables)
+        columns = [pa.array([x for x, _ in keys], pa.int32()), pa.array([y for _, y in keys], pa.int32()), pa.array([tables[k].tobytes() for k in keys], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, list(rows))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, block, counts in zip(*(batch.column(c).to_pylist() for c in rows)):
+                found = np.frombuffer(counts, np.int64)
+                sums[lang, block] = sums[lang, block] + found if (lang, block) in sums else found
+        yield blocks_of(sums)
 
     def counted(model: Model | None) -> tuple[np.ndarray, dict[str, tuple[int, int]]]:
         shared = context.broadcast(vars(model)) if model else None
@@ -549,21 +567,20 @@ def fitted(packed: DataFrame, rounds: int = ROUNDS) -> Model:
                     prose = numbers >= 0
                     counter.add(Said(said.lengths[prose], said.words, said.ids[np.repeat(prose, said.lengths)]))
             counts, han = counter.result()
-            lang, bucket = np.nonzero(counts)
-            rows = [*zip(map(LATIN.__getitem__, lang.tolist()), map(str, bucket.tolist()), counts[lang, bucket].tolist())]
-            rows += [(x, c, n) for c, both in han.items() for x, n in zip(("ja", "zh"), both) if n]
-            columns = zip(*rows) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["lang", "key", "n"])
-
-        sums = packed.mapInArrow(run, "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-        counts, han = np.zeros((len(LATIN), BUCKETS), np.int64), {}
-        for lang, key, n in zip(*(sums.column(c).to_pylist() for c in ("lang", "key", "n"))):
-            if lang in LATIN:
-                counts[LATIN.index(lang), int(key)] = n
-            else:
-                ja, zh = han.get(key, (0, 0))
-                han[key] = (n, zh) if lang == "ja" else (ja, n)
-        return counts, han
+            of_han = np.zeros((2, BUCKETS), np.int64)  # by code point, which are fewer than buckets
+            for c, both in han.items():
+                of_han[:, ord(c)] = both
+            whole = np.concatenate([counts, of_han]).reshape(-1, BUCKETS // BLOCK, BLOCK)
+            yield blocks_of({(int(x), int(y)): whole[x, y] for x, y in np.argwhere(whole.any(2))})
+
+        parts = tasks.mapInArrow(run, "lang int, block int, counts binary").repartition("lang", "block")
+        sums = parts.mapInArrow(add_up, "lang int, block int, counts binary").toArrow()
+        whole = np.zeros((len(LATIN) + 2, BUCKETS // BLOCK, BLOCK), np.int64)
+        for lang, block, counts in zip(*(sums.column(c).to_pylist() for c in rows)):
+            whole[lang, block] = np.frombuffer(counts, np.int64)
+        whole = whole.reshape(len(LATIN) + 2, BUCKETS)
+        ja, zh = whole[len(LATIN) :]
+        return whole[: len(LATIN)], {chr(c): (int(ja[c]), int(zh[c])) for c in np.flatnonzero(ja + zh).tolist()}
 
     counts, han = counted(None)
     model = Model(counts, han)
